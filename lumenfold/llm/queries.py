@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, repetition, url_filter, warc
+from . import language_id, packing, repetition, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op4_warc, op7_repetition_quality, op8_packing, op10_url_filter)
+    f.__name__: f for f in (op1_language_id, op4_warc, op5_toxicity, op7_repetition_quality, op8_packing, op10_url_filter)
 }
 ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
