@@ -46,7 +46,7 @@ class Encoder:
 
     SAFE = re.compile(r"[^\n -~À-ɏ]")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    MOST_KEPT = 400_000
+    MOST_KEPT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,14 +54,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
+        # byte-level BPE writes a byte as its own character if that is visible, else as one from 256 on
+        shown = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: 256 + k for k, b in enumerate(hidden)}
         encoder = self
 
         class Parts(dict):
             def __missing__(self, part: str) -> bytes:
                 if len(self) >= encoder.MOST_KEPT:
                     self.clear()
-                ids = self[part] = encoder._part(part)
+                pieces = encoder.PIECE.findall(part)
+                ids = encoder._piece(part) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
+                self[part] = ids
                 return ids
 
         self.parts = Parts()
@@ -69,16 +74,10 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        out = []
-        for piece in self.PIECE.findall(part):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= self.MOST_KEPT:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = self._whole(piece)
-            out.append(ids)
-        return b"".join(out)
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves in one piece: the BPE model's own."""
+        tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(_BYTES, "little") for t in tokens])
 
     def __call__(self, text: str) -> bytes:
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or self.SAFE.search(text) or any(s in text for s in self.special):
