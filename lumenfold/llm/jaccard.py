@@ -6,7 +6,7 @@ here shingles known to be frequent come last, so that passages which many docume
 blocks. A block is the representatives that share such a shingle.
 
 Each block is joined with itself by a signature tree: a leaf holds a few sets, a node the OR and the AND of
-the 512-bit signatures below it, the range of their sizes, and their component if they have one in common. A
+the 2048-bit signatures below it, the range of their sizes, and their component if they have one in common. A
 pair of nodes is left out if their sizes are too far apart, if the largest overlap that the signatures allow
 is too small, or if all below is linked already. What remains is verified on the whole sets.
 
@@ -35,12 +35,13 @@ WORDS = 5
 PERCENT = 80
 #: One in so many documents is counted for frequent shingles; frequent is so many of those, and no more than
 #: so many shingles, the most frequent, are sent to the tasks.
-COUNTED, FREQUENT, MOST_FREQUENT = 32, 6, 500_000
-LEADER_HASHES = 4
+COUNTED, FREQUENT, MOST_FREQUENT = 16, 4, 500_000
+#: A leader must share so many of the minima under so many hashes.
+LEADER_SHARED, LEADER_HASHES = 5, 8
 BLOCK, LEAF = 128, 8
-SIGNATURE_WORDS = 8
+SIGNATURE_WORDS = 32
 SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, leaders array<long>, prefix array<long>, sig binary"
-_SALTS = [np.uint64(x) for x in (0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
+_SALTS = S.mix(np.arange(LEADER_HASHES + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 # --- sets ----------------------------------------------------------------------------------------
@@ -284,20 +285,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = S.settle(shingle_sets(docs, frequent_shingles(docs)), "shingle-sets")
     classes = S.settle(sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
-    reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+    reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi")
 
     posting = reps.select("doc_id", F.explode("prefix").alias("shingle"))
     shared = posting.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     postings = S.settle(posting.join(shared, "shingle"), "postings")
-    described = S.settle(reps.join(postings.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "leaders", "sig"), "candidates")
-    S.release(spark)
+    described = reps.join(postings.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "leaders", "sig").distinct()
+    described = S.settle(described, "candidates")
     texts = S.settle(docs.join(described.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
-    S.release(spark)
 
     keyed = described.select("doc_id", "n_shingles", F.posexplode("leaders").alias("k", "least"))
     leader = keyed.groupBy("k", "least").agg(F.min(F.struct("doc_id", "n_shingles")).alias("leader"), F.count("*").alias("n")).where("n > 1")
     led = keyed.join(leader, ["k", "least"]).where((F.col("doc_id") > F.col("leader.doc_id")) & _near_size("n_shingles", "leader.n_shingles"))
-    links = S.settle(_verified(led.select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), texts), "leader-links")
+    led = led.groupBy(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= LEADER_SHARED)
+    links = S.settle(_verified(led.select("a", "b"), texts), "leader-links")
 
     linked = graph.components(links)
     ids = described.select("doc_id").distinct()

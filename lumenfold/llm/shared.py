@@ -37,10 +37,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and return that table: it cuts the lineage there."""
+    """Write df as a table in the shared folder and return that table: it cuts the lineage there.
+
+    The shuffle files behind df are of no more use then, so they may go.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
