@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language_id, packing, repetition, toxicity, url_filter, warc
+from . import jaccard, language_id, packing, repetition, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.archive(spark, table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -43,6 +47,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_jaccard_join, op4_warc, op5_toxicity, op7_repetition_quality, op8_packing, op10_url_filter)
+    f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_suffix_dedup, op4_warc, op5_toxicity, op7_repetition_quality, op8_packing, op10_url_filter)
 }
 ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op4_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
