@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language_id, packing, repetition, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, jaccard, language_id, packing, repetition, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_quality(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_suffix_dedup, op4_warc, op5_toxicity, op7_repetition_quality, op8_packing, op10_url_filter)
+    f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_suffix_dedup, op4_warc, op5_toxicity, op6_decontaminate, op7_repetition_quality, op8_packing, op10_url_filter)
 }
 ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op4_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
