@@ -40,7 +40,9 @@ COUNTED, FREQUENT, MOST_FREQUENT = 16, 4, 500_000
 LEADER_SHARED, LEADER_HASHES = 5, 8
 BLOCK, LEAF = 128, 8
 SIGNATURE_WORDS = 32
-SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, leaders array<long>, prefix array<long>, sig binary"
+#: Postings of a part, on average, when shingles shared by several sets are looked for.
+PART = 400_000
+SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, leaders array<long>, prefix array<long>, rare int, sig binary"
 _SALTS = S.mix(np.arange(LEADER_HASHES + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -95,9 +97,10 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """SET_SCHEMA for each row: set size, digest, leader hashes, prefix and signature."""
+    """SET_SCHEMA for each row: set size, digest, leader hashes, prefix with its `rare` first shingles not
+    known to be frequent, and signature."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT hashes at most
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary())
     names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +131,14 @@ def _described(sets: np.ndarray, off: np.ndarray, frequent: np.ndarray) -> list:
     bits = np.zeros((len(n), 64 * SIGNATURE_WORDS), bool)
     bits[np.repeat(np.arange(len(n)), n), (mixed[0] % np.uint64(64 * SIGNATURE_WORDS)).astype(np.int64)] = True
     sig = np.packbits(bits, axis=1)
-    prefix = []
+    prefix, rare = [], []
     for i in range(len(n)):
         own, late = sets[off[i] : off[i + 1]], frequent[off[i] : off[i + 1]]
         size = prefix_size(len(own))
         early = own[~late][:size]
+        rare.append(len(early))
         prefix.append((early if len(early) == size else np.concatenate((early, own[late][: size - len(early)]))).astype(np.int64))
-    return [n, *digests, list(leaders), prefix, [s.tobytes() for s in sig]]
+    return [n, *digests, list(leaders), prefix, rare, [s.tobytes() for s in sig]]
 
 
 def prefix_size(n: int) -> int:
@@ -255,6 +259,60 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _packed(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The rare postings of a batch as one row for each part: shingles and documents, 8 bytes each."""
+    for batch in batches:
+        doc, rare, prefix = S.fields(batch, "doc_id", "rare", "prefix")
+        size, rare = prefix.value_lengths().to_numpy(), rare.to_numpy()
+        keep = S.ragged(size) < np.repeat(rare, size)
+        shingle, doc = prefix.flatten().to_numpy()[keep], np.repeat(doc.to_numpy(), size)[keep]
+        part = (S.mix(shingle.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        shingle, doc, part = shingle[order], doc[order], part[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        cut = list(zip(first, np.append(first[1:], len(part))))
+        yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (shingle, doc))], names=["part", "shingles", "docs"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, doc_id) of the shingles that several documents of a part have; rows come sorted by part."""
+
+    def of(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        shingle, doc = (np.frombuffer(b"".join(r[k] for r in rows), np.int64) for k in range(2))
+        order = np.argsort(shingle, kind="stable")
+        shingle, doc = shingle[order], doc[order]
+        again = np.zeros(len(shingle) + 1, bool)
+        again[1:-1] = shingle[1:] == shingle[:-1]
+        keep = again[1:] | again[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(shingle[keep]), pa.array(doc[keep])], names=["shingle", "doc_id"])
+
+    part, held = None, []
+    for batch in batches:
+        for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != part and held:
+                yield of(held)
+                held = []
+            part = p
+            held.append(row)
+    if held:
+        yield of(held)
+
+
+def shared_postings(reps: DataFrame) -> DataFrame:
+    """(shingle, doc_id) of the prefixes of reps whose shingle is in several of them.
+
+    Rare shingles go packed to the part of their hash, in one shuffle, and a part keeps those it has twice.
+    Frequent ones are not gathered: each is a row, known to be shared.
+    """
+    tasks = S.n_tasks(reps.sparkSession)
+    total = reps.agg(F.sum("rare")).first()[0] or 0
+    parts = max(tasks, -(-total // PART))
+    packed = reps.select("doc_id", "rare", "prefix").mapInArrow(lambda it: _packed(it, parts), "part int, shingles binary, docs binary")
+    rare = packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_shared, "shingle long, doc_id long")
+    late = F.expr("slice(prefix, rare + 1, greatest(size(prefix) - rare, 0))")
+    return rare.unionByName(reps.select(F.explode(late).alias("shingle"), "doc_id"))
+
+
 def _near_size(a: str, b: str):
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
@@ -287,9 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = S.settle(sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
     reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi")
 
-    posting = reps.select("doc_id", F.explode("prefix").alias("shingle"))
-    shared = posting.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    postings = S.settle(posting.join(shared, "shingle"), "postings")
+    postings = S.settle(shared_postings(reps), "postings")
     described = reps.join(postings.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "leaders", "sig").distinct()
     described = S.settle(described, "candidates")
     texts = S.settle(docs.join(described.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
