@@ -8,7 +8,8 @@ blocks. A block is the representatives that share such a shingle.
 Each block is joined with itself by a signature tree: a leaf holds a few sets, a node the OR and the AND of
 the 2048-bit signatures below it, the range of their sizes, and their component if they have one in common. A
 pair of nodes is left out if their sizes are too far apart, if the largest overlap that the signatures allow
-is too small, or if all below is linked already. What remains is verified on the whole sets.
+is too small, or if all below is linked already. What remains is compared once more, by signatures as long as
+the sets need, and then verified on the whole sets.
 
 Representatives are first compared with a leader each, the smallest one with the same minimum under a hash,
 which is linear in their number. Its links make most large groups of near copies one component, and blocks of
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -39,7 +40,11 @@ COUNTED, FREQUENT, MOST_FREQUENT = 16, 4, 500_000
 #: A leader must share so many of the minima under so many hashes.
 LEADER_SHARED, LEADER_HASHES = 5, 8
 BLOCK, LEAF = 128, 8
+#: Candidate pairs of a component that a round verifies; after the last one, all that are left.
+ROUNDS = (3, 48)
 SIGNATURE_WORDS = 32
+#: Bits for each shingle of the sketches that candidate pairs are compared by before their texts are.
+SKETCH_BITS = 4
 #: Postings of a part, on average, when shingles shared by several sets are looked for.
 PART = 400_000
 SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, leaders array<long>, prefix array<long>, rare int, sig binary"
@@ -176,8 +181,8 @@ class SignatureTree:
         one = (c0[u] == c1[u]) & (c0[v] == c1[v]) & (c0[u] == c0[v])
         return ~one & _enough(overlap, low[u], low[v]) & (100 * high[u] >= PERCENT * low[v]) & (100 * high[v] >= PERCENT * low[u])
 
-    def self_join(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the pairs of sets that may link, each pair once."""
+    def self_join(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the pairs of sets that may link, each pair once, and their largest possible similarity."""
         u = v = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             keep = self._possible(level, u, v)
@@ -196,7 +201,8 @@ class SignatureTree:
         a, b = a[keep], b[keep]
         overlap = np.minimum(self.size[a] - _count_bits(self.sig[a] & ~self.sig[b]), self.size[b] - _count_bits(self.sig[b] & ~self.sig[a]))
         keep = _enough(overlap, self.size[a], self.size[b])
-        return self.order[a[keep]], self.order[b[keep]]
+        a, b, overlap = a[keep], b[keep], overlap[keep]
+        return self.order[a], self.order[b], overlap / (self.size[a] + self.size[b] - overlap)
 
 
 def _enough(overlap: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -212,15 +218,16 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, doc, size, comp = (rows.column(c).to_numpy() for c in ("block", "doc_id", "n_shingles", "comp"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
         cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for i, j in zip(cut, np.append(cut[1:], len(block))):
             if j - i > 1:
-                x, y = SignatureTree(size[i:j], sig[i:j], comp[i:j]).self_join()
+                x, y, bound = SignatureTree(size[i:j], sig[i:j], comp[i:j]).self_join()
                 a.append(doc[i:j][x])
                 b.append(doc[i:j][y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                most.append(bound)
+        a, b, most = np.concatenate(a), np.concatenate(b), np.concatenate(most)
+        pair, index = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(most[index])], names=["a", "b", "most"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -331,6 +338,75 @@ def _blocks(postings: DataFrame, described: DataFrame, comps: DataFrame) -> Data
     return small.unionByName(large).join(described, "doc_id").join(comps, "doc_id").select("block", "doc_id", "n_shingles", "comp", "sig")
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of texts with a power of two of bits, SKETCH_BITS to twice that for each shingle."""
+    for b in S.blocks(batches):
+        sets, off = shingles(b.buf, b.off)
+        n = np.diff(off)
+        sketch = []
+        for i in range(b.n):
+            bits = np.zeros(1 << max(9, int(SKETCH_BITS * n[i] - 1).bit_length()), bool)
+            bits[(sets[off[i] : off[i + 1]] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+            sketch.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([S.fields(b.rows, "doc_id")[0], pa.array(n), pa.array(sketch, pa.binary())], names=["doc_id", "n", "sketch"])
+
+
+def sketch_overlap(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """Largest overlap that two sketches allow; the longer is folded to the size of the shorter."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(min(nx - _count_bits(x & ~y), ny - _count_bits(y & ~x)))
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow a link, with the largest similarity that they allow."""
+    for batch in batches:
+        a, b, nx, ny = (c.to_numpy() for c in S.fields(batch, "a", "b", "nx", "ny"))
+        overlap = np.array([sketch_overlap(x.as_py(), p, y.as_py(), q) for x, p, y, q in zip(S.fields(batch, "x")[0], nx, S.fields(batch, "y")[0], ny)], np.int64)
+        keep = _enough(overlap, nx, ny)
+        most = overlap[keep] / np.maximum(nx + ny - overlap, 1)[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(most)], names=["a", "b", "most"])
+
+
+def _sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, most) of the pairs(a, b) that sketches(doc_id, n, sketch) leave possible."""
+    x = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
+    y = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(_possible, "a long, b long, most double")
+
+
+def _components_of(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, comp) of all ids."""
+    linked = graph.components(links).withColumnRenamed("node", "doc_id")
+    return S.settle(ids.join(linked, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "components")
+
+
+def _verified_in_rounds(pairs: DataFrame, texts: DataFrame, ids: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame:
+    """links with those of pairs(a, b, most) that make a difference to the components.
+
+    A round verifies the likeliest pairs of each component, more of them every time and at last all; pairs
+    that then lie in one component need no look any more. So a large group of near copies is linked by a few
+    of its pairs, while every pair of different components is verified.
+    """
+    for most in (*ROUNDS, None):
+        c = lambda side: comps.select(F.col("doc_id").alias(side), F.col("comp").alias(f"c{side}"))
+        pairs = S.settle(pairs.join(c("a"), "a").join(c("b"), "b").where("ca <> cb").select("a", "b", "most", "ca", "cb"), "live-pairs")
+        if pairs.isEmpty():
+            return links
+        picked = pairs.select("a", "b")
+        if most is not None:
+            by_comp = pairs.select("a", "b", "most", F.explode(F.array("ca", "cb")).alias("comp"))
+            rank = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("most"), "a", "b"))
+            picked = by_comp.withColumn("k", rank).where(F.col("k") <= most).select("a", "b").distinct()
+        picked = S.settle(picked, "picked-pairs")
+        links = S.settle(links.unionByName(_verified(picked, texts)), "links")
+        if most is not None:
+            pairs = pairs.drop("ca", "cb").join(picked, ["a", "b"], "left_anti")
+            comps = _components_of(ids, links)
+    return links
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
 
@@ -356,14 +432,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = led.groupBy(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= LEADER_SHARED)
     links = S.settle(_verified(led.select("a", "b"), texts), "leader-links")
 
-    linked = graph.components(links)
     ids = described.select("doc_id").distinct()
-    comps = S.settle(ids.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp")), "components")
+    comps = _components_of(ids, links)
     members = _blocks(postings, described.select("doc_id", "n_shingles", "sig"), comps)
     tasks = S.n_tasks(spark)
-    pairs = members.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_join_blocks, "a long, b long").distinct()
-    more = S.settle(_verified(pairs, texts), "tree-links")
-    found = graph.components(links.unionByName(more))
+    pairs = members.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_join_blocks, "a long, b long, most double")
+    pairs = S.settle(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "tree-pairs")
+    sketches = S.settle(texts.mapInArrow(_sketched, "doc_id long, n long, sketch binary"), "sketches")
+    pairs = S.settle(_sketch_filter(pairs, sketches).groupBy("a", "b").agg(F.max("most").alias("most")), "possible-pairs")
+    found = graph.components(_verified_in_rounds(pairs, texts, ids, links, comps))
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")

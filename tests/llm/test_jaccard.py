@@ -86,12 +86,27 @@ def test_tree_join_leaves_out_no_pair():
         sig[i, [x % 512 for x in s]] = True
     packed = np.packbits(sig, axis=1).view(np.uint64)
     size, comp = np.array([len(s) for s in sets]), rng.integers(0, 40, len(sets))
-    a, b = J.SignatureTree(size, packed, comp).self_join()
+    a, b, _ = J.SignatureTree(size, packed, comp).self_join()
     got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert want <= got and len(got) == len(a) and len(got) < 0.2 * len(sets) ** 2 / 2
 
 
+def test_sketches_never_allow_too_little():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(5, 4000))
+        words = rng.integers(0, 1 << 62, 2 * n)
+        texts = [" ".join(f"w{k}" for k in words[i : i + n]) for i in (0, int(rng.integers(0, n)))]
+        raw = [t.encode() for t in texts]
+        sets = [set(J.shingles(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0].tolist()) for r in raw]
+        rows = J.pa.RecordBatch.from_arrays([J.pa.array([1, 2]), J.pa.array(texts)], names=["doc_id", "text"])
+        (x, nx), (y, ny) = [(s, k) for b in J._sketched([rows]) for s, k in zip(b.column(2).to_pylist(), b.column(1).to_pylist())]
+        both = len(sets[0] & sets[1])
+        bound = J.sketch_overlap(x, nx, y, ny)
+        assert (nx, ny) == (len(sets[0]), len(sets[1])) and both <= bound <= both + 0.35 * (nx - both) + 5
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(160, 159), (7, 7), (1, 0)] + [(200, 201)] * 3
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
