@@ -239,6 +239,7 @@ def _not_first(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(doc_id, h, place) of the rows that share keys with an earlier row."""
     where = F.struct("doc_id", "h", "place")
     first = rows.groupBy(*keys).agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select(*keys, "first")
+    first = S.settle(first, "first-places")  # see removals()
     return rows.join(first, keys).where(F.col("first") != where).select("doc_id", "h", "place")
 
 
@@ -247,7 +248,8 @@ def removals(docs: DataFrame) -> DataFrame:
     spark, tasks = docs.sparkSession, S.n_tasks(docs.sparkSession)
     keyed = _keyed(docs).where(F.col("doc_id").isNotNull())
     found = S.settle(keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_runs, RUN_SCHEMA), "runs")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # the keys are a table of their own: a join right behind their sum could not split a hot key
+    twice = S.settle(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
     found = S.settle(found.join(twice, "anchor"), "repeated-runs")
     whole = S.settle(_not_first(found, ["anchor", "context"]), "repeated-contexts")
 
