@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-TOP, SUFFIX_CLASSES, SUFFIX_BYTES = 15, 32, 2
+TOP, SUFFIX_CLASSES, SUFFIX_BYTES = 7, 24, 2
 CLASSES = SUFFIX_CLASSES + TOP + 1
 END_CLASS = CLASSES - 1
 BUCKETS = 1 << 13
