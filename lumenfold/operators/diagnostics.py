@@ -22,6 +22,12 @@ def _rows(df: DataFrame, severity: Column, rule: Column, file: Column, line: Col
     return df.select("run_id", "tool", severity.alias("severity"), rule.alias("rule_id"), F.coalesce(file, F.lit(".")).alias("file"), F.coalesce(line, F.lit(1)).cast("long").alias("line"), F.coalesce(message, F.lit("")).alias("message"), "ordinal")
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value; the parser by itself overlooks what follows the first one."""
+    one = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return one.isNotNull() & F.try_variant_get(one, "$[1]", "variant").isNull()
+
+
 def output_lines(outputs: DataFrame) -> DataFrame:
     """Lines of outputs(run_id, tool, text), trimmed, without empty ones."""
     rows = outputs.select("run_id", "tool", F.posexplode(F.split("text", r"\r?\n")).alias("ordinal", "line"))
@@ -30,7 +36,7 @@ def output_lines(outputs: DataFrame) -> DataFrame:
 
 def json_lines(outputs: DataFrame) -> DataFrame:
     """Compiler messages of lines that start with `{`, and a warning for each such line that isn't JSON."""
-    rows = output_lines(outputs).where(F.startswith("line", F.lit("{"))).withColumn("ok", F.try_parse_json("line").isNotNull())
+    rows = output_lines(outputs).where(F.startswith("line", F.lit("{"))).withColumn("ok", is_json(F.col("line")))
     m = rows.where("ok").withColumn("j", F.from_json("line", COMPILER)).where("j.reason = 'compiler-message' AND j.message IS NOT NULL")
     spans = F.coalesce("j.message.spans", F.array().cast("array<struct<file_name:string,line_start:long,is_primary:boolean>>"))
     span = F.coalesce(F.get(F.filter(spans, lambda s: s["is_primary"]), F.lit(0)), F.get(spans, F.lit(0)))
@@ -42,7 +48,7 @@ def json_lines(outputs: DataFrame) -> DataFrame:
 def payloads(outputs: DataFrame) -> DataFrame:
     """Whole texts that are JSON: linter arrays, coded arrays, type-checker objects and SARIF; the first that fits counts."""
     t = outputs.withColumns({"text": F.trim("text"), "ordinal": F.lit(0)}).where(F.substring("text", 1, 1).isin("{", "["))
-    t = t.withColumn("ok", F.try_parse_json("text").isNotNull())
+    t = t.withColumn("ok", is_json(F.col("text")))
     good = t.where("ok")
     array = F.startswith("text", F.lit("["))
     a = good.where(array).withColumns({"lint": F.from_json("text", LINTER), "coded": F.from_json("text", CODED)})
