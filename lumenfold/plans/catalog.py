@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
-from lumenfold.operators import evidence, ledger, paths, policy, rules, runs
+from lumenfold.operators import config, evidence, ledger, paths, policy, rules, runs
 from lumenfold.sources import files as files_source
 from lumenfold.streaming import ownership
 
@@ -249,7 +249,7 @@ RUNS = "r AS (SELECT event_id AS run_id, event_type AS tool, CASE WHEN event_typ
 
 @query(f"WITH {RUNS} SELECT run_id, tool, started_at FROM r WHERE tool = 'click' ORDER BY started_at DESC, run_id LIMIT 20")
 def run_query_topk(spark, d):
-    return runs.newest(runs.matching_runs(tool_runs(spark, d), tool="click", status=None), 20).select("run_id", "tool", "started_at")
+    return runs.newest(runs.matching_runs(tool_runs(spark, d), tool="click"), 20).select("run_id", "tool", "started_at")
 
 
 @query(f"WITH {RUNS}, n AS (SELECT * FROM r ORDER BY started_at DESC, run_id LIMIT 50) SELECT run_id, started_at FROM n WHERE status = 'failed' ORDER BY started_at DESC, run_id LIMIT 1")
@@ -522,3 +522,95 @@ def verify_union(spark, d):
 def report_completeness(spark, d):
     r = table(spark, d, "events").select(F.col("event_id").alias("report_id"), F.from_json("props", "map<string,string>").alias("fields"))
     return policy.completeness(r, ["file", "line", "k", "v", "ruleId"])
+
+
+# --- configuration, boundaries and views ---------------------------------------------------------
+
+
+@query(f"WITH {PATHS} SELECT page_id, path FROM pq WHERE regexp_matches(path, '^.*/en/[^/]*$') OR regexp_matches(path, '^m\\.[^/]*/[^/][^/]/.*$')")
+def glob_filter(spark, d):
+    return page_paths(spark, d).where(config.matches_any(F.col("path"), ["**/en/*", "m.*/??/**"])).select("page_id", "path")
+
+
+@query("""WITH i AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) || '/' || page_id AS rel, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS specifier FROM pages)
+SELECT rel, specifier, 'English pages keep out' AS message FROM i WHERE starts_with(rel, 'en/') AND regexp_matches(specifier, '^[Tt][^/]*$') AND NOT regexp_matches(specifier, '^[Tt]h[^/]*$')
+UNION ALL SELECT rel, specifier, 'no capitals' FROM i WHERE (starts_with(rel, 'de/') OR starts_with(rel, 'fr/')) AND regexp_matches(specifier, '^D[^/]*$')""")
+def import_boundary(spark, d):
+    rel = F.concat(F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]+)", 1), F.lit("/"), F.col("page_id").cast("string"))
+    imports = table(spark, d, "pages").select(rel.alias("rel"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), 1)).alias("specifier"))
+    return config.boundary_violations(imports, [
+        {"roots": ["en"], "forbidden": ["T*", "t*"], "allowed": ["Th*", "th*"], "message": "English pages keep out"},
+        {"roots": ["de", "fr/"], "forbidden": ["D*"], "message": "no capitals"},
+    ])
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, lower(n_name), n_regionkey FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey > 12")
+def registry_overlay(spark, d):
+    base = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    changed = base.where("n_nationkey % 3 = 0").withColumn("n_name", F.lower("n_name"))
+    new = changed.where("n_nationkey > 12").withColumn("n_nationkey", F.col("n_nationkey") + 100)
+    return config.overlaid(base, changed.unionByName(new), "n_nationkey")
+
+
+@query("SELECT user_id, event_type AS key, arg_max(round(value, 4), event_id) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL")
+def config_layers(spark, d):
+    value = F.when(F.col("event_id") % 3 != 0, F.round("value", 4))
+    return config.merged(table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("key"), value.alias("value")), ["user_id"], F.col("event_id"))
+
+
+@query(f"WITH {TEXT_FINDINGS} SELECT finding_id, rule_id FROM x1 WHERE rel <= (SELECT min(rel) FROM x1)")
+def fail_fast_scan(spark, d):
+    return config.fail_fast(text_findings(spark, d), files(spark, d)).select("finding_id", "rule_id")
+
+
+@query(f"WITH {TEXT_FINDINGS} SELECT rel, line_no, rule_id, detail FROM x1 ORDER BY rel, line_no, rule_id, detail LIMIT 20")
+def sorted_findings_top20(spark, d):
+    return text_findings(spark, d).select("rel", "line_no", "rule_id", "detail").orderBy("rel", "line_no", "rule_id", "detail").limit(20)
+
+
+@query("WITH o AS (SELECT DISTINCT user_id::VARCHAR AS w, 'p/' || event_id % 40 AS path FROM events WHERE event_type = 'signup') SELECT path, count(*) AS n, array_to_string(list_sort(list(w))[1:3], ',') AS owners FROM o GROUP BY 1")
+def claimed_path_view(spark, d):
+    o = ownership_events(spark, d).where("kind = 'claim'").select("path", "writer").distinct()
+    few = runs.newest_per(o.withColumn("zero", F.lit(0)), ["path"], 3, "zero", "writer").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("writer")), ",").alias("owners"))
+    return o.groupBy("path").agg(F.count("*").alias("n")).join(few, "path")
+
+
+@query(f"WITH {LEDGER} SELECT stream, writer, seq FROM e WHERE writer <> 'system' QUALIFY row_number() OVER (PARTITION BY stream, writer ORDER BY seq) = 1")
+def next_intent_per_lane(spark, d):
+    e = ledger_events(spark, d).where("writer <> 'system'")
+    return e.groupBy("stream", "writer").agg(F.min("seq").alias("seq"))
+
+
+@query("SELECT conv_id AS stream, role AS writer, arg_max(md5(text), turn) AS last FROM conversations GROUP BY ALL")
+def blocking_owner_last(spark, d):
+    return ledger_events(spark, d).groupBy("stream", "writer").agg(F.max_by(F.md5("payload"), "seq").alias("last"))
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    g = table(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return g.where("n > 1")
+
+
+@query(f"WITH {FILES} SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = l.doc_id AND f.lang = 'en')")
+def expected_files_missing(spark, d):
+    return table(spark, d, "labels").select("doc_id").join(files(spark, d).where("lang = 'en'"), "doc_id", "left_anti")
+
+
+@query("SELECT p_brand, count(*) FILTER (p_size > 25) AS n_fail, count(*) FILTER (p_size <= 25) AS n_pass FROM part WHERE p_partkey % 40 < 2 GROUP BY 1 HAVING count(*) FILTER (p_size > 25) = 0 OR count(*) FILTER (p_size <= 25) = 0")
+def fixture_evidence_gaps(spark, d):
+    g = table(spark, d, "part").where("p_partkey % 40 < 2").groupBy("p_brand").agg(F.count_if(F.col("p_size") > 25).alias("n_fail"), F.count_if(F.col("p_size") <= 25).alias("n_pass"))
+    return g.where("n_fail = 0 OR n_pass = 0")
+
+
+@query(f"WITH {LINES}, d AS (SELECT rel, count(DISTINCT regexp_extract(line, '^([A-Z])', 1)) FILTER (regexp_matches(line, '^[A-Z]')) AS n FROM l GROUP BY 1) SELECT rel, n FROM d WHERE n >= 6")
+def distinct_layers(spark, d):
+    first = F.regexp_extract("line", "^([A-Z])", 1)
+    per = lines(spark, d).where(F.col("line").rlike("^[A-Z]")).groupBy("rel", first.alias("layer")).agg(F.count("*").alias("c"))
+    return per.groupBy("rel").agg(F.count("*").alias("n")).where("n >= 6")
+
+
+@query(f"WITH {LINES} SELECT rel, max(length(replace(regexp_extract(line, '^([ \t]*)', 1), chr(9), '    ')) // 4)::BIGINT AS depth, count(*) FILTER (regexp_matches(line, '^[ \t]')) AS n_indented FROM l GROUP BY 1")
+def indent_depth(spark, d):
+    width = F.length(F.replace(F.regexp_extract("line", r"^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
+    return lines(spark, d).groupBy("rel").agg(F.max(F.floor(width / 4)).alias("depth"), F.count_if(F.col("line").rlike(r"^[ \t]")).alias("n_indented"))
