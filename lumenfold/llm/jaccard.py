@@ -13,7 +13,8 @@ the sets need, and then verified on the whole sets.
 
 Representatives are first compared with a leader each, the smallest one with the same minimum under a hash,
 which is linear in their number. Its links make most large groups of near copies one component, and blocks of
-one component need no join. A block above BLOCK representatives is dealt out as pairs of its parts.
+one component need no join. A block above BLOCK representatives is dealt out: its largest component once, and to
+all of its parts what is not in it.
 
 Which shingles count as frequent, and the leaders, only decide how much work is done: every pair of sets
 within the threshold is either verified or already linked through others.
@@ -328,13 +329,22 @@ def _blocks(postings: DataFrame, described: DataFrame, comps: DataFrame) -> Data
     """(block, doc_id, n_shingles, comp, sig): blocks whose members are in several components."""
     placed = postings.join(comps, "doc_id")
     several = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
-    members = S.settle(placed.join(several.select("shingle", "n"), "shingle").select("shingle", "doc_id", "n"), "block-members")
+    members = S.settle(placed.join(several.select("shingle", "n"), "shingle").select("shingle", "doc_id", "comp", "n"), "block-members")
     small = members.where(F.col("n") <= BLOCK).groupBy("shingle").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).select("docs").distinct()
     small = small.select(F.xxhash64("docs", F.lit(0)).alias("block"), F.explode("docs").alias("doc_id"))
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = members.where(F.col("n") > BLOCK).withColumns({"parts": parts, "part": F.pmod(F.xxhash64("doc_id"), parts).cast("int")})
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    large = large.select(F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "doc_id")
+
+    # of a large block's largest component, each member goes to one part; the others go to all of these parts, and
+    # to the pairs of parts of their own
+    large = members.where(F.col("n") > BLOCK)
+    main = large.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"))
+    large = large.join(main, "shingle").withColumns({"parts": F.ceil(F.col("k") / BLOCK).cast("int"), "own": F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")})
+    inside, others = large.where("comp = main"), large.where("comp <> main")
+    once = inside.select(F.xxhash64("shingle", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"), "doc_id")
+    against = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    against = against.select(F.xxhash64("shingle", F.col("part").cast("long")).alias("block"), "doc_id")
+    among = others.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    among = among.select(F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "doc_id")
+    large = once.unionByName(against).unionByName(among)
     return small.unionByName(large).join(described, "doc_id").join(comps, "doc_id").select("block", "doc_id", "n_shingles", "comp", "sig")
 
 
@@ -426,11 +436,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described = S.settle(described, "candidates")
     texts = S.settle(docs.join(described.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
 
-    keyed = described.select("doc_id", "n_shingles", F.posexplode("leaders").alias("k", "least"))
-    leader = keyed.groupBy("k", "least").agg(F.min(F.struct("doc_id", "n_shingles")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    keyed = described.select("doc_id", "n_shingles", "leaders", F.posexplode("leaders").alias("k", "least"))
+    leader = keyed.groupBy("k", "least").agg(F.min(F.struct("doc_id", "n_shingles", "leaders")).alias("leader"), F.count("*").alias("n")).where("n > 1")
     led = keyed.join(leader, ["k", "least"]).where((F.col("doc_id") > F.col("leader.doc_id")) & _near_size("n_shingles", "leader.n_shingles"))
-    led = led.groupBy(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= LEADER_SHARED)
-    links = S.settle(_verified(led.select("a", "b"), texts), "leader-links")
+    same = F.size(F.filter(F.zip_with("leaders", "leader.leaders", lambda x, y: x == y), lambda e: e))
+    led = led.where(same >= LEADER_SHARED).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = S.settle(_verified(led, texts), "leader-links")
 
     ids = described.select("doc_id").distinct()
     comps = _components_of(ids, links)
