@@ -87,7 +87,7 @@ def test_odd_rows(spark):
     assert sorted(pred, key=str) == sorted([(100, "und"), (101, "und"), (102, "und"), (None, "de"), (103, "en"), (103, "en")], key=str)
     assert all(0 <= r.score <= 1 for r in got)
     kept = L.accepted(spark.createDataFrame(rows + odd, DOCS))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "score"] and {r.doc_id for r in kept.collect()} == {*range(40), 103}
+    assert kept.columns == ["doc_id", "text", "lang", "source", "score"] and {r.doc_id for r in kept.collect()} == {*range(40), 103, None}
 
 
 def test_no_training_rows_and_empty_table(spark):
