@@ -19,7 +19,7 @@ from lumenfold.streaming import ownership
 AS_OF = "2024-01-31 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "secret_findings"
+FLAGSHIP = "group_by_slice"
 
 
 def query(sql: str):
