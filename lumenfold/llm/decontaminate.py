@@ -2,8 +2,10 @@
 
 Texts and items are lower-cased and reduced to runs of letters, digits and non-ASCII bytes, one space apart.
 An item leaks into a text if some substring of the text is within MAX_EDIT of the item's bytes in edit
-distance. Item-sized windows are taken wherever a text has SEED words in a row that an item has, aligned as
-the item has them. A random walk embeds a window: at every step it writes the byte it stands on, and a random
+distance. An item that may have e edits is cut into e + 1 pieces of bytes, of which one at least stays as it is.
+More than that: of two neighbouring pieces somewhere, one is as it was and the other has one edit at most (or the
+last piece, if it has no neighbour, is as it was), or the edits would be more than e. Item-sized windows are taken
+wherever a text has a piece so, aligned as the item has it, so no leak is without a window. A random walk embeds a window: at every step it writes the byte it stands on, and a random
 function of step and byte says whether it moves on; edit distance becomes Hamming distance. LSH repetitions
 sample few places of the embeddings; a window that agrees with its item in all places of any repetition is a
 candidate, and the exact edit distance decides.
@@ -25,12 +27,11 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 MAX_EDIT = 0.10
-SEED = 3
 #: Walks, repetitions on each, and sampled places of a repetition.
 WALKS, REPETITIONS, PLACES = 4, 16, 3
 SLICE, SLICE_BYTES = 20_000, 16 << 20
 SCHEMA = "doc_id long, item_id long, edits int, item_bytes int"
-_PAD, _MOST_WINDOWS = 0, 2000
+_PAD, _MOST_WINDOWS, _MOST_PLACED = 0, 2000, 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -57,18 +58,10 @@ class Items:
     def prepared(self) -> Items:
         if hasattr(self, "seeds"):
             return self
-        size = np.array([len(b) for b in self.bodies], np.int64)
+        self.size = size = np.array([len(b) for b in self.bodies], np.int64)
         buf, off = np.frombuffer(b"".join(self.bodies), np.uint8), np.concatenate(([0], np.cumsum(size)))
-        hashes, first = S.words(buf, off)
-        seed, count = S.windows(hashes, first, SEED)
-        item, at = np.repeat(np.arange(len(size)), count), S.ragged(count)
-        order = np.argsort(seed, kind="stable")
-        self.size, self.words = size, np.diff(first)
-        self.seeds, self.begin = np.unique(seed[order], return_index=True)
-        self.many = np.diff(np.append(self.begin, len(order)))
-        self.item, self.at = item[order], at[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[seed & np.uint64((1 << 22) - 1)] = True
+        self.most = np.array([int(MAX_EDIT * n) for n in size], np.int64)
+        self.seeds = _pieces(_grams(buf), off, size, self.most + 1)
         rng = np.random.default_rng(20_130_217)
         longest = int(size.max(initial=1))
         self.steps = 2 * longest
@@ -99,6 +92,103 @@ class Items:
         return out
 
 
+_MASK = np.array([0, *((1 << 8 * q) - 1 for q in range(1, 9))], np.uint64)
+_SEEN_BITS = 22
+
+
+def _grams(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, the first one lowest; zeros follow the end."""
+    out = np.concatenate((buf, np.zeros(8, np.uint8))).astype(np.uint64)
+    for k in (1, 2, 4):
+        out[:-k] |= out[k:] << np.uint64(8 * k)
+    return out[: len(buf)]
+
+
+def _slot(gram: np.ndarray) -> np.ndarray:
+    return (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SEEN_BITS)
+
+
+@dataclass
+class Seeds:
+    """Pieces of items whose first q bytes are looked for; row k of begin and many says where key k has its pieces.
+
+    A piece has its item, its place there, its size and its last q bytes; then for its neighbour's near half and
+    far half the distance, the size (0 if there is no neighbour) and the bytes.
+    """
+
+    q: int
+    seen: np.ndarray
+    keys: np.ndarray
+    begin: np.ndarray
+    many: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    tail: np.ndarray
+    near: tuple[np.ndarray, np.ndarray, np.ndarray]
+    far: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _pieces(grams: np.ndarray, off: np.ndarray, size: np.ndarray, pieces: np.ndarray) -> list[Seeds]:
+    """The pieces of all items, by the bytes of their first gram."""
+    item, k = np.repeat(np.arange(len(size)), pieces), S.ragged(pieces)
+    m, n, base = size[item], pieces[item], off[item]
+    at, end = k * m // n, (k + 1) * m // n
+    other = k ^ 1
+    has, after = other < n, other > k
+    low, high = other * m // n, (other + 1) * m // n
+    middle = np.where(after, low + (high - low) // 2, high - (high - low) // 2)
+    halves = []
+    for first, last in ((np.where(after, low, middle), np.where(after, middle, high)), (np.where(after, middle, low), np.where(after, high, middle))):
+        long = np.where(has, last - first, 0)
+        halves.append((np.where(has, first - at, 0), long, grams[np.where(has, base + first, 0)] & _MASK[long]))
+    width, out = np.minimum(8, m // n), []
+    for q in np.unique(width).tolist():
+        some = np.flatnonzero(width == q)
+        key = grams[base[some] + at[some]] & _MASK[q]
+        order = np.argsort(key, kind="stable")
+        some = some[order]
+        keys, begin = np.unique(key[order], return_index=True)
+        seen = np.zeros(1 << _SEEN_BITS, bool)
+        seen[_slot(keys)] = True
+        tail = grams[base[some] + end[some] - q] & _MASK[q]
+        out.append(Seeds(q, seen, keys, begin, np.diff(np.append(begin, len(some))), item[some], at[some], (end - at)[some], tail, *(tuple(x[some] for x in h) for h in halves)))
+    return out
+
+
+def _placed(grams: np.ndarray, noff: np.ndarray, seeds: Seeds) -> Iterator[np.ndarray]:
+    """(text, item, start) of the windows that pieces place in a block, some at a time."""
+    own = grams & _MASK[seeds.q]
+    maybe = np.flatnonzero(seeds.seen[_slot(own)])
+    key = np.minimum(np.searchsorted(seeds.keys, own[maybe]), len(seeds.keys) - 1)
+    hit = seeds.keys[key] == own[maybe]
+    places, keys = maybe[hit], key[hit]
+    total = np.cumsum(seeds.many[keys])
+    done = 0
+    while done < len(places):
+        to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + _MOST_PLACED, "right")))
+        place, key = places[done:to], keys[done:to]
+        done = to
+        many = seeds.many[key]
+        entry = np.repeat(seeds.begin[key], many) + S.ragged(many)
+        text = np.searchsorted(noff, place, "right") - 1
+        low, high = np.repeat(noff[text], many), np.repeat(noff[text + 1], many)
+        place, text = np.repeat(place, many), np.repeat(text, many)
+
+        def has(at, size, bytes_):
+            inside = (at >= low) & (at + size <= high)
+            return inside & (grams[np.where(inside, np.minimum(at, len(grams) - 1), 0)] & _MASK[size] == bytes_)
+
+        keep = has(place + seeds.size[entry] - seeds.q, np.full(len(entry), seeds.q), seeds.tail[entry])
+        entry, place, text, low, high = (x[keep] for x in (entry, place, text, low, high))
+        near, far = ([x[entry] for x in h] for h in (seeds.near, seeds.far))
+        keep = (near[1] == 0) | has(place + near[0], *near[1:])
+        for shift in (-1, 0, 1):
+            keep |= has(place + far[0] + shift, *far[1:])
+        entry, place, text, low = (x[keep] for x in (entry, place, text, low))
+        yield np.stack([text, seeds.item[entry], np.maximum(place - seeds.at[entry], low)], 1)
+
+
 def _matrix(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """Rows of buf from begin on, of the given sizes, padded."""
     out = np.full((len(begin), width + 1), _PAD, np.uint8)
@@ -128,31 +218,18 @@ def edits_within(item: bytes, text: bytes) -> int:
 def leaks_of(buf: np.ndarray, off: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     """(text number, item number, edits) of the leaks in a block."""
     norm, noff = normalised(buf, off)
-    hashes, first = S.words(norm, noff, lower=False)
-    seed, count = S.windows(hashes, first, SEED)
-    maybe = np.flatnonzero(items.seen[seed & np.uint64((1 << 22) - 1)])
-    place = np.minimum(np.searchsorted(items.seeds, seed[maybe]), len(items.seeds) - 1)
-    hit = items.seeds[place] == seed[maybe]
-    maybe, place = maybe[hit], place[hit]
-    if not len(maybe):
-        return []
-    many = items.many[place]
-    entry = np.repeat(items.begin[place], many) + S.ragged(many)
-    text = np.repeat(np.repeat(np.arange(len(count)), count)[maybe], many)
-    word = np.repeat((np.repeat(first[:-1], count) + S.ragged(count))[maybe], many)
-    item = items.item[entry]
-    start = np.maximum(word - items.at[entry], first[text])
-    window = np.unique(np.stack([text, item, start], 1), axis=0)
-    starts, _, _ = S.word_ranges(norm, noff)
+    grams = _grams(norm)
+    window = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *(w for seeds in items.seeds for w in _placed(grams, noff, seeds))]), axis=0)
     found: dict[tuple[int, int], int] = {}
     for i in range(0, len(window), _MOST_WINDOWS):
-        text, item, start = window[i : i + _MOST_WINDOWS].T
-        begin = starts[start]
+        text, item, begin = window[i : i + _MOST_WINDOWS].T
         size = np.minimum(items.size[item], noff[text + 1] - begin)
         sampled = items.sampled(_matrix(norm, begin, size, int(items.size[item].max())), item)
         near = (sampled == items.keys[item]).all(-1).any((1, 2))
         for t, j, b in zip(text[near].tolist(), item[near].tolist(), begin[near].tolist()):
-            most = int(MAX_EDIT * items.size[j])
+            if found.get((t, j)) == 0:
+                continue
+            most = int(items.most[j])
             low, high = max(int(noff[t]), b - most), min(int(noff[t + 1]), b + int(items.size[j]) + most)
             edits = edits_within(items.bodies[j], norm[low:high].tobytes())
             if edits <= most and edits < found.get((t, j), most + 1):
@@ -161,12 +238,12 @@ def leaks_of(buf: np.ndarray, off: np.ndarray, items: Items) -> list[tuple[int,
 
 
 def _slices(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark's items of SEED words or more, in slices of bounded size."""
+    """The benchmark's items that have a word, in slices of bounded size."""
     ids, bodies, size = [], [], 0
     for r in benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").toLocalIterator():
         raw = np.frombuffer(r["text"].encode(), np.uint8)
         body = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip() if len(raw) else b""
-        if body.count(b" ") + 1 < SEED or not body:
+        if not body:
             continue
         if ids and (len(ids) >= SLICE or size + len(body) > SLICE_BYTES):
             yield Items(np.array(ids), bodies)
@@ -181,8 +258,8 @@ def _slices(benchmark: DataFrame) -> Iterator[Items]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, item_bytes): the benchmark items that leak into docs(doc_id, text).
 
-    benchmark(item_id, text). Null and empty texts leak nothing; items that are null, have a null id or fewer
-    than SEED words are left out. Items with a repeated id count each; a pair is returned once, with its least
+    benchmark(item_id, text). Null and empty texts leak nothing; items that are null, have a null id or no
+    word are left out; one of fewer than ten bytes leaks only as it is. Items with a repeated id count each; a pair is returned once, with its least
     edits. A null doc_id stays null; other columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession

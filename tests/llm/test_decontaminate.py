@@ -75,3 +75,26 @@ def test_odd_rows(spark):
     kept = D.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
     assert D.leaks(docs, bench.limit(0)).collect() == [] and D.leaks(docs.limit(0), bench).collect() == []
+
+
+def test_recall_without_unchanged_words():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    bodies = [" ".join(rng.choices(words, k=n)).encode() for n in (1, 2, 5, 8, 8, 12, 12, 16, 16, 20, 20, 40)]
+    bodies += ["\u4e2d\u6587\u6ca1\u6709\u8bcd\u7684\u53e5\u5b50\u4e5f\u8981\u627e\u5230".encode()]
+    items = D.Items(np.arange(len(bodies)), bodies).prepared()
+    for rate in (0.0, 0.05, 0.08, 0.10):
+        texts = []
+        for k in range(260):
+            body = bytearray(bodies[k % len(bodies)])
+            for _ in range(int(rate * len(body))):
+                at, kind = rng.randrange(len(body)), rng.randrange(3)
+                body[at : at + (kind != 0)] = b"" if kind == 2 else rng.choice("xyz0123").encode()
+            texts.append(" ".join(rng.choices(words, k=6)).encode() + bytes(body) + " ".join(rng.choices(words, k=6)).encode())
+        buf, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        got = {(t, j): e for t, j, e in D.leaks_of(buf, off, items)}
+        low, at = D.normalised(buf, off)
+        least = {(t, j): D.edits_within(b, low[at[t] : at[t + 1]].tobytes()) for t in range(len(texts)) for j, b in enumerate(bodies)}
+        want = {k for k, e in least.items() if e <= int(D.MAX_EDIT * len(bodies[k[1]]))}
+        assert got.keys() <= want and len(want) >= 250
+        assert len(got) >= (0.97 if rate else 1) * len(want)
