@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-TOP, SUFFIX_CLASSES, SUFFIX_BYTES = 7, 24, 2
+TOP, SUFFIX_CLASSES, SUFFIX_BYTES = 15, 32, 2
 CLASSES = SUFFIX_CLASSES + TOP + 1
 END_CLASS = CLASSES - 1
 BUCKETS = 1 << 13
@@ -32,7 +32,7 @@ STEPS, RATE, DAMP, LARGEST = 2, 0.7, 8.0, 1.5
 CHUNK_BYTES = 8 << 20
 TOKENS_AT_ONCE = 1 << 15
 FOLDS, HELD_OUT = 7, 2
-_ROWS = 256  # of a weight table in one row of the gradient's shuffle
+_ROWS = 256  # of a weight table in one row of the gradient's shuffle; places in it fit a byte
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -167,7 +167,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _feature_counts(model: Model, expected: bool):
-    """Sums over texts of the features' observed or expected counts by class, as rows of a weight table."""
+    """Sums over texts of the features' observed or expected counts by class, as those rows of a weight table that aren't 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2 * BUCKETS + 1, CLASSES), np.float64)
@@ -181,12 +181,15 @@ def _feature_counts(model: Model, expected: bool):
             for i in range(0, len(kind), TOKENS_AT_ONCE):
                 p = _softmax(model.logits(f1[i : i + TOKENS_AT_ONCE], f2[i : i + TOKENS_AT_ONCE]))
                 for f in (f1[i : i + TOKENS_AT_ONCE], f2[i : i + TOKENS_AT_ONCE]):
-                    order = np.argsort(f, kind="stable")
+                    order = np.argsort(f.astype(np.uint16), kind="stable")
                     cut = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
                     total[f[order[cut]]] += np.add.reduceat(p[order], cut, axis=0)
                 total[-1] += p.sum(0, dtype=np.float64)
-        rows = [(k, total[k * _ROWS : (k + 1) * _ROWS].astype(np.float32).tobytes()) for k in range(-(-len(total) // _ROWS))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["row", "sums"])
+        row = np.flatnonzero(total.any(1))
+        at, sums = (row % _ROWS).astype(np.uint8), total[row].astype(np.float32)
+        cut = np.flatnonzero(np.append(True, np.diff(row // _ROWS) != 0)) if len(row) else row
+        spans = list(zip(cut, np.append(cut[1:], len(row))))
+        yield pa.RecordBatch.from_arrays([pa.array((row[cut] // _ROWS).astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (at, sums))], names=["row", "at", "sums"])
 
     return run
 
@@ -194,19 +197,22 @@ def _feature_counts(model: Model, expected: bool):
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for row, sums in zip(*(c.to_pylist() for c in batch.columns)):
-            total[row] = total.get(row, 0) + np.frombuffer(sums, np.float32).astype(np.float64)
+        for row, at, sums in zip(*(c.to_pylist() for c in S.fields(batch, "row", "at", "sums"))):
+            if row not in total:
+                total[row] = np.zeros((_ROWS, CLASSES))
+            total[row][np.frombuffer(at, np.uint8)] += np.frombuffer(sums, np.float32).reshape(-1, CLASSES)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["row", "sums"])
 
 
 def _gathered(texts: DataFrame, model: Model, expected: bool) -> np.ndarray:
     shared = texts.sparkSession.sparkContext.broadcast(model)  # the weights: a fixed size
     run = lambda it: _feature_counts(shared.value, expected)(it)
-    sums = texts.mapInArrow(run, "row int, sums binary").repartition(S.n_tasks(texts.sparkSession), "row").mapInArrow(_summed, "row int, sums binary")
+    sums = texts.mapInArrow(run, "row int, at binary, sums binary").repartition(S.n_tasks(texts.sparkSession), "row").mapInArrow(_summed, "row int, sums binary")
     out = np.zeros((2 * BUCKETS + 1, CLASSES))
     for r in sums.toLocalIterator():
         values = np.frombuffer(r["sums"], np.float64).reshape(-1, CLASSES)
-        out[r["row"] * _ROWS : r["row"] * _ROWS + len(values)] += values
+        some = out[r["row"] * _ROWS : (r["row"] + 1) * _ROWS]
+        some += values[: len(some)]
     S.release(texts.sparkSession)
     return out
 

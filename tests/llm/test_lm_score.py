@@ -72,3 +72,17 @@ def test_odd_rows(spark):
     alone = next(i for i in range(100) if held(i))
     only = M.lm_scores(spark.createDataFrame([(alone, "a b")], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in only] == [(3, 0, 0)]
+
+
+def test_all_classes_and_whole_sums(spark):
+    assert (M.TOP, M.SUFFIX_CLASSES, M.CLASSES) == (15, 32, 48)
+    texts = ["a b a c", "", "b c " * 30, *(f"word{k} and{k % 7} a" for k in range(300))]
+    model = M.Model(np.zeros(0, np.uint64), np.zeros(M.SUFFIX_CLASSES), np.random.default_rng(3).normal(size=(2 * M.BUCKETS + 1, M.CLASSES)).astype(np.float32))
+    raw = [t.encode() for t in texts]
+    kind, f1, f2, _ = M.histories(model, *M.tokens(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw])))))
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    for expected, p in ((False, np.eye(M.CLASSES)[kind]), (True, M._softmax(model.logits(f1, f2).astype(float)))):
+        want = np.zeros((2 * M.BUCKETS + 1, M.CLASSES))
+        for f in (f1, f2, np.full(len(kind), 2 * M.BUCKETS)):
+            np.add.at(want, f, p)
+        assert np.allclose(M._gathered(frame, model, expected), want, atol=1e-3, rtol=1e-5)
