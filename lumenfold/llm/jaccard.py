@@ -13,8 +13,8 @@ the sets need, and then verified on the whole sets.
 
 Representatives are first compared with a leader each, the smallest one with the same minimum under a hash,
 which is linear in their number. Its links make most large groups of near copies one component, and blocks of
-one component need no join. A block above BLOCK representatives is dealt out: its largest component once, and to
-all of its parts what is not in it.
+one component need no join. A block above BLOCK representatives is dealt out: its largest component and what is not
+in it into parts of about BLOCK each, and each part of the one meets each part of the other.
 
 Which shingles count as frequent, and the leaders, only decide how much work is done: every pair of sets
 within the threshold is either verified or already linked through others.
@@ -41,6 +41,8 @@ COUNTED, FREQUENT, MOST_FREQUENT = 16, 4, 500_000
 #: A leader must share so many of the minima under so many hashes.
 LEADER_SHARED, LEADER_HASHES = 5, 8
 BLOCK, LEAF = 128, 8
+#: Pairs of leaves whose sets are compared at a time.
+LEAF_PAIRS = 1024
 #: Candidate pairs of a component that a round verifies; after the last one, all that are left.
 ROUNDS = (3, 48)
 SIGNATURE_WORDS = 32
@@ -193,6 +195,12 @@ class SignatureTree:
                 u, v = np.repeat(2 * u, 4) + np.tile([0, 0, 1, 1], len(u)), np.repeat(2 * v, 4) + np.tile([0, 1, 0, 1], len(v))
                 inside = (u <= v) & (v < n)
                 u, v = u[inside], v[inside]
+        found = [self._leaf_pairs(u[i : i + LEAF_PAIRS], v[i : i + LEAF_PAIRS]) for i in range(0, max(len(u), 1), LEAF_PAIRS)]
+        a, b, overlap = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return self.order[a], self.order[b], overlap / (self.size[a] + self.size[b] - overlap)
+
+    def _leaf_pairs(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of sets of these pairs of leaves that may link, and their largest possible overlap."""
         k = LEAF
         a = np.repeat(k * u, k * k) + np.tile(np.repeat(np.arange(k), k), len(u))
         b = np.repeat(k * v, k * k) + np.tile(np.tile(np.arange(k), k), len(v))
@@ -202,8 +210,7 @@ class SignatureTree:
         a, b = a[keep], b[keep]
         overlap = np.minimum(self.size[a] - _count_bits(self.sig[a] & ~self.sig[b]), self.size[b] - _count_bits(self.sig[b] & ~self.sig[a]))
         keep = _enough(overlap, self.size[a], self.size[b])
-        a, b, overlap = a[keep], b[keep], overlap[keep]
-        return self.order[a], self.order[b], overlap / (self.size[a] + self.size[b] - overlap)
+        return a[keep], b[keep], overlap[keep]
 
 
 def _enough(overlap: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -333,18 +340,20 @@ def _blocks(postings: DataFrame, described: DataFrame, comps: DataFrame) -> Data
     small = members.where(F.col("n") <= BLOCK).groupBy("shingle").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).select("docs").distinct()
     small = small.select(F.xxhash64("docs", F.lit(0)).alias("block"), F.explode("docs").alias("doc_id"))
 
-    # of a large block's largest component, each member goes to one part; the others go to all of these parts, and
-    # to the pairs of parts of their own
+    # of a large block's largest component, each member goes to one part, and so do the others to parts of their own;
+    # every part meets each of the others' parts, and these meet one another, in blocks of two parts
     large = members.where(F.col("n") > BLOCK)
     main = large.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"))
     large = large.join(main, "shingle").withColumns({"parts": F.ceil(F.col("k") / BLOCK).cast("int"), "own": F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")})
     inside, others = large.where("comp = main"), large.where("comp <> main")
-    once = inside.select(F.xxhash64("shingle", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"), "doc_id")
-    against = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    against = against.select(F.xxhash64("shingle", F.col("part").cast("long")).alias("block"), "doc_id")
-    among = others.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    own_part = F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int")
+    main_part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    once = inside.withColumn("part", main_part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    against = others.withColumn("other", own_part).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cross = once.unionByName(against).select(F.xxhash64("shingle", F.lit("main"), "part", "other").alias("block"), "doc_id")
+    among = others.withColumn("part", own_part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
     among = among.select(F.xxhash64("shingle", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "doc_id")
-    large = once.unionByName(against).unionByName(among)
+    large = cross.unionByName(among)
     return small.unionByName(large).join(described, "doc_id").join(comps, "doc_id").select("block", "doc_id", "n_shingles", "comp", "sig")
 
 

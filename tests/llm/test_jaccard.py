@@ -112,3 +112,26 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 161)}, 200: 200, 201: 200}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("main", [1, 90])
+def test_large_blocks_have_bounded_parts_and_every_pair(spark, monkeypatch, main):
+    monkeypatch.setattr(J, "BLOCK", 16)
+    comp = {i: min(i, 0) if i < main else i for i in range(300)}
+    postings = spark.createDataFrame([(7, i) for i in comp], "shingle long, doc_id long")
+    described = spark.createDataFrame([(i, 50, b"") for i in comp], "doc_id long, n_shingles long, sig binary")
+    members = {}
+    for r in J._blocks(postings, described, spark.createDataFrame(list(comp.items()), "doc_id long, comp long")).collect():
+        members.setdefault(r.block, []).append(r.doc_id)
+    assert max(map(len, members.values())) <= 5 * J.BLOCK
+    met = {(a, b) for docs in members.values() for a in docs for b in docs if comp[a] != comp[b]}
+    assert met == {(a, b) for a in comp for b in comp if comp[a] != comp[b]}
+
+
+def test_leaf_pairs_in_chunks(monkeypatch):
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 63, (90, J.SIGNATURE_WORDS)).astype(np.uint64)
+    tree = J.SignatureTree(np.full(90, 10_000), sig, np.arange(90))
+    want = [x.tolist() for x in tree.self_join()]
+    monkeypatch.setattr(J, "LEAF_PAIRS", 3)
+    assert [x.tolist() for x in tree.self_join()] == want and want[0]
