@@ -18,15 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2_000_000
+#: Bytes of a shuffle that a task takes, where their number is known beforehand.
+TASK_BYTES = 128 << 20
 
 
 # --- scratch tables ------------------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share. In local mode, where they are one, a folder of our own if none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return base
@@ -48,6 +52,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Settled tables of one operator by name, so that each can be deleted once the next no longer reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def settle(self, df: DataFrame, name: str, drop: tuple[str, ...] = ()) -> DataFrame:
+        """Write df and return the table; then delete the tables named in `drop`, which df was the last to read."""
+        path = scratch(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths[name] = path
+        self.drop(*drop)
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that nothing refers to any more."""
     gc.collect()
@@ -59,8 +85,9 @@ def crc_of_id(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
 
 
-def n_tasks(spark: SparkSession, at_least: int = 1) -> int:
-    return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def n_tasks(spark: SparkSession, n_bytes: int = 0) -> int:
+    """Tasks for a shuffle of so many bytes: the session's number, or more if a task would get above TASK_BYTES."""
+    return max(-(-n_bytes // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 # --- Arrow text blocks ---------------------------------------------------------------------------

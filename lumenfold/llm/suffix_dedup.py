@@ -3,15 +3,15 @@
 Every window of LENGTH bytes holds an anchor, the smallest hashed GRAM of the window, and equal windows hold
 equal anchors at the same place. So only suffixes around anchors that occur twice can matter:
 
-1. Each text is cut into runs of windows with one anchor. A run's context is its bytes; (anchor, context)
-   hashes are grouped, and of equal contexts all but the earliest are removed whole.
-2. What differs between contexts of one anchor is decided by their bytes. Distinct contexts, gathered by
-   anchor, are sorted as suffixes one bucket at a time: a bucket is whole anchors of a bounded number of
-   bytes. Suffixes are sorted by their first V bytes, and ties are resolved by ranks of the suffixes at
-   difference-cover positions, worked out beforehand, so memory follows the bucket and not the ties.
-   In the sorted order equal windows are neighbours, and all but the earliest are removed.
-3. An anchor with more than HOT distinct contexts is not gathered: its windows become rows of their own,
-   hashed and grouped with partial sums before the shuffle.
+1. Each text is cut into runs of windows with one anchor. Runs whose anchor occurs once are left out.
+2. The others' contexts, that is their bytes, are gathered by anchor and sorted as suffixes one bucket at a
+   time: a bucket is whole anchors of a bounded number of bytes. Suffixes are sorted by their first V bytes,
+   and ties are resolved by ranks of the suffixes at difference-cover positions, worked out beforehand, so
+   memory follows the bucket and not the ties. In the sorted order equal windows are neighbours, and all but
+   the earliest are removed.
+3. An anchor of more than `most_runs` contexts is dealt out to several buckets. What is removed in one of them
+   is settled; the first windows of each go on to buckets by longer keys, of 60, 90 and at last all 100 bytes
+   of the windows, until each key fits into a bucket. Keys that occur once are left out at each step.
 """
 
 from __future__ import annotations
@@ -21,24 +21,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared as S
 
 LENGTH, GRAM = 100, 20
+#: Bytes that contexts of one bucket key share, by level.
+KEY_BYTES = (GRAM, 60, 90, LENGTH)
 #: A perfect difference set: every shift modulo V is a difference of two of its members.
 V, COVER = 7, np.array([0, 1, 3])
-BUCKET_BYTES = 400_000
-HOT = 2000
-RUN_SCHEMA = "anchor long, context long, doc_id long, h int, place long"
+BUCKET_BYTES, MOST_RUNS = 400_000, 2000
+RUN_SCHEMA = "key long, doc_id long, h long, place long"
+CONTEXT_SCHEMA = "key long, n long, doc_id long, h long, place long, body binary"
+SORTED_SCHEMA = "gone boolean, doc_id long, h long, place long, body binary"
 OUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_COUNT_BITS = 7  # of place: a run has at most LENGTH - GRAM + 1 windows; the rest is its first window
+#: A place holds the first window of a run in its text, the anchor after it, and the windows, the last two below 128.
+_BITS = 7
+_LOW = (1 << _BITS) - 1
 
 
 # --- runs and their contexts ---------------------------------------------------------------------
 
 
+def _place(begin: np.ndarray, anchor: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (begin << 2 * _BITS) | (anchor << _BITS) | n
+
+
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Where the first of the least values of x[i:i+width] is, for each i, by doubling."""
     value, at, span = x, np.arange(len(x), dtype=np.int32), 1
@@ -53,13 +63,12 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return (merged(value, at, width - span) if width > span else (value, at))[1]
 
 
-def runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor, context, text number, first window in the text, windows) of the runs in a block."""
-    lengths = np.diff(off)
-    count = np.maximum(lengths - LENGTH + 1, 0)
+def runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, text number, place) of the runs in a block."""
+    count = np.maximum(np.diff(off) - LENGTH + 1, 0)
     if not count.sum():
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none
     up, down = S._powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
@@ -72,34 +81,77 @@ def runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(start)))
     begin = start[first]
-    end = begin + n + LENGTH - 1
-    body = S.mix((total[end] - total[begin]) * down[begin])
-    place = ((at[first] - begin).astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
-    return gram[at[first]], S.mix(body + S.mix(place)), text[first], begin - off[text[first]], n
+    return gram[at[first]], text[first], _place(begin - off[text[first]], at[first] - begin, n)
+
+
+def _slabs(b: S.Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, bytes, offsets): a block as it is, or a longer text in slabs that overlap so that no window is lost."""
+    if b.n > 1 or len(b.buf) <= S.BLOCK_BYTES:
+        yield 0, b.buf, b.off
+        return
+    for at in range(0, len(b.buf) - LENGTH + 1, S.BLOCK_BYTES):
+        slab = b.buf[at : at + S.BLOCK_BYTES + LENGTH - 1]
+        yield at, slab, np.array([0, len(slab)])
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in S.blocks(batches):
-        anchor, context, text, begin, n = runs(b.buf, b.off)
-        doc_id, h = (c.take(pa.array(text)) for c in S.fields(b.rows, "doc_id", "h"))
-        place = (begin << _COUNT_BITS) | n
-        yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(context.astype(np.int64)), doc_id, h, pa.array(place)], names=["anchor", "context", "doc_id", "h", "place"])
+        for at, buf, off in _slabs(b):
+            key, text, place = runs(buf, off)
+            doc_id, h = (c.take(pa.array(text)) for c in S.fields(b.rows, "doc_id", "h"))
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), doc_id, h, pa.array(place + (at << 2 * _BITS))], names=["key", "doc_id", "h", "place"])
+
+
+def _bodies(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    cut = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+    body = buf[np.repeat(begin, size) + S.ragged(size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, cut.buffers()[1], pa.py_buffer(body)])
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each wanted run, with its bytes."""
+    """One row for each wanted run, with its bytes; rows alike in doc_id and text are one document."""
+    before = None
     for b in S.blocks(batches):
-        anchors, places, of = (c.flatten() for c in S.fields(b.rows, "anchors", "places", "of"))
-        text = S.fields(b.rows, "places")[0].value_lengths().to_numpy()
-        text = np.repeat(np.arange(b.n), text)
-        doc_id, h = (c.take(pa.array(text)) for c in S.fields(b.rows, "doc_id", "h"))
+        which = list(zip(*(c.to_pylist() for c in S.fields(b.rows, "doc_id", "h"))))
+        new = np.array([x != y for x, y in zip(which, [before, *which])])
+        before = which[-1]
+        runs_of = S.fields(b.rows, "places")[0].value_lengths().to_numpy()
+        keys, n, places = (c.flatten() for c in S.fields(b.rows, "keys", "of", "places"))
+        text = np.repeat(np.arange(b.n), runs_of)
+        wanted = np.flatnonzero(new[text])
         place = places.to_numpy()
-        begin = b.off[text] + (place >> _COUNT_BITS)
-        size = (place & ((1 << _COUNT_BITS) - 1)) + LENGTH - 1
-        body = b.buf[np.repeat(begin, size) + S.ragged(size)]
-        cut = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-        body = pa.Array.from_buffers(pa.binary(), len(size), [None, cut.buffers()[1], pa.py_buffer(body)])
-        yield pa.RecordBatch.from_arrays([anchors, of, doc_id, h, places, body], names=["anchor", "of", "doc_id", "h", "place", "body"])
+        size = (place & _LOW) + LENGTH - 1
+        for i in range(0, len(wanted), 20_000):
+            some = wanted[i : i + 20_000]
+            take = pa.array(some)
+            doc_id, h = (c.take(pa.array(text[some])) for c in S.fields(b.rows, "doc_id", "h"))
+            body = _bodies(b.buf, b.off[text[some]] + (place[some] >> 2 * _BITS), size[some])
+            yield pa.RecordBatch.from_arrays([keys.take(take), n.take(take), doc_id, h, places.take(take), body], names=["key", "n", "doc_id", "h", "place", "body"])
+
+
+def _refine(level: int):
+    """Contexts as contexts by the keys of a level: windows in one share KEY_BYTES[level] bytes at the same place."""
+    width = KEY_BYTES[level]
+    step = LENGTH - width + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in S.blocks(batches, "body", 1_000_000):
+            place = S.fields(b.rows, "place")[0].to_numpy()
+            n, anchor = place & _LOW, (place >> _BITS) & _LOW
+            owner, inside = np.repeat(np.arange(b.n), n), S.ragged(n)
+            group = (anchor[owner] - inside) // step
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (group[1:] != group[:-1])
+            first = np.flatnonzero(new)
+            many, owner, inside, group = np.diff(np.append(first, len(new))), owner[first], inside[first], group[first]
+            begin = b.off[owner]
+            shared = begin + anchor[owner] - step * group
+            key = S.mix(S.range_hash(b.buf, shared, shared + width) + S.mix((group + 128 * level).astype(np.uint64)))
+            doc_id, h = (c.take(pa.array(owner)) for c in S.fields(b.rows, "doc_id", "h"))
+            cut = _place((place[owner] >> 2 * _BITS) + inside, anchor[owner] - inside, many)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), doc_id, h, pa.array(cut), _bodies(b.buf, begin + inside, many + LENGTH - 1)], names=["key", "doc_id", "h", "place", "body"])
+
+    return run
 
 
 # --- sorting suffixes ----------------------------------------------------------------------------
@@ -178,153 +230,166 @@ def repeats(text: np.ndarray, at: np.ndarray, order_of: tuple[np.ndarray, ...])
     return out
 
 
-def _resolve(rows: pa.Table) -> pa.RecordBatch:
-    """The windows of a bucket's contexts that occur earlier in it: runs of (doc_id, h, place)."""
+def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
+    """SORTED_SCHEMA for a bucket's contexts: the windows that occur earlier in it, as runs, and if asked the others with their bytes."""
     body, off = S.text_view(rows.column("body").combine_chunks() if rows.column("body").num_chunks != 1 else rows.column("body").chunk(0))
     doc_id, h, place = (rows.column(c).to_numpy() for c in ("doc_id", "h", "place"))
-    n = place & ((1 << _COUNT_BITS) - 1)
+    order = np.lexsort((place, h, doc_id))  # a context that is there twice comes from a repeated row
+    once = np.append(True, np.any([x[order[1:]] != x[order[:-1]] for x in (doc_id, h, place)], axis=0))
+    if not once.all():
+        return _resolve(rows.take(pa.array(np.sort(order[once]))), firsts)
+    n = place & _LOW
     owner = np.repeat(np.arange(len(n)), n)
     inside = S.ragged(n)
-    begin = (place >> _COUNT_BITS)[owner] + inside
-    gone = np.flatnonzero(repeats(body, off[:-1][owner] + inside, (begin, h[owner], doc_id[owner])))
+    begin = (place >> 2 * _BITS)[owner] + inside
+    gone = repeats(body, off[:-1][owner] + inside, (begin, h[owner], doc_id[owner]))
     new = np.ones(len(gone), bool)
-    new[1:] = (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])
+    new[1:] = (gone[1:] != gone[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(gone)))
-    first = gone[first]
-    return pa.RecordBatch.from_arrays([pa.array(doc_id[owner[first]]), pa.array(h[owner[first]]), pa.array((begin[first] << _COUNT_BITS) | count)], names=["doc_id", "h", "place"])
-
-
-def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; a bucket is the rows of whole anchors, of BUCKET_BYTES or one anchor."""
-    held, size = [], 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            held.append(batch.slice(at, 512))
-            size += sum(len(x) for x in held[-1].column(held[-1].schema.get_field_index("body")).to_pylist())
-            if size >= BUCKET_BYTES:
-                rows = pa.Table.from_batches(held)
-                keys = rows.column("anchor").to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))
-                if cut:
-                    yield _resolve(rows.slice(0, cut))
-                    held = rows.slice(cut).to_batches()
-                    size = sum(len(x) for b in held for x in b.column(b.schema.get_field_index("body")).to_pylist())
-    if held and sum(b.num_rows for b in held):
-        yield _resolve(pa.Table.from_batches(held))
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the contexts of hot anchors: 128 bits of hash and where it is."""
-    for b in S.blocks(batches, "body", 200_000):
-        place = S.fields(b.rows, "place")[0].to_numpy()
-        n = place & ((1 << _COUNT_BITS) - 1)
-        owner = np.repeat(np.arange(b.n), n)
-        start = b.off[:-1][owner] + S.ragged(n)
-        w1 = S.range_hash(b.buf, start, start + LENGTH)
-        w2 = S.range_hash(np.concatenate((b.buf[1:], b.buf[:1])) ^ np.uint8(0x5A), start, start + LENGTH - 1)
-        at = ((place >> _COUNT_BITS)[owner] + S.ragged(n)) << _COUNT_BITS | 1
-        doc_id, h = (c.take(pa.array(owner)) for c in S.fields(b.rows, "doc_id", "h"))
-        yield pa.RecordBatch.from_arrays([pa.array(w1.astype(np.int64)), pa.array(w2.astype(np.int64)), doc_id, h, pa.array(at)], names=["w1", "w2", "doc_id", "h", "place"])
+    many = np.diff(np.append(first, len(gone)))
+    if not firsts:
+        keep = gone[first]
+        first, many = first[keep], many[keep]
+    own, inner = owner[first], inside[first]
+    anchor = ((place >> _BITS) & _LOW)[own]
+    at = _place(begin[first], np.where(gone[first], 0, anchor - inner), many)
+    bodies = _bodies(body, off[own] + inner, np.where(gone[first], 0, many + LENGTH - 1))
+    return pa.RecordBatch.from_arrays([pa.array(gone[first]), pa.array(doc_id[own]), pa.array(h[own]), pa.array(at), bodies], names=["gone", "doc_id", "h", "place", "body"])
+
+
+def _sort_buckets(bucket_bytes: int):
+    """Rows come sorted by bucket; what is sorted at once is the rows of whole buckets, of bucket_bytes or one bucket."""
+
+    def n_bytes(batch: pa.RecordBatch) -> int:
+        return pc.sum(pc.binary_length(S.fields(batch, "body")[0])).as_py() or 0
+
+    def resolved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        hot = np.asarray(rows.column("hot"))
+        for firsts in (False, True):
+            if (hot == firsts).any():
+                yield _resolve(rows.filter(pa.array(hot == firsts)), firsts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                held.append(batch.slice(at, 512))
+                size += n_bytes(held[-1])
+                if size >= bucket_bytes:
+                    rows = pa.Table.from_batches(held)
+                    keys = rows.column("bucket").to_numpy()
+                    cut = int(np.searchsorted(keys, keys[-1]))
+                    if cut:
+                        yield from resolved(rows.slice(0, cut))
+                        held = rows.slice(cut).to_batches()
+                        size = sum(map(n_bytes, held))
+        if held and sum(b.num_rows for b in held):
+            yield from resolved(pa.Table.from_batches(held))
+
+    return run
 
 
 # --- removal -------------------------------------------------------------------------------------
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("h"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
 
 
-def _not_first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(doc_id, h, place) of the rows that share keys with an earlier row."""
-    where = F.struct("doc_id", "h", "place")
-    first = rows.groupBy(*keys).agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select(*keys, "first")
-    first = S.settle(first, "first-places")  # see removals()
-    return rows.join(first, keys).where(F.col("first") != where).select("doc_id", "h", "place")
+def _sorted(contexts: DataFrame, n_bytes: int, bucket_bytes: int, most_runs: int, salt: int) -> DataFrame:
+    """SORTED_SCHEMA of contexts; keys of more than most_runs of them are dealt out, and their first windows come along."""
+    part = F.pmod(F.xxhash64("doc_id", "h", "place", F.lit(salt)), F.ceil(F.col("n") / most_runs))
+    hot = F.col("n") > most_runs
+    dealt = contexts.select(F.when(hot, F.xxhash64("key", part)).otherwise(F.col("key")).alias("bucket"), hot.alias("hot"), "doc_id", "h", "place", "body")
+    dealt = dealt.repartition(S.n_tasks(contexts.sparkSession, n_bytes), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_sort_buckets(bucket_bytes), SORTED_SCHEMA)
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, places): the windows to remove of each document that has any, as first window and count."""
-    spark, tasks = docs.sparkSession, S.n_tasks(docs.sparkSession)
-    keyed = _keyed(docs).where(F.col("doc_id").isNotNull())
-    found = S.settle(keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_runs, RUN_SCHEMA), "runs")
+def removals(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_runs: int = MOST_RUNS) -> DataFrame:
+    """(doc_id, h, places): the windows to remove of each document that has any, as places with anchor 0."""
+    scratch = S.Scratch(docs.sparkSession)
+    keyed = _keyed(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    found = scratch.settle(keyed.mapInArrow(_find_runs, RUN_SCHEMA), "runs")
     # the keys are a table of their own: a join right behind their sum could not split a hot key
-    twice = S.settle(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
-    found = S.settle(found.join(twice, "anchor"), "repeated-runs")
-    whole = S.settle(_not_first(found, ["anchor", "context"]), "repeated-contexts")
-
-    distinct = found.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"))
-    distinct = S.settle(distinct.select("anchor", "first.*"), "distinct-contexts")
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("of")).where(F.col("of") > 1)
-    wanted = distinct.join(several, "anchor").groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "place", "of")).alias("runs"))
-    wanted = wanted.select("doc_id", "h", F.col("runs.anchor").alias("anchors"), F.col("runs.place").alias("places"), F.col("runs.of").alias("of"))
-    once = keyed.join(wanted, ["doc_id", "h"])
-    contexts = once.mapInArrow(_cut_contexts, "anchor long, of long, doc_id long, h int, place long, body binary")
-    contexts = S.settle(contexts.dropDuplicates(["anchor", "doc_id", "h", "place"]), "contexts")
-    cold = contexts.where(F.col("of") <= HOT).repartition(tasks, "anchor").sortWithinPartitions("anchor")
-    sorted_out = cold.mapInArrow(_sort_buckets, "doc_id long, h int, place long")
-    hot = S.settle(contexts.where(F.col("of") > HOT).mapInArrow(_windows, "w1 long, w2 long, doc_id long, h int, place long"), "hot-windows")
-    gone = whole.unionByName(sorted_out).unionByName(_not_first(hot, ["w1", "w2"]))
-    return S.settle(gone.groupBy("doc_id", "h").agg(F.collect_set("place").alias("places")), "removals")
+    twice = scratch.settle(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")
+    wanted = found.join(twice, "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "n", "place")).alias("runs"))
+    wanted = wanted.select("doc_id", "h", F.col("runs.key").alias("keys"), F.col("runs.n").alias("of"), F.col("runs.place").alias("places"))
+    wanted = scratch.settle(wanted, "wanted-runs", ("runs", "repeated-anchors"))
+    n_bytes = 2 * LENGTH * (wanted.agg(F.sum(F.size("places"))).first()[0] or 0)
+    contexts = keyed.join(wanted, ["doc_id", "h"]).mapInArrow(_cut_contexts, CONTEXT_SCHEMA)
+    rounds = [scratch.settle(_sorted(contexts, n_bytes, bucket_bytes, most_runs, 0), "sorted", ("wanted-runs",))]
+    while not (firsts := rounds[-1].where("NOT gone")).isEmpty():
+        k = len(rounds)
+        finer = firsts.mapInArrow(_refine(min(k, len(KEY_BYTES) - 1)), RUN_SCHEMA + ", body binary")
+        finer = scratch.settle(finer, f"finer-{k}")
+        count = scratch.settle(finer.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("b")).where("n > 1"), f"finer-keys-{k}")
+        n_bytes = count.agg(F.sum("b")).first()[0] or 0
+        rounds.append(scratch.settle(_sorted(finer.join(count.drop("b"), "key"), n_bytes, bucket_bytes, most_runs, k), f"sorted-{k}", (f"finer-{k}", f"finer-keys-{k}")))
+    gone = rounds[0]
+    for r in rounds[1:]:
+        gone = gone.unionByName(r)
+    gone = gone.where("gone").groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
+    return scratch.settle(gone, "removals", ("sorted", *(f"sorted-{k}" for k in range(1, len(rounds)))))
 
 
 def _spans(length: int, places: np.ndarray) -> np.ndarray:
     """Maximal removed runs (begin, end) of a text."""
     begin = np.sort(places)
-    begin, end = begin >> _COUNT_BITS, (begin >> _COUNT_BITS) + (begin & ((1 << _COUNT_BITS) - 1)) + LENGTH - 1
+    begin, end = begin >> 2 * _BITS, (begin >> 2 * _BITS) + (begin & _LOW) + LENGTH - 1
     end = np.minimum(np.maximum.accumulate(end), length)
     new = np.append(True, begin[1:] > end[:-1])
     first = np.flatnonzero(new)
     return np.stack([begin[first], end[np.append(first[1:], len(begin)) - 1]], 1)
 
 
-def _kept(rows: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, np.ndarray | None, bytes]]:
+def _kept(text: pa.Array, places: pa.Array) -> Iterator[tuple[int, np.ndarray | None, bytes]]:
     """(bytes, spans, what remains) of each row."""
-    raw, off = S.text_view(S.fields(rows, text)[0])
-    for i, places in enumerate(S.fields(rows, "places")[0]):
+    raw, off = S.text_view(text)
+    for i, own in enumerate(places):
         body = raw[off[i] : off[i + 1]]
-        if not places.is_valid or not len(places):
+        if not own.is_valid or not len(own):
             yield len(body), None, body.tobytes()
             continue
-        spans = _spans(len(body), places.values.to_numpy())
-        keep = np.zeros(len(body) + 1, np.int32)
-        np.add.at(keep, spans[:, 0], 1)
-        np.add.at(keep, spans[:, 1], -1)
-        yield len(body), spans, body[np.cumsum(keep[:-1]) == 0].tobytes()
+        spans = _spans(len(body), own.values.to_numpy())
+        rest = zip(np.append(0, spans[:, 1]), np.append(spans[:, 0], len(body)))
+        yield len(body), spans, b"".join([body[x:y].tobytes() for x, y in rest])
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_runs: int = MOST_RUNS) -> DataFrame:
     """OUT_SCHEMA for each row of docs(doc_id, text), judged as UTF-8 bytes.
 
     A byte is removed if a string of LENGTH bytes that covers it, inside its text, also starts earlier: in a
     document of smaller doc_id, or before in the same one. A null text is empty. Rows alike in doc_id and
     text are one document and get the same result; rows that share a doc_id but not the text come in the order
     of a hash of their texts. Rows without a doc_id match nothing and are kept whole. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored, whatever their names; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in S.blocks(batches):
-            rows = [(n, n - len(rest), 0 if spans is None else len(spans), hashlib.sha256(rest).hexdigest()) for n, spans, rest in _kept(b.rows)]
+            rows = [(n, n - len(rest), 0 if spans is None else len(spans), hashlib.sha256(rest).hexdigest()) for n, spans, rest in _kept(*S.fields(b.rows, "text", "places"))]
             yield pa.RecordBatch.from_arrays([S.fields(b.rows, "doc_id")[0], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=[x.split()[0] for x in OUT_SCHEMA.split(", ")])
 
-    return _keyed(docs).join(removals(docs), ["doc_id", "h"], "left").select("doc_id", "text", "places").mapInArrow(run, OUT_SCHEMA)
+    return _keyed(docs).join(removals(docs, bucket_bytes, most_runs), ["doc_id", "h"], "left").select("doc_id", "text", "places").mapInArrow(run, OUT_SCHEMA)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_runs: int = MOST_RUNS) -> DataFrame:
     """docs with the repeated bytes taken out of text, columns as they were; n_chars, if there, counts anew.
 
-    A cut may fall inside a character; the rest of such a character goes too.
+    A cut may fall inside a character; the rest of such a character goes too. Null and empty texts stay as they
+    are, and so do rows without a doc_id; repeated rows are cut alike; other columns may have any names; an
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in S.blocks(batches, "text"):
-            rest = [None if not t.is_valid else r.decode("utf-8", "ignore") for t, (_, _, r) in zip(S.fields(b.rows, "text")[0], _kept(b.rows))]
-            names = [c for c in b.rows.schema.names if c != "places"]
-            yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()) if c == "text" else S.fields(b.rows, c)[0] for c in names], names=names)
-
-    schema = docs.schema
-    found = removals(docs).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "places")
-    with_places = docs.join(found, (docs["doc_id"] == F.col("_doc")) & (F.hash(docs["text"]) == F.col("_h")), "left").select(*[docs[c] for c in docs.columns], "places")
-    out = with_places.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                row, places = S.fields(batch.slice(at, 512), "row", "places")
+                row = dict(zip((f.name for f in row.type), row.flatten()))
+                rest = [None if not t.is_valid else r.decode("utf-8", "ignore") for t, (_, _, r) in zip(row["text"], _kept(row["text"], places))]
+                row["text"] = pa.array(rest, pa.string())
+                yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    out = whole.join(removals(docs, bucket_bytes, most_runs), ["doc_id", "h"], "left").select("row", "places").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -35,10 +35,8 @@ def test_whole_table_equals_brute_force(spark):
     assert sum(x[1] for x in want.values()) > 1000
 
 
-@pytest.mark.parametrize("hot,bucket", [(2000, 400_000), (3, 500)])
-def test_planted_repeats(spark, monkeypatch, hot, bucket):
-    monkeypatch.setattr(D, "HOT", hot)
-    monkeypatch.setattr(D, "BUCKET_BYTES", bucket)
+@pytest.mark.parametrize("bucket,most", [(400_000, 2000), (500, 2000), (20_000, 5), (1, 3), (3_000, 1)])
+def test_planted_repeats(spark, bucket, most):
     rng = random.Random(11)
     noise = lambda n: "".join(rng.choice("abcdeé fgh") for _ in range(n))
     passage, rows = noise(260), []
@@ -50,20 +48,59 @@ def test_planted_repeats(spark, monkeypatch, hot, bucket):
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
-    assert got(D.suffix_dedup(docs)) == want
-    if hot == 2000:
-        kept = {r.doc_id: r for r in D.without_repeats(docs.selectExpr("doc_id", "text", "'x' AS places2", "99L AS n_chars")).collect()}
+    assert got(D.suffix_dedup(docs, bucket, most)) == want
+    if bucket == 500:
+        kept = {r.doc_id: r for r in D.without_repeats(docs.selectExpr("doc_id", "text", "'x' AS places", "1 AS _doc", "2 AS h", "3 AS row", "99L AS n_chars"), bucket, most).collect()}
+        assert all((r.places, r._doc, r.h, r.row) == ("x", 1, 2, 3) for r in kept.values())
         assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept.values())
         assert all(len((r.text or "").encode()) <= want[i][0] - want[i][1] for i, r in kept.items())
 
 
+def test_hot_passage_in_every_text_and_hot_gram_with_unlike_surroundings(spark):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, gram = noise(150), noise(25)
+    rows = [(i, noise(70) + (passage if i % 3 else gram * (1 + i % 2)) + noise(120)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(D.suffix_dedup(docs, 2000, 7)) == brute(rows)
+
+
+def test_every_removal_comes_out_of_a_sorted_bucket(spark, monkeypatch):
+    real, found = D._sorted, []
+
+    def counted(*args):
+        out = real(*args)
+        found.append(out)
+        return out
+
+    monkeypatch.setattr(D, "_sorted", counted)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = D.removals(docs).selectExpr("explode(places) AS p").selectExpr("sum(p & 127)").first()[0]
+    assert len(found) == 1 and n > 1000
+
+
+def test_text_longer_than_a_block(spark, monkeypatch):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(9000))
+    buf = np.frombuffer(long.encode(), np.uint8)
+    whole = D.runs(buf, np.array([0, len(buf)]))[2]
+    monkeypatch.setattr(D.S, "BLOCK_BYTES", 1000)
+    parts = [D.runs(b, off)[2] + (at << 14) for at, b, off in D._slabs(D.S.Block(None, buf, np.array([0, len(buf)])))]
+    windows = lambda places: {(p >> 14) + k for p in places.tolist() for k in range(p & 127)}
+    assert windows(np.concatenate(parts)) == windows(whole) == set(range(9000 - 99))
+
+
 def test_odd_rows(spark):
     t = "the quick brown fox jumps over the lazy dog and runs away from it all, never to be seen again by anybody, ever"
     rows = [(1, t, "x"), (1, t, "x"), (2, t, "x"), (None, t, "x"), (None, None, "x"), (3, "q" * 300_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, places string")
-    out = sorted(((r.doc_id, r.n_removed, r.n_spans) for r in D.suffix_dedup(docs).collect()), key=str)
-    assert out == sorted([(1, 0, 0), (1, 0, 0), (2, len(t), 1), (None, 0, 0), (None, 0, 0), (3, 300_000 - 1, 1)], key=str)
+    for limits in ((400_000, 2000), (400_000, 2)):
+        out = sorted(((r.doc_id, r.n_removed, r.n_spans) for r in D.suffix_dedup(docs, *limits).collect()), key=str)
+        assert out == sorted([(1, 0, 0), (1, 0, 0), (2, len(t), 1), (None, 0, 0), (None, 0, 0), (3, 300_000 - 1, 1)], key=str)
     assert D.suffix_dedup(docs.limit(0)).collect() == []
+    kept = D.without_repeats(docs)
+    assert sorted((str(r.doc_id), len(r.text or ""), r.places) for r in kept.collect()) == sorted([("1", len(t), "x"), ("1", len(t), "x"), ("2", 0, "x"), ("None", len(t), "x"), ("None", 0, "x"), ("3", 1, "x")])
+    assert D.without_repeats(docs.limit(0)).collect() == []
 
 
 def test_sorted_suffixes():
