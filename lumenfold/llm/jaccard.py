@@ -50,7 +50,7 @@ SIGNATURE_WORDS = 32
 SKETCH_BITS = 4
 #: Postings of a part, on average, when shingles shared by several sets are looked for.
 PART = 400_000
-SET_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, leaders array<long>, prefix array<long>, rare int, sig binary"
+SET_SCHEMA = "doc_id long, h long, n_shingles long, d1 long, d2 long, leaders array<long>, prefix array<long>, rare int, sig binary"
 _SALTS = S.mix(np.arange(LEADER_HASHES + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -116,9 +116,9 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for b in S.blocks(batches):
             sets, off = shingles(b.buf, b.off)
             rows = _described(sets, off, known(sets))
-            yield pa.RecordBatch.from_arrays([S.fields(b.rows, "doc_id")[0], *(pa.array(r, kind) for r, kind in zip(rows, kinds))], names=names)
+            yield pa.RecordBatch.from_arrays([*S.fields(b.rows, "doc_id", "h"), *(pa.array(r, kind) for r, kind in zip(rows, kinds))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SET_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, SET_SCHEMA)
 
 
 def _described(sets: np.ndarray, off: np.ndarray, frequent: np.ndarray) -> list:
@@ -332,11 +332,11 @@ def _near_size(a: str, b: str):
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
 
-def _blocks(postings: DataFrame, described: DataFrame, comps: DataFrame) -> DataFrame:
+def _blocks(postings: DataFrame, described: DataFrame, comps: DataFrame, scratch: S.Scratch) -> DataFrame:
     """(block, doc_id, n_shingles, comp, sig): blocks whose members are in several components."""
     placed = postings.join(comps, "doc_id")
     several = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
-    members = S.settle(placed.join(several.select("shingle", "n"), "shingle").select("shingle", "doc_id", "comp", "n"), "block-members")
+    members = scratch.settle(placed.join(several.select("shingle", "n"), "shingle").select("shingle", "doc_id", "comp", "n"), "block-members")
     small = members.where(F.col("n") <= BLOCK).groupBy("shingle").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).select("docs").distinct()
     small = small.select(F.xxhash64("docs", F.lit(0)).alias("block"), F.explode("docs").alias("doc_id"))
 
@@ -426,24 +426,20 @@ def _verified_in_rounds(pairs: DataFrame, texts: DataFrame, ids: DataFrame, link
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
-
-    A null text, or one without words, has an empty set, links with nothing and is its own component. Rows
-    that repeat a doc_id are one document for links: it has the links of all of them. Rows without a doc_id
-    join no component but through an equal set, else theirs is null. Other columns are ignored; an empty
-    table gives an empty result.
-    """
+def _named_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n_shingles, d1, d2, component_id) for each row; h is a hash of its text."""
     spark = docs.sparkSession
+    scratch = S.Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = S.settle(shingle_sets(docs, frequent_shingles(docs)), "shingle-sets")
-    classes = S.settle(sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
+    sets = scratch.settle(shingle_sets(docs, frequent_shingles(docs)), "shingle-sets")
+    classes = scratch.settle(sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
     reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi")
 
-    postings = S.settle(shared_postings(reps), "postings")
+    postings = scratch.settle(shared_postings(reps), "postings")
     described = reps.join(postings.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "leaders", "sig").distinct()
-    described = S.settle(described, "candidates")
-    texts = S.settle(docs.join(described.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
+    described = scratch.settle(described, "candidates")
+    sets = scratch.settle(sets.select("doc_id", "h", "n_shingles", "d1", "d2"), "set-names", ("shingle-sets",))
+    texts = scratch.settle(docs.join(described.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
 
     keyed = described.select("doc_id", "n_shingles", "leaders", F.posexplode("leaders").alias("k", "least"))
     leader = keyed.groupBy("k", "least").agg(F.min(F.struct("doc_id", "n_shingles", "leaders")).alias("leader"), F.count("*").alias("n")).where("n > 1")
@@ -452,25 +448,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = led.where(same >= LEADER_SHARED).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = S.settle(_verified(led, texts), "leader-links")
 
-    ids = described.select("doc_id").distinct()
+    ids = scratch.settle(described.select("doc_id").distinct(), "candidate-ids")
     comps = _components_of(ids, links)
-    members = _blocks(postings, described.select("doc_id", "n_shingles", "sig"), comps)
+    members = _blocks(postings, described.select("doc_id", "n_shingles", "sig"), comps, scratch)
     tasks = S.n_tasks(spark)
     pairs = members.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_join_blocks, "a long, b long, most double")
-    pairs = S.settle(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "tree-pairs")
-    sketches = S.settle(texts.mapInArrow(_sketched, "doc_id long, n long, sketch binary"), "sketches")
-    pairs = S.settle(_sketch_filter(pairs, sketches).groupBy("a", "b").agg(F.max("most").alias("most")), "possible-pairs")
+    pairs = scratch.settle(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "tree-pairs", ("block-members", "postings", "candidates"))
+    sketches = scratch.settle(texts.mapInArrow(_sketched, "doc_id long, n long, sketch binary"), "sketches")
+    pairs = scratch.settle(_sketch_filter(pairs, sketches).groupBy("a", "b").agg(F.max("most").alias("most")), "possible-pairs", ("tree-pairs", "sketches"))
     found = graph.components(_verified_in_rounds(pairs, texts, ids, links, comps))
+    scratch.drop("possible-pairs", "candidate-texts", "candidate-ids")
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sets.join(named, ["d1", "d2"], "left")
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
+
+    A null text, or one without words, has an empty set, links with nothing and is its own component. Rows
+    that repeat a doc_id are one document for links: it has the links of all of them. Rows without a doc_id
+    join no component but through an equal set, else theirs is null. Other columns are ignored; an empty
+    table gives an empty result.
+    """
+    return _named_sets(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is that of its component; columns as they were."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """docs with one row of each component, columns as they were.
+
+    The row that stays has the component's doc_id; of several such rows, the one whose text has the smallest
+    hash. Rows without a doc_id stay if no row with one has their set, one for each set. A row with an empty set,
+    also one whose text is null, duplicates nothing but itself, so one stays for each doc_id and text. Other
+    columns may have any names; an empty table gives an empty result.
+    """
+    sets = _named_sets(docs)
+    linked = sets.where("n_shingles > 0 AND (doc_id IS NULL AND component_id IS NULL OR doc_id = component_id)")
+    group = [F.col("component_id"), *(F.when(F.col("component_id").isNull(), F.col(c)).alias(c) for c in ("d1", "d2"))]
+    kept = linked.groupBy(*group).agg(F.min("h").alias("h")).select(F.col("component_id").alias("doc_id"), "h")
+    kept = kept.unionByName(sets.where("n_shingles = 0").select("doc_id", "h")).distinct()
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("h")]
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).select("row", *keys)
+    # a broadcast of kept would leave the rows where they are and shuffle them afterwards; this way they move once
+    once = whole.join(kept.select(*keys).hint("merge"), ["id", "no_id", "h"], "left_semi").dropDuplicates(["id", "no_id", "h"])
+    return once.select("row.*")
 
 
 ORACLE = r"""

@@ -68,7 +68,7 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (9, 1, 9), (None, 0, None), (None, 2, 1)], key=str)
     assert J.one_of_each(docs).columns == docs.columns
-    assert sorted(r.doc_id for r in J.one_of_each(docs).collect()) == [1, 1, 9]
+    assert sorted(str(r.doc_id) for r in J.one_of_each(docs).collect()) == ["1", "9", "None"]
     assert J.near_duplicates(docs.limit(0)).collect() == []
 
 
@@ -121,7 +121,7 @@ def test_large_blocks_have_bounded_parts_and_every_pair(spark, monkeypatch, main
     postings = spark.createDataFrame([(7, i) for i in comp], "shingle long, doc_id long")
     described = spark.createDataFrame([(i, 50, b"") for i in comp], "doc_id long, n_shingles long, sig binary")
     members = {}
-    for r in J._blocks(postings, described, spark.createDataFrame(list(comp.items()), "doc_id long, comp long")).collect():
+    for r in J._blocks(postings, described, spark.createDataFrame(list(comp.items()), "doc_id long, comp long"), J.S.Scratch(spark)).collect():
         members.setdefault(r.block, []).append(r.doc_id)
     assert max(map(len, members.values())) <= 5 * J.BLOCK
     met = {(a, b) for docs in members.values() for a in docs for b in docs if comp[a] != comp[b]}
