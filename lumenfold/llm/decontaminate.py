@@ -255,37 +255,73 @@ def _slices(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(np.array(ids), bodies)
 
 
+def _in_turn(slices: Iterator[Items]) -> Iterator[tuple[Items, bool]]:
+    """The slices, each with whether it is the last one."""
+    items = next(slices, None)
+    while items is not None:
+        following = next(slices, None)
+        yield items, following is None
+        items = following
+
+
+def _find(shared):
+    """(doc_id, item_id, edits, item_bytes) rows of batches(doc_id, text) for a broadcast slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value.prepared()
+        for b in S.blocks(batches):
+            found = leaks_of(b.buf, b.off, held)
+            text, item, edits = (np.array([f[k] for f in found], np.int64) for k in range(3))
+            columns = [pa.array(held.ids[item], pa.int64()), pa.array(edits.astype(np.int32)), pa.array(held.size[item].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([S.fields(b.rows, "doc_id")[0].take(pa.array(text)), *columns], names=["doc_id", "item_id", "edits", "item_bytes"])
+
+    return run
+
+
+def _drop(shared):
+    """The rows of batches(text, ...) into which no item of a broadcast slice leaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value.prepared()
+        for b in S.blocks(batches):
+            keep = np.ones(b.n, bool)
+            keep[[t for t, *_ in leaks_of(b.buf, b.off, held)]] = False
+            yield b.rows.filter(pa.array(keep))
+
+    return run
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, item_bytes): the benchmark items that leak into docs(doc_id, text).
 
     benchmark(item_id, text). Null and empty texts leak nothing; items that are null, have a null id or no
     word are left out; one of fewer than ten bytes leaks only as it is. Items with a repeated id count each; a pair is returned once, with its least
-    edits. A null doc_id stays null; other columns are ignored; empty tables give an empty result.
+    edits. A null doc_id stays null; other columns are ignored; empty tables give an empty result. If the
+    benchmark has several slices, what each finds is written before the next one is sent.
     """
     spark = docs.sparkSession
     docs = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
-    for items in _slices(benchmark):
+    out = docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("edits"), F.lit(0).alias("item_bytes"))
+    for items, last in _in_turn(_slices(benchmark)):
         shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = shared.value.prepared()
-            for b in S.blocks(batches):
-                found = leaks_of(b.buf, b.off, held)
-                text, item, edits = (np.array([f[k] for f in found], np.int64) for k in range(3))
-                columns = [pa.array(held.ids[item], pa.int64()), pa.array(edits.astype(np.int32)), pa.array(held.size[item].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([S.fields(b.rows, "doc_id")[0].take(pa.array(text)), *columns], names=["doc_id", "item_id", "edits", "item_bytes"])
-
-        parts.append(docs.mapInArrow(run, SCHEMA))
-    if not parts:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("edits"), F.lit(0).alias("item_bytes"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        found = docs.mapInArrow(_find(shared), SCHEMA)
+        if not last:
+            found = S.settle(found, "leaks")
+            shared.destroy()
+        out = out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.min("item_bytes").alias("item_bytes"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs into which no item leaks, columns as they were; rows without a doc_id stay only if no such row leaks."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_leaky")), "left_anti").select(docs.columns)
+    """The rows of docs into which no item leaks, columns as they were, in one pass over the texts for each slice.
+
+    Each row is judged by its own text, so rows without a doc_id and repeated ids are no exception; null and
+    empty texts stay; other columns may have any names; empty tables change nothing.
+    """
+    for items, last in _in_turn(_slices(benchmark)):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(_drop(shared), docs.schema)
+        if not last:
+            docs = S.settle(docs, "decontaminated")
+            shared.destroy()
+    return docs
