@@ -1,7 +1,9 @@
 """Corpus pipeline over documents: the stages in order, each a Parquet table that the next one reads.
 
 Each stage works on all rows that the stage before kept. Null texts, and texts without a letter, go at the
-first stage; from then on a stage drops or cuts what its operator decides and leaves everything else alone.
+first stage; from then on a stage drops or cuts what its operator decides and leaves everything else alone. Rows
+without a doc_id are judged by their texts; repeated rows are one document, of which the second stage keeps one;
+other columns may have any names; an empty table goes through all stages and packs nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component of five-word shingle sets at a similarity of 0.8."""
+    """One row of each component of five-word shingle sets at a similarity of 0.8: that of the smallest doc_id."""
     return jaccard.one_of_each(docs)
 
 
