@@ -77,3 +77,137 @@ def compacted(events: DataFrame, keep: int = 250) -> DataFrame:
     """events with part `live` for the newest `keep` of each stream, else `archive`."""
     n = F.row_number().over(Window.partitionBy("stream").orderBy(F.desc("seq")))
     return events.withColumn("part", F.when(n <= keep, "live").otherwise("archive"))
+
+
+def link_breaks(events: DataFrame) -> DataFrame:
+    """(stream, ordinal, code): events(stream, ordinal, seq, id, prev_id, hash, prev_hash) that don't follow the one before in file order.
+
+    Codes are `sequence`, `previous-id` and `previous-hash`; the first event of a stream must point at nothing.
+    """
+    w = Window.partitionBy("stream").orderBy("ordinal")
+    want = {"sequence": (F.col("seq"), F.coalesce(F.lag("seq").over(w), F.lit(0)) + 1), "previous-id": (F.col("prev_id"), F.lag("id").over(w)), "previous-hash": (F.col("prev_hash"), F.lag("hash").over(w))}
+    checks = [F.struct(F.lit(code).alias("code"), ~have.eqNullSafe(expected)) for code, (have, expected) in want.items()]
+    rows = events.select("stream", "ordinal", F.array(*[F.struct(c["code"].alias("code"), c["col2"].alias("bad")) for c in checks]).alias("checks"))
+    return rows.select("stream", "ordinal", F.inline(F.filter("checks", lambda c: c["bad"]))).select("stream", "ordinal", "code")
+
+
+def appended(events: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(stream, seq, id, prev_id) of drafts(stream, ordinal, id), numbered on from what events(stream, seq, id) has."""
+    last = events.groupBy("stream").agg(F.max(F.struct("seq", "id")).alias("last"))
+    w = Window.partitionBy("stream").orderBy("ordinal")
+    rows = drafts.join(last, "stream", "left").withColumn("k", F.row_number().over(w))
+    return rows.select("stream", (F.coalesce("last.seq", F.lit(0)) + F.col("k")).alias("seq"), "id", F.coalesce(F.lag("id").over(w), "last.id").alias("prev_id"))
+
+
+def open_intents(events: DataFrame, time: list[str]) -> DataFrame:
+    """(path, writer, position): queued edit intents, from events(kind, writer, path, ...) with kind intent or claim.
+
+    A writer waits for a path from its first intent after its own last claim of it; a later claim clears it.
+    """
+    at = F.struct(*time)
+    claimed = events.where("kind = 'claim'").groupBy("path", "writer").agg(F.max(at).alias("claimed"))
+    waiting = events.where("kind = 'intent'").select("path", "writer", at.alias("at")).join(claimed, ["path", "writer"], "left")
+    waiting = waiting.where(F.col("claimed").isNull() | (F.col("at") > F.col("claimed"))).groupBy("path", "writer").agg(F.min("at").alias("since"))
+    return waiting.withColumn("position", F.row_number().over(Window.partitionBy("path").orderBy("since", "writer"))).select("path", "writer", "position")
+
+
+def owned_by_form(events: DataFrame, time: list[str]) -> DataFrame:
+    """(writer, path): claims still held where a resolve may name an `owner` to keep or `owners` to drop.
+
+    events(kind, writer, path, owner, owners, ...): of a path's resolve events, one with an owner drops all others, one
+    with owners drops those, one with neither drops all.
+    """
+    at = F.struct(*time)
+    own = events.where(F.col("kind").isin("claim", "release")).groupBy("writer", "path").agg(F.max(F.when(F.col("kind") == "claim", at)).alias("claimed"), F.max(F.when(F.col("kind") == "release", at)).alias("released"))
+    own = own.where(F.col("claimed").isNotNull() & (F.col("released").isNull() | (F.col("released") < F.col("claimed"))))
+    r = events.where("kind = 'resolve'").select("path", at.alias("at"), "owner", F.when(F.col("owner").isNull(), F.col("owners")).alias("owners"))
+    all_out = r.where("owner IS NULL AND owners IS NULL").groupBy("path").agg(F.max("at").alias("all_out"))
+    keeping = r.where("owner IS NOT NULL").groupBy("path", "owner").agg(F.max("at").alias("kept"))
+    # the last resolve that keeps somebody else: the latest of the path, or the latest with another owner
+    ranked = keeping.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("kept")))).where("k <= 2").groupBy("path").agg(
+        F.max(F.when(F.col("k") == 1, F.struct("owner", "kept"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("kept"))).alias("b"))
+    named = r.where("owners IS NOT NULL").select("path", F.explode("owners").alias("writer"), "at").groupBy("path", "writer").agg(F.max("at").alias("named"))
+    j = own.join(all_out, "path", "left").join(ranked, "path", "left").join(named, ["path", "writer"], "left")
+    others = F.when(F.col("a.owner") != F.col("writer"), F.col("a.kept")).otherwise(F.col("b"))
+    later = lambda c: c.isNull() | (c < F.col("claimed"))
+    return j.where(later(F.col("all_out")) & later(others) & later(F.col("named"))).select("writer", "path")
+
+
+#: Path kinds that one writer holds for the whole repository; the list is our own, as none is published.
+SINGLETONS = r"(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|uv\.lock)$|(?:^|/)migrations/|(?:^|/)\.github/workflows/|(?:^|/)generated/contracts/|(?:^|/)release/"
+#: Which conflicts stop which operation.
+BLOCKING = {
+    "inspect": (), "edit": ("global-write-conflict", "write-lock-conflict", "branch-write-conflict"), "commit": ("global-write-conflict", "write-lock-conflict", "branch-write-conflict"),
+    "push": ("global-write-conflict", "write-lock-conflict", "branch-write-conflict"), "rebase": ("global-write-conflict", "write-lock-conflict", "branch-write-conflict"),
+    "merge": ("global-write-conflict", "write-lock-conflict", "branch-write-conflict", "merge-risk"), "pr_ready": ("global-write-conflict", "write-lock-conflict", "branch-write-conflict", "merge-risk"),
+}
+
+
+def singleton(path: Column) -> Column:
+    """Whether a path is of a kind that has one writer for the whole repository."""
+    return F.coalesce(path.rlike(SINGLETONS), F.lit(False))
+
+
+def guard(requests: DataFrame, claims: DataFrame) -> DataFrame:
+    """(request_id, kind, conflicts, blocks) of requests(request_id, writer, worktree, branch, operation, path) against claims of others.
+
+    claims(writer, worktree, branch, operation, path); claims to inspect conflict with nothing. Claims are counted by
+    path, worktree and branch before the join, so a path that many hold gives one row for each of those, not for each claim.
+    """
+    by = ["path", "worktree", "branch", "writer"]
+    held = claims.where("operation <> 'inspect'").groupBy(*by).agg(F.count("*").alias("n"))
+    whole = held.groupBy("path", "worktree", "branch").agg(F.sum("n").alias("n"))
+    mine = held.withColumnRenamed("n", "own").select("path", F.col("worktree").alias("w"), F.col("branch").alias("b"), "writer", "own")
+    j = requests.join(whole.select("path", F.col("worktree").alias("w"), F.col("branch").alias("b"), "n"), "path").join(mine, ["path", "w", "b", "writer"], "left")
+    j = j.withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0")
+    kind = F.when(singleton(F.col("path")), "global-write-conflict").when(F.col("worktree") == F.col("w"), "write-lock-conflict").when(F.col("branch") == F.col("b"), "branch-write-conflict").otherwise("merge-risk")
+    out = j.withColumn("kind", kind).groupBy("request_id", "operation", "kind").agg(F.sum("n").alias("conflicts"))
+    blocks = F.lit(False)
+    for operation, kinds in BLOCKING.items():
+        blocks |= (F.col("operation") == operation) & F.col("kind").isin(*kinds) if kinds else F.lit(False)
+    return out.select("request_id", "kind", "conflicts", blocks.alias("blocks"))
+
+
+def path_errors(claims: DataFrame) -> DataFrame:
+    """(claim_id, path, error) of claims(claim_id, paths array) that aren't exact files: a folder, a glob, or the same path twice."""
+    one = claims.select("claim_id", F.explode("paths").alias("path")).groupBy("claim_id", "path").agg(F.count("*").alias("n"))
+    name = F.element_at(F.split("path", "/"), -1)
+    error = F.when(F.col("path").rlike(r"[*?\[\]{}]"), "glob").when(F.endswith("path", F.lit("/")) | ~name.contains("."), "folder").when(F.col("n") > 1, "duplicate")
+    return one.withColumn("error", error).where("error IS NOT NULL").select("claim_id", "path", "error")
+
+
+def health(streams: DataFrame, breaks: DataFrame, blockers: DataFrame) -> DataFrame:
+    """(stream, ok, can_lock, can_write, must_wait, must_repair) of streams(stream) with breaks(stream) and blockers(stream)."""
+    b = breaks.groupBy("stream").agg(F.count("*").alias("breaks"))
+    c = blockers.groupBy("stream").agg(F.count("*").alias("blockers"))
+    j = streams.select("stream").distinct().join(b, "stream", "left").join(c, "stream", "left")
+    repair, wait = F.col("breaks").isNotNull(), F.col("blockers").isNotNull()
+    return j.select("stream", (~repair & ~wait).alias("ok"), (~repair & ~wait).alias("can_lock"), (~wait).alias("can_write"), wait.alias("must_wait"), repair.alias("must_repair"))
+
+
+def stale_claims(claims: DataFrame, sessions: DataFrame, as_of: Column) -> DataFrame:
+    """(claim_id, action): `resolve` for claims(claim_id, session) whose session(session, expires_at) has expired or is unknown, else `keep`."""
+    j = claims.join(sessions.select("session", "expires_at", F.lit(True).alias("_known")), "session", "left")
+    return j.select("claim_id", F.when(F.col("_known").isNull() | (F.col("expires_at") < as_of), "resolve").otherwise("keep").alias("action"))
+
+
+def closeout(claims: DataFrame, lane: str, writers: DataFrame) -> DataFrame:
+    """(lane, released, paths, left): what a lane's closeout releases of claims(lane, writer, paths), and what stays of other writers.
+
+    The claims of writers(writer) in the lane are released; the rest must be none for the closeout to be complete.
+    """
+    c = claims.where(F.col("lane") == lane).join(writers.select("writer", F.lit(True).alias("_mine")).distinct(), "writer", "left")
+    mine = F.col("_mine").isNotNull()
+    return c.groupBy("lane").agg(F.count_if(mine).alias("released"), F.coalesce(F.sum(F.when(mine, F.size("paths"))), F.lit(0)).cast("long").alias("paths"), F.count_if(~mine).alias("left"))
+
+
+def last_states(events: DataFrame, by: str, state: str, time: list[str], terminal: tuple[str, ...] = ("done", "cancelled")) -> DataFrame:
+    """(by, state, is_open): the last state of each worker or task, and whether that is not a terminal one."""
+    last = events.where(F.col(by).isNotNull() & F.col(state).isNotNull()).groupBy(by).agg(F.max_by(state, F.struct(*time)).alias("state"))
+    return last.withColumn("is_open", ~F.col("state").isin(*terminal))
+
+
+def latest_unread(messages: DataFrame, acks: DataFrame) -> DataFrame:
+    """(lane, message_id): of messages(lane, message_id, at), each lane's last one that acks(message_id) doesn't have."""
+    left = messages.join(acks.select("message_id").distinct(), "message_id", "left_anti")
+    return left.groupBy("lane").agg(F.max_by("message_id", F.struct("at", "message_id")).alias("message_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
-from lumenfold.operators import config, evidence, ledger, paths, policy, rules, runs
+from lumenfold.operators import config, evidence, ledger, paths, policy, rulebook, rules, runs
 from lumenfold.sources import files as files_source
 from lumenfold.streaming import ownership
 
@@ -135,7 +135,7 @@ _SECRET_SQL = " UNION ALL ".join("SELECT '{}' AS rule_id, rel, line_no, '{}' AS
 
 @query(f"WITH {LINES} {_SECRET_SQL}")
 def secret_findings(spark, d):
-    return rules.line_findings(lines(spark, d), rules.SECRET_RULES)
+    return rulebook.rule_findings(files(spark, d), tuple(rulebook.Rule(i, p, t, rulebook.SECRET_GATES[i]) for i, p, t in rules.SECRET_RULES))
 
 
 def _redacted_sql(column: str) -> str:
@@ -614,3 +614,7 @@ def distinct_layers(spark, d):
 def indent_depth(spark, d):
     width = F.length(F.replace(F.regexp_extract("line", r"^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
     return lines(spark, d).groupBy("rel").agg(F.max(F.floor(width / 4)).alias("depth"), F.count_if(F.col("line").rlike(r"^[ \t]")).alias("n_indented"))
+
+
+# the other modules of this folder register their queries here as well
+from lumenfold.plans import coordination_queries, rule_queries  # noqa: E402, F401
