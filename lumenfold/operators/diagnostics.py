@@ -82,3 +82,35 @@ def parse(outputs: DataFrame) -> DataFrame:
     found = json_lines(outputs).withColumn("pass", F.lit(0)).unionByName(payloads(outputs).withColumn("pass", F.lit(1))).unionByName(text_lines(outputs).withColumn("pass", F.lit(2)))
     found = found.withColumn("ordinal", F.col("pass") * F.lit(1 << 40) + F.col("ordinal"))
     return runs.first_of_each(found.drop("pass"), ["run_id", "tool", "rule_id", "file", "line", "message"], "ordinal").drop("ordinal")
+
+
+def failed_commands(runs_: DataFrame) -> DataFrame:
+    """A row for each run(run_id, tool, exit_code, stdout, stderr) that didn't exit with 0; source is the first eight lines of stderr, else of stdout."""
+    text = F.when(F.coalesce(F.trim("stderr"), F.lit("")) != "", F.col("stderr")).otherwise(F.coalesce("stdout", F.lit("")))
+    head = F.array_join(F.slice(F.split(text, r"\r?\n", -1), 1, 8), "\n")
+    message = F.concat(F.lit("command exited with "), F.col("exit_code").cast("string"))
+    return runs_.where("exit_code <> 0").select("run_id", "tool", F.lit("error").alias("severity"), F.lit("HAR-1.1").alias("rule_id"), F.lit(".").alias("file"), F.lit(1).cast("long").alias("line"), message.alias("message"), head.alias("source"))
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """(run_id, n, by_severity) of diagnostics."""
+    per = found.groupBy("run_id", "severity").agg(F.count("*").alias("c"))
+    return per.groupBy("run_id").agg(F.sum("c").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "severity", "c"))), ",").alias("by_severity"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Diagnostics by file, line, rule and message, names in dictionary order."""
+    return found.orderBy(F.collate("file", "UNICODE"), "line", F.collate("rule_id", "UNICODE"), F.collate("message", "UNICODE"))
+
+
+def matching(found: DataFrame, severity: str | None = None, file: str | None = None, most: int = 50) -> DataFrame:
+    """The first `most` diagnostics, in order, of a severity and a file if asked."""
+    for column, value in (("severity", severity), ("file", file)):
+        if value is not None:
+            found = found.where(F.col(column) == value)
+    return ordered(found).limit(most)
+
+
+def truncated(text: Column, most: int = 8000) -> Column:
+    """A text's first `most` characters, with a mark if that isn't all."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[truncated]"))).otherwise(text)
