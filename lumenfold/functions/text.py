@@ -21,9 +21,27 @@ def ascii_boundaries(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 
 
+#: Literals without which a redaction has nothing to replace.
+_REDACTION_GATES = {"gh[pousr]_": ("gh",), "AKIA": ("AKIA",), "_(?:live|test)_": ("_live_", "_test_"), "beyJ": ("eyJ",), '"[': ('"',), "'[": ("'",)}
+
+
+def _replaced(pattern: str, label: str, gate: tuple[str, ...]):
+    def step(text: Column) -> Column:
+        out = F.regexp_replace(text, ascii_boundaries(pattern), F.lit(label.replace("$", r"\$")))
+        may = F.lit(not gate)
+        for literal in gate:
+            may |= text.contains(literal)
+        return F.when(may, out).otherwise(text)
+
+    return step
+
+
 def redact(text: Column, replacements=FINDING_REDACTIONS) -> Column:
+    """text with each pattern replaced by its label, in order; a text without a pattern's literals isn't searched for it."""
     for pattern, label in replacements:
-        text = F.regexp_replace(text, ascii_boundaries(pattern), F.lit(label.replace("$", r"\$")))
+        gate = next((g for part, g in _REDACTION_GATES.items() if part in pattern), ())
+        # by way of an array, so that the text so far stands once in the expression
+        text = F.element_at(F.transform(F.array(text), _replaced(pattern, label, gate)), 1)
     return text
 
 

@@ -43,7 +43,8 @@ def boundary_violations(imports: DataFrame, policies: list[dict]) -> DataFrame:
     return found.select("rel", "specifier", F.explode("messages").alias("message"))
 
 
-def fail_fast(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """findings of the files up to the first one, in order of rel, that has any."""
-    first = findings.join(files.select("rel"), "rel", "left_semi").agg(F.min("rel").alias("_first"))
-    return findings.join(first, F.col("rel") <= F.col("_first")).drop("_first")
+def fail_fast(findings: DataFrame) -> DataFrame:
+    """findings of the first file, in order of rel, that has any: findings are gathered by file and the first file is taken."""
+    columns = [c for c in findings.columns if c != "rel"]
+    per = findings.where(F.col("rel").isNotNull()).groupBy("rel").agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+    return per.orderBy("rel").limit(1).select("rel", F.explode("_rows").alias("_row")).select("rel", *[F.col(f"_row.{c}").alias(c) for c in columns])

@@ -47,7 +47,8 @@ def claim_violations(claims: DataFrame, definitions: DataFrame, latest: DataFram
 def content_fingerprint(files: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, fingerprint): digest of a group's files as sorted rows of path, content hash and length.
 
-    Rows are put together in Spark for each group, so groups should be folders or the like, not a whole corpus.
+    Rows are put together for each group, as the digest is one over all of them in order; so a group must be a folder
+    of a bounded number of files, and what grows is the number of folders.
     """
     row = F.concat(F.col("rel"), F.lit("\u0001"), F.sha2(F.col("text").cast("binary"), 256), F.lit("\u0001"), F.octet_length("text").cast("string"), F.lit("\n"))
     return files.groupBy(*by).agg(F.count("*").alias("n"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "").cast("binary"), 256)).alias("fingerprint"))
@@ -58,25 +59,30 @@ def count_labels(rows: DataFrame, labels) -> DataFrame:
     return rows.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def literal_owners(contracts: DataFrame, files: DataFrame, seed_words: int = 4) -> DataFrame:
+def literal_owners(contracts: DataFrame, files: DataFrame, seed_words: int = 4, seed_letters: int = 4) -> DataFrame:
     """(item_id, rel): files whose text contains a contract's text.
 
-    A text that contains another also has its first words, so both sides are joined on runs of seed_words
-    words; only such pairs are compared. Contracts of fewer words are compared with all files; their number
-    has to be small, as that of any that short is.
+    A text that contains a contract has all of its words but the first and the last whole, so both sides are joined
+    on a run of at most seed_words words after the contract's first one; a contract of one or two words is joined on
+    its first letters instead, at most seed_letters of them. Only pairs that share a seed are compared.
     """
-    def worded(df: DataFrame) -> DataFrame:
-        # the words are a column of their own, else each run would split the text again
-        return df.withColumn("words", F.split("text", r"[ \n]+")).withColumn("n", F.size("words") - seed_words + 1)
-
-    def seed(i):
-        return F.xxhash64(*[F.get("words", i + k) for k in range(seed_words)])
-
-    # the first and the last word of a contract may be parts of longer words in a file, so the run starts at the second
-    c = worded(contracts.where(F.col("text") != "").select("item_id", "text")).withColumnRenamed("text", "literal").withColumn("seed", seed(F.lit(1)))
     f = files.where(F.col("text").isNotNull()).select("rel", "text")
-    seeds = worded(f).where("n > 0").select("rel", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - 1), seed))).alias("seed"))
-    long = F.col("n") >= 3
-    hits = c.where(long).join(seeds, "seed").select("item_id", "literal", "rel").distinct().join(f, "rel").where(F.contains(F.col("text"), F.col("literal")))
-    short = c.where(~long).join(f, F.contains(F.col("text"), F.col("literal")))
-    return hits.select("item_id", "rel").unionByName(short.select("item_id", "rel"))
+    words = lambda c: F.split(c, r"[ \n]+")
+    c = contracts.where(F.col("text") != "").select("item_id", F.col("text").alias("literal"))
+    inner = F.least(F.size(words(F.col("literal"))) - 2, F.lit(seed_words))
+    c = c.select("item_id", "literal", F.when(inner > 0, inner).otherwise(-F.least(F.length("literal"), F.lit(seed_letters))).alias("kind"))
+    run = lambda a, i, k: F.xxhash64(*[F.get(a, i + j) for j in range(k)])
+    out = None
+    for kind in sorted(r["kind"] for r in c.select("kind").distinct().collect()):  # a handful of seed sizes
+        some = c.where(F.col("kind") == kind)
+        if kind > 0:
+            keyed = some.withColumn("seed", run(words(F.col("literal")), F.lit(1), kind))
+            each = F.transform(F.sequence(F.lit(0), F.size("a") - kind), lambda i: run(F.col("a"), i, kind))
+            seeds = f.select("rel", words(F.col("text")).alias("a")).where(F.size("a") >= kind).select("rel", F.explode(F.array_distinct(each)).alias("seed"))
+        else:
+            keyed = some.withColumn("seed", F.xxhash64(F.left("literal", F.lit(-kind))))
+            each = F.transform(F.sequence(F.lit(1), F.length("text") + kind + 1), lambda i: F.substr("text", i, F.lit(-kind)))
+            seeds = f.where(F.length("text") >= -kind).select("rel", F.explode(F.array_distinct(each)).alias("gram")).select("rel", F.xxhash64("gram").alias("seed"))
+        pairs = keyed.join(seeds, "seed").select("item_id", "literal", "rel").distinct().join(f, "rel").where(F.contains(F.col("text"), F.col("literal"))).select("item_id", "rel")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out if out is not None else c.join(f.limit(0), F.lit(False)).select("item_id", "rel")

@@ -30,12 +30,16 @@ def nearest_ancestor(items: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def conflicts(claims: DataFrame) -> DataFrame:
-    """(claim_id, other_id, kind) of active claims(claim_id, writer, worktree, branch, path) of two writers on one path.
+    """(claim_id, kind, others): with how many claims of other writers on its path each of claims(claim_id, writer, worktree, branch, path) conflicts.
 
-    The same worktree is a write-lock-conflict, the same branch elsewhere a branch-write-conflict, another
-    branch a merge-risk.
+    The same worktree is a write-lock-conflict, the same branch elsewhere a branch-write-conflict, another branch a
+    merge-risk. Claims are counted by worktree and branch of a path before the join, so a path that many claim doesn't
+    give all pairs of them.
     """
-    other = claims.select("path", *[F.col(c).alias(f"o_{c}") for c in ("claim_id", "writer", "worktree", "branch")])
-    j = claims.join(other, "path").where((F.col("writer") != F.col("o_writer")) & (F.col("claim_id") < F.col("o_claim_id")))
-    kind = F.when(F.col("worktree") == F.col("o_worktree"), "write-lock-conflict").when(F.col("branch") == F.col("o_branch"), "branch-write-conflict").otherwise("merge-risk")
-    return j.select("claim_id", F.col("o_claim_id").alias("other_id"), kind.alias("kind")).distinct()
+    w, b = F.col("worktree").alias("_w"), F.col("branch").alias("_b")
+    own = claims.groupBy("path", w, b, "writer").agg(F.count("*").alias("_own"))
+    whole = own.groupBy("path", "_w", "_b").agg(F.sum("_own").alias("_n"))
+    j = claims.join(whole, "path").join(own, ["path", "_w", "_b", "writer"], "left")
+    kind = F.when(F.col("worktree") == F.col("_w"), "write-lock-conflict").when(F.col("branch") == F.col("_b"), "branch-write-conflict").otherwise("merge-risk")
+    j = j.select("claim_id", kind.alias("kind"), (F.col("_n") - F.coalesce("_own", F.lit(0))).alias("_n")).where("_n > 0")
+    return j.groupBy("claim_id", "kind").agg(F.sum("_n").alias("others"))

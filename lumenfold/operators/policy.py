@@ -64,11 +64,15 @@ def valid_waivers(waivers: DataFrame, as_of: str, in_ci: bool = False) -> DataFr
 
 
 def split_by_waiver(findings: DataFrame, waivers: DataFrame) -> DataFrame:
-    """findings(finding_id, rule_id, rel, ...) with waiver_id of the first waiver that applies, null if active."""
+    """findings(rule_id, rel, ...) with waiver_id of the first waiver that applies, null if active.
+
+    A rule's waivers, a few rows of configuration, come to a finding as one array in their order; findings are read once.
+    """
     w = waivers.select("ordinal", F.upper("rule_id").alias("rule_id"), "waiver_id", F.explode("scope").alias("scope"))
-    w = w.withColumn("pattern", scope_regex(F.col("scope"))).select("ordinal", "rule_id", "waiver_id", "pattern").distinct()
-    first = findings.select("finding_id", "rule_id", "rel").join(w, "rule_id").where("rel RLIKE pattern").groupBy("finding_id").agg(F.min_by("waiver_id", "ordinal").alias("waiver_id"))
-    return findings.join(first, "finding_id", "left")
+    w = w.select("rule_id", F.struct("ordinal", "waiver_id", scope_regex(F.col("scope")).alias("pattern")).alias("w"))
+    w = w.groupBy("rule_id").agg(F.array_sort(F.collect_set("w")).alias("_waivers"))
+    fits = F.filter("_waivers", lambda x: F.regexp_like(F.col("rel"), x["pattern"]))
+    return findings.join(w, "rule_id", "left").withColumn("waiver_id", F.get(fits, F.lit(0))["waiver_id"]).drop("_waivers")
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:

@@ -31,44 +31,30 @@ def line_findings(lines: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Da
     return found.select("rel", "line_no", F.explode("hits").alias("hit")).select("hit.rule_id", "rel", "line_no", "hit.detail")
 
 
-def _in_file(*order: str) -> Window:
-    return Window.partitionBy("rel").orderBy(*(order or ("line_no",)))
-
-
-def unguarded(lines: DataFrame, pattern: str, token: str, distance: int = 4) -> DataFrame:
-    """Lines that match pattern unless token is in them or in the `distance` lines before."""
-    guard = F.max(F.col("line").contains(token)).over(_in_file().rowsBetween(-distance, 0))
-    return lines.withColumn("guarded", guard).where(F.col("line").rlike(ascii_boundaries(pattern)) & ~F.col("guarded")).select("rel", "line_no", "line")
-
-
-def followed_by(lines: DataFrame, pattern: str, first: str, within: int = 3, insignificant: str = r"^\s*(#|$)") -> DataFrame:
-    """Lines that match pattern whose first significant line among the next `within` matches `first`."""
-    significant = F.when(~F.col("line").rlike(insignificant), F.col("line"))
-    after = F.first(significant, ignorenulls=True).over(_in_file().rowsBetween(1, within))
-    return lines.withColumn("after", after).where(F.col("line").rlike(pattern) & F.col("after").rlike(first)).select("rel", "line_no", "line", "after")
-
-
-def nearest_before(lines: DataFrame, pattern: str) -> DataFrame:
-    """Lines that match pattern, each with the nearest line before it that isn't blank."""
-    filled = F.when(F.trim("line") != "", F.trim("line"))
-    before = F.last(filled, ignorenulls=True).over(_in_file().rowsBetween(Window.unboundedPreceding, -1))
-    return lines.withColumn("before", before).where(F.col("line").rlike(pattern)).select("rel", "line_no", "before")
-
-
 def missing_marker(files: DataFrame, required: str, anchor: str) -> DataFrame:
     """Files without the required pattern; line_no is the first line that matches anchor, else 1."""
     rows = F.filter(F.transform(F.split("text", r"\r?\n", -1), lambda l, i: F.when(l.rlike(anchor), i + 1)), lambda i: i.isNotNull())
     return files.where(~F.col("text").rlike(required)).select("rel", F.coalesce(F.get(rows, F.lit(0)), F.lit(1)).cast("long").alias("line_no"))
 
 
-def repeated_islands(lines: DataFrame, at_least: int = 8, length: int = 20) -> DataFrame:
-    """(rel, first_line, run, line): runs of `at_least` equal trimmed lines of `length` characters or more."""
-    w = _in_file()
-    t = lines.withColumn("trimmed", F.trim("line"))
-    t = t.withColumn("breaks", F.when(F.lag("trimmed").over(w).eqNullSafe(F.col("trimmed")), 0).otherwise(1))
-    t = t.withColumn("island", F.sum("breaks").over(w)).where(F.length("trimmed") >= length)
-    runs = t.groupBy("rel", "island").agg(F.min("line_no").alias("first_line"), F.count("*").alias("run"), F.min("trimmed").alias("line"))
-    return runs.where(F.col("run") >= at_least).select("rel", "first_line", "run", "line")
+def repeated_islands(files: DataFrame, at_least: int = 8, length: int = 20) -> DataFrame:
+    """(rel, first_line, run, line): runs of `at_least` equal trimmed lines of `length` characters or more.
+
+    Folded over the array of a file's lines: the state is the run so far and the runs that ended.
+    """
+    row = "struct<first_line:long,run:long,line:string>"
+    lines = F.transform(F.split("text", r"\r?\n", -1), lambda x, i: F.struct((i + 1).cast("long").alias("n"), F.trim(x).alias("t")))
+    start = F.struct(F.lit(None).cast(row).alias("now"), F.array().cast(f"array<{row}>").alias("ended"))
+    whole = lambda acc: F.when(acc["now"]["run"] >= at_least, F.concat(acc["ended"], F.array(acc["now"]))).otherwise(acc["ended"])
+
+    def step(acc: Column, x: Column) -> Column:
+        same = F.coalesce(acc["now"]["line"] == x["t"], F.lit(False))
+        new = lambda first, run: F.struct(first.alias("first_line"), run.alias("run"), x["t"].alias("line"))
+        now = F.when(same, new(acc["now"]["first_line"], acc["now"]["run"] + 1)).otherwise(new(x["n"], F.lit(1).cast("long")))
+        return F.struct(now.alias("now"), F.when(same, acc["ended"]).otherwise(whole(acc)).alias("ended"))
+
+    found = files.where(F.col("text").isNotNull()).select("rel", F.explode(F.aggregate(lines, start, step, whole)).alias("r"))
+    return found.select("rel", "r.first_line", "r.run", "r.line").where(F.length("line") >= length)
 
 
 def first_duplicate(lines: DataFrame, token: Column) -> DataFrame:

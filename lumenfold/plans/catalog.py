@@ -52,7 +52,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return files_source.lines(files(spark, d))
 
 
-FILES = "f AS (SELECT source || '/' || doc_id || '.' || lang AS rel, text, lang, source, doc_id FROM documents)"
+FILES = "f AS (SELECT coalesce(source, 'unknown') || '/' || doc_id || '.' || coalesce(lang, 'unknown') AS rel, text, lang, source, doc_id FROM documents)"
 LINES = FILES + ", l0 AS (SELECT rel, string_split_regex(text, '\\r?\\n') AS a FROM f WHERE text IS NOT NULL), l AS (SELECT rel, unnest(range(1, len(a) + 1)) AS line_no, unnest(a) AS line FROM l0)"
 
 #: A registry of our own over invented prose: id, pattern, detail.
@@ -63,6 +63,7 @@ TEXT_RULES = (
     ("TXT-1.4", r"Licensed under|licensed under", "license line"),
     ("TXT-1.5", r"(?:token|secret|password|key) = ", "assignment"),
 )
+TEXT_GATES = (("!!",), ("$$$",), (" | ",), ("icensed under",), (" = ",))
 REGISTRY = (
     "VALUES ('TXT-1.1','error','Shouting','docs/txt.md#1','common','style',true,true), ('TXT-1.2','warning','Money','docs/txt.md#2','common','style',false,false), "
     "('TXT-1.3','info','Table','','en','layout',true,true), ('TXT-1.4','warning','License','docs/txt.md#4','fr','legal',true,false), ('TXT-1.6','error','Unused','','de','legal',true,true)"
@@ -91,7 +92,7 @@ def waivers(spark: SparkSession) -> DataFrame:
 
 
 def text_findings(spark: SparkSession, d: str) -> DataFrame:
-    found = rules.line_findings(lines(spark, d), TEXT_RULES)
+    found = rulebook.rule_findings(files(spark, d), tuple(rulebook.Rule(i, p, t, g) for (i, p, t), g in zip(TEXT_RULES, TEXT_GATES)))
     return found.withColumn("finding_id", F.concat_ws("#", "rel", "line_no", "rule_id"))
 
 
@@ -200,18 +201,18 @@ def route_compat_cross(spark, d):
 
 @query(f"WITH {LINES}, g AS (SELECT *, bool_or(contains(line, ',')) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS guarded FROM l) SELECT rel, line_no, line FROM g WHERE regexp_matches(line, '\\.$') AND NOT guarded")
 def context_window_guard(spark, d):
-    return rules.unguarded(lines(spark, d), r"\.\z", ",", 2)
+    return rulebook.unguarded(files(spark, d), r"\.\z", ",", 2)
 
 
 @query(f"WITH {LINES}, g AS (SELECT *, first_value(CASE WHEN NOT regexp_matches(line, '^\\s*(#|$)') THEN line END IGNORE NULLS) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS after FROM l) SELECT rel, line_no, md5(line) AS line_md5, md5(after) AS after_md5 FROM g WHERE regexp_matches(line, ',') AND regexp_matches(after, '^[A-E]')")
 def lookahead_first_significant(spark, d):
-    rows = rules.followed_by(lines(spark, d), ",", "^[A-E]")
+    rows = rulebook.followed_by(files(spark, d), ",", "^[A-E]")
     return rows.select("rel", "line_no", F.md5("line").alias("line_md5"), F.md5("after").alias("after_md5"))
 
 
 @query(f"WITH {LINES}, b AS (SELECT rel, line_no, trim(line, ' ') AS t, CASE WHEN lag(trim(line, ' ')) OVER (PARTITION BY rel ORDER BY line_no) IS NOT DISTINCT FROM trim(line, ' ') THEN 0 ELSE 1 END AS k FROM l), i AS (SELECT *, sum(k) OVER (PARTITION BY rel ORDER BY line_no) AS island FROM b) SELECT rel, min(line_no) AS first_line, count(*) AS run, min(t) AS line FROM i WHERE length(t) >= 20 GROUP BY rel, island HAVING count(*) >= 3")
 def repeated_line_islands(spark, d):
-    return rules.repeated_islands(lines(spark, d), 3)
+    return rules.repeated_islands(files(spark, d), 3)
 
 
 @query(f"WITH {LINES}, t AS (SELECT rel, line_no, regexp_extract(line, '^([A-Za-z]+)', 1) AS token FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY rel, token ORDER BY line_no) AS k FROM t WHERE token <> '') SELECT rel, arg_min(token, line_no) AS token, min(line_no) AS line_no FROM r WHERE k = 2 GROUP BY rel")
@@ -368,24 +369,24 @@ def metadata_drift(spark, d):
     return evidence.drift(side("customer", "c"), side("supplier", "s"), ["n_name"], ["n", "top"])
 
 
-@query("""WITH c AS (SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id % 4 = 0 UNION SELECT doc_id + 1000000 FROM documents WHERE doc_id % 200 = 0), d AS (SELECT doc_id AS id, md5(left(text, 20)) AS want FROM documents),
-r AS (SELECT l.doc_id AS id, CASE WHEN l.toxic = 1 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN l.doc_id % 8 = 0 THEN 'old' ELSE md5(left(x.text, 20)) END AS have FROM labels l JOIN documents x USING (doc_id)),
+@query("""WITH c AS (SELECT DISTINCT doc_id AS id FROM documents UNION SELECT doc_id + 1000000 FROM documents WHERE doc_id % 200 = 0), d AS (SELECT doc_id AS id, md5(text) AS want FROM documents),
+r AS (SELECT l.doc_id AS id, CASE WHEN l.toxic = 1 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN l.doc_id % 8 = 0 THEN 'old' ELSE md5(x.text) END AS have FROM labels l JOIN documents x USING (doc_id)),
 j AS (SELECT c.id, d.id IS NULL AS nodef, r.id IS NULL AS norun, status, want, have FROM c LEFT JOIN d USING (id) LEFT JOIN r USING (id))
 SELECT id AS claim_id, 'undefined' AS code FROM j WHERE nodef UNION ALL SELECT id, 'never-run' FROM j WHERE norun UNION ALL SELECT id, 'not-passed' FROM j WHERE NOT norun AND status <> 'passed'
 UNION ALL SELECT id, 'stale' FROM j WHERE NOT norun AND NOT nodef AND want IS DISTINCT FROM have UNION ALL SELECT id, 'accepted' FROM j WHERE NOT norun""")
 def claim_validity(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    claims = docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("claim_id")).union(docs.where("doc_id % 200 = 0").select(F.col("doc_id") + 1_000_000))
-    want = F.md5(F.substring("text", 1, 20))
+    claims = docs.select(F.col("doc_id").alias("claim_id")).union(docs.where("doc_id % 200 = 0").select(F.col("doc_id") + 1_000_000))
+    want = F.md5("text")
     definitions = docs.select(F.col("doc_id").alias("claim_id"), want.alias("required_sha"))
     status = F.when(F.col("toxic") == 1, "failed").otherwise("passed")
     latest = labels.join(docs, "doc_id").select(F.col("doc_id").alias("claim_id"), status.alias("status"), F.when(F.col("doc_id") % 8 == 0, "old").otherwise(want).alias("sha"))
     return evidence.claim_violations(claims, definitions, latest)
 
 
-@query(f"WITH {FILES}, x AS (SELECT source, lang, doc_id % 50 AS part, rel || chr(1) || sha256(text) || chr(1) || strlen(text) || chr(10) AS row FROM f) SELECT source, lang, part, count(*) AS n, 'sha256:' || sha256(string_agg(row, '' ORDER BY row)) AS fingerprint FROM x GROUP BY ALL")
+@query(f"WITH {FILES}, x AS (SELECT source, lang, doc_id // 64 AS part, rel || chr(1) || sha256(text) || chr(1) || strlen(text) || chr(10) AS row FROM f) SELECT source, lang, part, count(*) AS n, 'sha256:' || sha256(string_agg(row, '' ORDER BY row)) AS fingerprint FROM x GROUP BY ALL")
 def content_fingerprint(spark, d):
-    return evidence.content_fingerprint(files(spark, d).withColumn("part", F.col("doc_id") % 50), ["source", "lang", "part"])
+    return evidence.content_fingerprint(files(spark, d).withColumn("part", F.floor(F.col("doc_id") / 64)), ["source", "lang", "part"])
 
 
 @query(f"WITH {FILES} SELECT b.item_id, f.rel FROM benchmark b JOIN f ON contains(f.text, b.text)")
@@ -403,25 +404,25 @@ def page_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_replace(p, "/+$", "").alias("path"))
 
 
-@query(f"""WITH {PATHS}, o AS (SELECT DISTINCT split_part(path, '/', 1) || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/' || split_part(path, '/', 2) END AS path FROM pq WHERE page_id % 3 = 0)
+@query(f"""WITH {PATHS}, o AS (SELECT DISTINCT split_part(path, '/', 1) || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/' || split_part(path, '/', 2) END AS path FROM pq)
 SELECT q.page_id AS left_id, q.path AS left_path, md5(o.path) AS right_id, o.path AS right_path FROM pq q JOIN o ON q.path = o.path OR starts_with(q.path, o.path || '/') OR starts_with(o.path, q.path || '/')""")
 def path_overlap_join(spark, d):
     p = page_paths(spark, d)
     head = F.when(F.col("page_id") % 2 == 0, F.split("path", "/")[0]).otherwise(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/"))
-    owners = p.where("page_id % 3 = 0").select(head.alias("right_path")).distinct().withColumn("right_id", F.md5("right_path"))
+    owners = p.select(head.alias("right_path")).distinct().withColumn("right_id", F.md5("right_path"))
     return paths.overlapping(p.select(F.col("page_id").alias("left_id"), F.col("path").alias("left_path")), owners).select("left_id", "left_path", "right_id", "right_path")
 
 
-@query(f"""WITH {PATHS}, o AS (SELECT DISTINCT split_part(path, '/', 1) || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/' || split_part(path, '/', 2) END AS path FROM pq WHERE page_id % 3 = 0)
+@query(f"""WITH {PATHS}, o AS (SELECT DISTINCT split_part(path, '/', 1) || CASE WHEN page_id % 2 = 0 THEN '' ELSE '/' || split_part(path, '/', 2) END AS path FROM pq)
 SELECT q.page_id AS item_id, q.path, (SELECT arg_max(o.path, length(o.path)) FROM o WHERE q.path = o.path OR starts_with(q.path, o.path || '/')) AS owner FROM pq q""")
 def nearest_ancestor(spark, d):
     p = page_paths(spark, d)
     head = F.when(F.col("page_id") % 2 == 0, F.split("path", "/")[0]).otherwise(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/"))
-    return paths.nearest_ancestor(p.select(F.col("page_id").alias("item_id"), "path"), p.where("page_id % 3 = 0").select(head.alias("path")))
+    return paths.nearest_ancestor(p.select(F.col("page_id").alias("item_id"), "path"), p.select(head.alias("path")))
 
 
 @query("""WITH c AS (SELECT event_id AS claim_id, user_id AS writer, user_id % 3 AS worktree, event_type AS branch, date_trunc('hour', ts)::VARCHAR AS path FROM events WHERE event_type IN ('error', 'signup'))
-SELECT a.claim_id, b.claim_id AS other_id, CASE WHEN a.worktree = b.worktree THEN 'write-lock-conflict' WHEN a.branch = b.branch THEN 'branch-write-conflict' ELSE 'merge-risk' END AS kind FROM c a JOIN c b ON a.path = b.path AND a.writer <> b.writer AND a.claim_id < b.claim_id""")
+SELECT a.claim_id, CASE WHEN a.worktree = b.worktree THEN 'write-lock-conflict' WHEN a.branch = b.branch THEN 'branch-write-conflict' ELSE 'merge-risk' END AS kind, count(*) AS others FROM c a JOIN c b ON a.path = b.path AND a.writer <> b.writer GROUP BY ALL""")
 def conflict_self_join(spark, d):
     e = table(spark, d, "events").where(F.col("event_type").isin("error", "signup"))
     return paths.conflicts(e.select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("writer"), (F.col("user_id") % 3).alias("worktree"), F.col("event_type").alias("branch"), F.date_trunc("hour", "ts").alias("path")))
@@ -466,10 +467,10 @@ def unread_inbox(spark, d):
 def ownership_events(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     events = table(spark, d, "events") if events is None else events
     kind = F.when(F.col("event_type") == "signup", "claim").when(F.col("event_type") == "view", "release").when(F.col("event_type") == "error", "resolve")
-    return events.select("event_id", "ts", kind.alias("kind"), F.col("user_id").cast("string").alias("writer"), F.concat(F.lit("p/"), (F.col("event_id") % 40).cast("string")).alias("path")).where("kind IS NOT NULL")
+    return events.select("event_id", "ts", kind.alias("kind"), F.col("user_id").cast("string").alias("writer"), F.concat(F.lit("p/"), F.floor(F.col("event_id") / 97).cast("string")).alias("path")).where("kind IS NOT NULL")
 
 
-@query("""WITH o AS (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'view' THEN 'release' WHEN 'error' THEN 'resolve' END AS kind, user_id::VARCHAR AS writer, 'p/' || event_id % 40 AS path FROM events),
+@query("""WITH o AS (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 'claim' WHEN 'view' THEN 'release' WHEN 'error' THEN 'resolve' END AS kind, user_id::VARCHAR AS writer, 'p/' || event_id // 97 AS path FROM events),
 c AS (SELECT writer, path, max({'a': ts, 'b': event_id}) AS at FROM o WHERE kind = 'claim' GROUP BY ALL)
 SELECT c.writer, c.path, c.at.a AS since FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = c.path AND ((o.kind = 'release' AND o.writer = c.writer) OR o.kind = 'resolve') AND (o.ts > c.at.a OR (o.ts = c.at.a AND o.event_id >= c.at.b)))""")
 def ownership_fold(spark, d):
@@ -560,7 +561,7 @@ def config_layers(spark, d):
 
 @query(f"WITH {TEXT_FINDINGS} SELECT finding_id, rule_id FROM x1 WHERE rel <= (SELECT min(rel) FROM x1)")
 def fail_fast_scan(spark, d):
-    return config.fail_fast(text_findings(spark, d), files(spark, d)).select("finding_id", "rule_id")
+    return config.fail_fast(text_findings(spark, d)).select("finding_id", "rule_id")
 
 
 @query(f"WITH {TEXT_FINDINGS} SELECT rel, line_no, rule_id, detail FROM x1 ORDER BY rel, line_no, rule_id, detail LIMIT 20")
@@ -568,7 +569,7 @@ def sorted_findings_top20(spark, d):
     return text_findings(spark, d).select("rel", "line_no", "rule_id", "detail").orderBy("rel", "line_no", "rule_id", "detail").limit(20)
 
 
-@query("WITH o AS (SELECT DISTINCT user_id::VARCHAR AS w, 'p/' || event_id % 40 AS path FROM events WHERE event_type = 'signup') SELECT path, count(*) AS n, array_to_string(list_sort(list(w))[1:3], ',') AS owners FROM o GROUP BY 1")
+@query("WITH o AS (SELECT DISTINCT user_id::VARCHAR AS w, 'p/' || event_id // 97 AS path FROM events WHERE event_type = 'signup') SELECT path, count(*) AS n, array_to_string(list_sort(list(w))[1:3], ',') AS owners FROM o GROUP BY 1")
 def claimed_path_view(spark, d):
     o = ownership_events(spark, d).where("kind = 'claim'").select("path", "writer").distinct()
     few = runs.newest_per(o.withColumn("zero", F.lit(0)), ["path"], 3, "zero", "writer").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("writer")), ",").alias("owners"))
@@ -597,9 +598,9 @@ def expected_files_missing(spark, d):
     return table(spark, d, "labels").select("doc_id").join(files(spark, d).where("lang = 'en'"), "doc_id", "left_anti")
 
 
-@query("SELECT p_brand, count(*) FILTER (p_size > 25) AS n_fail, count(*) FILTER (p_size <= 25) AS n_pass FROM part WHERE p_partkey % 40 < 2 GROUP BY 1 HAVING count(*) FILTER (p_size > 25) = 0 OR count(*) FILTER (p_size <= 25) = 0")
+@query("SELECT p_brand, p_type, count(*) FILTER (p_size > 25) AS n_fail, count(*) FILTER (p_size <= 25) AS n_pass FROM part GROUP BY 1, 2 HAVING count(*) FILTER (p_size > 25) = 0 OR count(*) FILTER (p_size <= 25) = 0")
 def fixture_evidence_gaps(spark, d):
-    g = table(spark, d, "part").where("p_partkey % 40 < 2").groupBy("p_brand").agg(F.count_if(F.col("p_size") > 25).alias("n_fail"), F.count_if(F.col("p_size") <= 25).alias("n_pass"))
+    g = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count_if(F.col("p_size") > 25).alias("n_fail"), F.count_if(F.col("p_size") <= 25).alias("n_pass"))
     return g.where("n_fail = 0 OR n_pass = 0")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +11,6 @@ from lumenfold.plans import catalog as C
 from lumenfold.sources import stores
 
 
-def store_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that driver and executors share; one of our own only in local mode, where they are one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
-    return f"{base.rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
-
-
 # --- tool outputs --------------------------------------------------------------------------------
 # an event is a run; its id picks the tool and puts numbers into the output
 
@@ -118,7 +105,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query(f"WITH {C.RUNS} SELECT run_id, tool, status, CASE WHEN run_id % 3 = 0 THEN 'proof' END AS storage FROM r")
 def ndjson_round_trip(spark, d):
-    path = store_path(spark, "ndjson")
+    path = stores.shared_folder(spark, "ndjson")
     stores.write_ndjson(_runs(spark, d), path)
     return stores.read_ndjson(spark, path, _STORE)
 
@@ -127,7 +114,7 @@ def ndjson_round_trip(spark, d):
 def first_root_wins(spark, d):
     r = _runs(spark, d)
     first, second = r.where("run_id % 4 = 0").withColumn("status", F.lit("first")), r.where("run_id % 2 = 0")
-    paths = [store_path(spark, f"root{k}") for k in range(2)]
+    paths = [stores.shared_folder(spark, f"root{k}") for k in range(2)]
     for rows, path in zip((first, second), paths):
         stores.write_ndjson(rows, path)
     return stores.first_root_wins([stores.read_ndjson(spark, p, _STORE) for p in paths], "run_id").select("run_id", "tool", "status", "storage")

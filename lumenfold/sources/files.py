@@ -36,5 +36,6 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def documents_as_files(documents: DataFrame) -> DataFrame:
-    """files(rel, text, lang) of the documents table: source/doc_id.lang."""
-    return documents.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("rel"), "text", "lang", "source", "doc_id")
+    """files(rel, text, lang) of the documents table: source/doc_id.lang, `unknown` for a source or a language that is null."""
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
+    return documents.select(F.concat(known("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), known("lang")).alias("rel"), "text", "lang", "source", "doc_id")

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import ancestors
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; one of our own only in local mode, where they are one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+    return f"{base.rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
+
+
 def collected(*parts: DataFrame) -> DataFrame:
     """Files of several reads, each once, in order of rel; of files with one rel, the first read's counts."""
     out = parts[0].withColumn("_part", F.lit(0))

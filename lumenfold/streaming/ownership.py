@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,35 +9,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lumenfold.sources.stores import shared_folder
+
 OUT = "path string, writer string, held boolean, since timestamp"
 
 
 class _Holders(StatefulProcessor):
-    """Per path: each writer's last claim. An event older than the path's last resolve, or a writer's last event, changes nothing."""
+    """Per path: each writer's last claim or release, and the last resolve, each by (ts, event_id).
+
+    An event that is not later than the last of its kind changes nothing, so events may come in any order.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "writer string", "ts timestamp, kind string")
-        self.resolved = handle.getValueState("resolved", "ts timestamp")
+        self.last = handle.getMapState("last", "writer string", "ts timestamp, event_id long, kind string")
+        self.resolved = handle.getValueState("resolved", "ts timestamp, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        resolved = self.resolved.get()[0] if self.resolved.exists() else None
+        resolved = tuple(self.resolved.get()) if self.resolved.exists() else None
         touched: set[str] = set()
-        for kind, writer, ts in zip(events["kind"], events["writer"], events["ts"]):
-            ts = ts.to_pydatetime()
-            if kind == "resolve":
-                if resolved is None or ts > resolved:
-                    resolved = ts
-                    touched.update(k[0] for k in self.last.keys())
-            elif not self.last.containsKey((writer,)) or self.last.getValue((writer,))[0] <= ts:
-                self.last.updateValue((writer,), (ts, kind))
-                touched.add(writer)
-        if resolved is not None:
-            self.resolved.update((resolved,))
+        moved = False
+        for events in rows:  # frame by frame: a key's events of a batch are never held together
+            events = events.sort_values(["ts", "event_id"]).drop_duplicates(["kind", "writer"], keep="last")
+            for kind, writer, ts, event_id in zip(events["kind"], events["writer"], events["ts"], events["event_id"]):
+                at = (ts.to_pydatetime(), int(event_id))
+                if kind == "resolve":
+                    if resolved is None or at > resolved:
+                        resolved, moved = at, True
+                elif not self.last.containsKey((writer,)) or tuple(self.last.getValue((writer,)))[:2] < at:
+                    self.last.updateValue((writer,), (*at, kind))
+                    touched.add(writer)
+        if moved:
+            self.resolved.update(resolved)
+            touched.update(k[0] for k in self.last.keys())
         out = []
         for writer in sorted(touched):
-            ts, kind = self.last.getValue((writer,))
-            held = kind == "claim" and (resolved is None or ts > resolved)
+            ts, event_id, kind = self.last.getValue((writer,))
+            held = kind == "claim" and (resolved is None or (ts, event_id) > resolved)
             out.append((key[0], writer, held, ts))
         yield pd.DataFrame(out, columns=["path", "writer", "held", "since"])
 
@@ -55,11 +60,12 @@ def ownership_changes(events: DataFrame) -> DataFrame:
 def fold_available(events: DataFrame) -> DataFrame:
     """(writer, path, since) held after all that a stream has now, by way of a change log in the shared folder.
 
-    The log and the stream's checkpoint are in spark.checkpoint.dir, or in a folder of our own where that is unset.
+    The log and the stream's checkpoint are in spark.checkpoint.dir; in local mode, in a folder of our own where that is
+    unset. A stream that has nothing gives nothing.
     """
     spark = events.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenfold-")
-    root, provider = f"{base.rstrip('/')}/lumenfold/ownership-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    root, provider = shared_folder(spark, "ownership"), "spark.sql.streaming.stateStore.providerClass"
+    spark.createDataFrame([], OUT).write.parquet(f"{root}/log/batch=-1")
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 

@@ -5,8 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
-from lumenfold.operators import diagnostics, ledger, policy, rules, runs
-from lumenfold.sources import files
+from lumenfold.operators import audits, diagnostics, evidence, ledger, paths, policy, rulebook, rules, runs
+from lumenfold.sources import files, stores
+from lumenfold.streaming import ownership
 
 OUT = "run_id string, tool string, text string"
 
@@ -97,3 +98,68 @@ def test_ledger_folds(spark):
     own = [("claim", "w1", "p", 1), ("claim", "w2", "p", 2), ("release", "w1", "p", 3), ("claim", "w1", "q", 1), ("resolve", "x", "q", 2), ("claim", "w2", "q", 3), ("release", "w9", "z", 1)]
     held = ledger.owned(spark.createDataFrame(own, "kind string, writer string, path string, t long"), ["t"])
     assert sorted(tuple(r) for r in held.collect()) == [("w2", "p", 2), ("w2", "q", 3)]
+
+
+def test_streamed_ownership_equals_the_batch_on_ties_and_on_nothing(spark, tmp_path):
+    schema = "event_id long, ts timestamp, kind string, writer string, path string"
+    rows = [(1, 5, "resolve", "x", "p"), (2, 5, "claim", "w", "p"), (3, 5, "claim", "w", "q"), (4, 5, "resolve", "x", "q"), (6, 5, "release", "v", "r"), (5, 5, "claim", "v", "r"), (7, 4, "claim", "w", "r")]
+    events = spark.createDataFrame([(i, None, k, w, p, t) for i, t, k, w, p in rows], schema + ", t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    want = sorted(tuple(r)[:2] for r in ledger.owned(events, ["ts", "event_id"]).collect())
+    assert want == [("w", "p"), ("w", "r")]
+    events.repartition(3).write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    assert sorted(tuple(r)[:2] for r in ownership.fold_available(stream).collect()) == want
+    (tmp_path / "none").mkdir()
+    assert ownership.fold_available(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/none")).collect() == []
+
+
+def test_rules_look_around_lines(spark):
+    f = spark.createDataFrame([("a.py", "x\nexcept:\n  # c\n\n  pass\nexcept:"), ("t/tests/b.py", "print(1)"), ("b.py", "print(1)\nassert x"), ("c", None), ("d", "")], "rel string, text string")
+    assert [(r.rel, r.line_no, r.after) for r in rulebook.followed_by(f, "^except:", "pass").collect()] == [("a.py", 2, "  pass")]
+    assert [(r.rel, r.line_no) for r in rulebook.unguarded(f, "^except:", "x\n", 1).collect()] == [("a.py", 2), ("a.py", 6)]
+    near = {(r.rel, r.line_no): (r.before, r.after) for r in rulebook.nearest_filled(f, "^except:").collect()}
+    assert near == {("a.py", 2): ("x", "# c"), ("a.py", 6): ("pass", None)}
+    found = sorted((r.rule_id, r.rel, r.line_no) for r in rulebook.rule_findings(f, rulebook.PYTHON_RULES).collect())
+    assert found == [("PY-4.12", "a.py", 2), ("PY-4.12", "a.py", 6), ("PY-4.14", "b.py", 1), ("PY-4.15", "b.py", 2)]
+    m = sorted((r.line_no, r.match) for r in rulebook.multi_line_matches(f, r"except:\n[^\n]*").collect())
+    assert m == [(2, "except:\n  # c")]
+    same = spark.createDataFrame([("a", "\n".join(["short", "k" * 20, "k" * 20, " " + "k" * 20, "z"])), ("b", None)], "rel string, text string")
+    assert [tuple(r) for r in rules.repeated_islands(same, 3).collect()] == [("a", 2, 3, "k" * 20)]
+
+
+def test_links_and_resolve_forms(spark):
+    e = spark.createDataFrame([("s", 1, 1, "a", None, "h1", None), ("s", 2, 2, "b", "a", "h2", "h1"), ("s", 3, 4, "c", "a", "h3", "x")], "stream string, ordinal long, seq long, id string, prev_id string, hash string, prev_hash string")
+    assert sorted((r.ordinal, r.code) for r in ledger.link_breaks(e).collect()) == [(3, "previous-hash"), (3, "previous-id"), (3, "sequence")]
+    rows = [(1, "claim", "a", "p", None, None), (2, "claim", "b", "p", None, None), (3, "resolve", "x", "p", "a", None), (4, "claim", "c", "p", None, None), (5, "resolve", "x", "p", None, ["c"]), (6, "claim", "d", "q", None, None), (7, "resolve", "x", "q", None, None)]
+    events = spark.createDataFrame(rows, "t long, kind string, writer string, path string, owner string, owners array<string>")
+    assert [tuple(r) for r in ledger.owned_by_form(events, ["t"]).collect()] == [("a", "p")]
+
+
+def test_literals_of_any_length(spark):
+    c = spark.createDataFrame([(1, "a"), (2, "bc"), (3, "one two"), (4, "one two three"), (5, "one two three four five six seven"), (6, ""), (7, None)], "item_id long, text string")
+    f = spark.createDataFrame([("x", "zone two threes bc"), ("y", "one two three four five six seven"), ("z", None), ("w", "")], "rel string, text string")
+    got = sorted(tuple(r) for r in evidence.literal_owners(c, f).collect())
+    want = sorted((i, rel) for i, t in [(r.item_id, r.text) for r in c.collect()] if t for rel, text in [(r.rel, r.text) for r in f.collect()] if text and t in text)
+    assert got == want
+    assert evidence.literal_owners(c.limit(0), f).collect() == []
+
+
+def test_stores_and_scopes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", None), (2, None, "x")], "run_id long, status string, storage string")
+    stores.write_ndjson(rows, f"file://{tmp_path}/r")
+    back = stores.read_ndjson(spark, f"file://{tmp_path}/r", "run_id long, status string, storage string")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in rows.collect())
+    won = stores.first_root_wins([rows, rows.withColumn("status", F.lit("later")).unionByName(spark.createDataFrame([(3, "c", None)], rows.schema))], "run_id")
+    assert sorted((r.run_id, r.status, r.storage) for r in won.collect()) == [(1, "a", "runs"), (2, None, "x"), (3, "c", "runs")]
+    assert stores.reset(spark, f"file://{tmp_path}/r") and not stores.reset(spark, f"file://{tmp_path}/r")
+    f = spark.createDataFrame([("a/b/c.rs",), ("a/d.rs",), ("ab/c.rs",)], "rel string")
+    assert {r.rel for r in stores.below(f, spark.createDataFrame([("a",)], "root string")).collect()} == {"a/b/c.rs", "a/d.rs"}
+    m = spark.createDataFrame([("a/b/Cargo.toml", '[package]\nname = "k"\n'), ("ab/Cargo.toml", '[dependencies]\nname = "k"')], "rel string, text string")
+    assert [r.rel for r in stores.package_scope(f, m, "k").collect()] == ["a/b/c.rs"]
+
+
+def test_conflicts_are_counted_and_guarded(spark):
+    c = spark.createDataFrame([(1, "a", 1, "m", "p"), (2, "b", 1, "m", "p"), (3, "b", 2, "m", "p"), (4, "c", 2, "n", "p"), (5, "a", 1, "m", "q")], "claim_id long, writer string, worktree int, branch string, path string")
+    got = {(r.claim_id, r.kind): r.others for r in paths.conflicts(c).collect()}
+    assert got == {(1, "write-lock-conflict"): 1, (1, "branch-write-conflict"): 1, (1, "merge-risk"): 1, (2, "write-lock-conflict"): 1, (2, "merge-risk"): 1, (3, "branch-write-conflict"): 1, (3, "write-lock-conflict"): 1, (4, "write-lock-conflict"): 1, (4, "merge-risk"): 2}
+    assert audits.first_existing(spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "z")], "item_id long, ordinal int, path string"), spark.createDataFrame([("y",)], "rel string")).collect()[0].path == "y"
