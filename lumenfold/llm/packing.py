@@ -1,11 +1,13 @@
 """Sequence packing by the online sum-of-squares rule.
 
-A document's whole windows of SEQUENCE ids are sequences of their own. What remains of it goes, as it comes,
-to the fill level that leaves the smallest sum over levels of the squared number of open sequences at that
-level; a level array holds these numbers, so a placement costs one vector operation. At the end of a
-partition what the open sequences hold, fullest first, is cut into full ones, and the last of it at powers of
-two, which need no padding. Partitions pack on their own: there is no shuffle, and a partition that runs again makes the same
-sequences with the same ids.
+A document's whole windows of SEQUENCE ids are sequences of their own. What remains of it goes, as it comes, to
+the fill level that leaves the smallest sum over levels of the squared number of open sequences at that level; a
+level array holds these numbers. A level is a sixteenth of a sequence wide. A sequence with less than that to go
+leaves the levels and is filled up with the first ids of the remainders that follow.
+
+At the end of a partition the emptiest open sequences are cut up to fill the gaps of the fullest, so that most stay
+as they were placed, and the last one is cut at powers of two, which need no padding. Partitions pack on their own:
+there is no shuffle, and a partition that runs again makes the same sequences with the same ids.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from . import shared as S
 
 SEQUENCE = 2048
 END_ID = 1
+LEVELS = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _BYTES = 4  # of an id: little-endian unsigned 32-bit
 
@@ -86,41 +88,67 @@ class Encoder:
 
 
 class Packer:
-    """Sum-of-squares packing of one stream of documents; rows() are the pieces of closed sequences."""
+    """Sum-of-squares packing of one stream of documents; rows() are the pieces of closed sequences.
 
-    def __init__(self, size: int, first_sequence: int):
+    `rest` counts the ids that lie in no whole window, `moved` those of them that finish() takes from where they were placed.
+    """
+
+    def __init__(self, size: int, first_sequence: int, levels: int = LEVELS):
         self.size, self.next = size, first_sequence
-        self.levels = np.zeros(size + 1, np.int64)  # open sequences at each fill; level `size` always counts 0
-        self.open: dict[int, list[list]] = defaultdict(list)
+        self.grain = max(size // levels, 1)
+        self.levels = np.zeros(size // self.grain, np.int64)  # open sequences by fill; the last level is always 0
+        self.open: list[list[tuple[int, list]]] = [[] for _ in self.levels]  # (fill, pieces)
+        self.short: list[tuple[int, list]] = []  # open sequences of the last level
         self.closed: list[tuple] = []
+        self.rest = self.moved = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // _BYTES
         whole = n - n % self.size
         for start in range(0, whole, self.size):
             self._close([(doc_id, start, ids[start * _BYTES : (start + self.size) * _BYTES], n)])
-        if n > whole:
-            self._place((doc_id, whole, ids[whole * _BYTES :], n))
+        self.rest += n - whole
+        piece = (doc_id, whole, ids[whole * _BYTES :], n)
+        while self.short and piece[2]:
+            fill, pieces = self.short.pop()
+            head, piece = self._cut(piece, self.size - fill)
+            self._put(fill, pieces, head)
+        if piece[2]:
+            self._place(piece)
+
+    @staticmethod
+    def _cut(piece: tuple, most: int) -> tuple[tuple, tuple]:
+        """The first `most` ids of a piece, and the others."""
+        doc_id, start, ids, n = piece
+        return (doc_id, start, ids[: most * _BYTES], n), (doc_id, start + most, ids[most * _BYTES :], n)
 
     def _place(self, piece: tuple) -> None:
-        n = len(piece[2]) // _BYTES
-        level = self.levels
-        # a sequence leaves level h for h + n: the sum changes by 2 * (level[h + n] - level[h]) + 2
-        change = 2 * (level[n:] - level[: self.size + 1 - n]) + 2
-        change[-1] -= 2 * level[self.size] + 1  # a full one leaves the levels
-        change[0] = 2 * level[n] + 1 if n < self.size else 0  # a new one comes to level n
-        change[1:][level[1 : self.size + 1 - n] == 0] = np.iinfo(np.int64).max
-        h = int(change.argmin())
-        pieces = []
-        if h:
-            pieces = self.open[h].pop()
-            level[h] -= 1
+        n, level = len(piece[2]) // _BYTES, self.levels
+        last = len(level) - 1
+        best, best_h = (2 * level[n // self.grain] + 1 if n // self.grain < last else 0), None
+        for h in range(last - 1, -1, -1):
+            if level[h] and (to := self.open[h][-1][0] + n) <= self.size:
+                # a sequence leaves level h, and comes to a higher one unless that is the last
+                up = min(to // self.grain, last)
+                change = 0 if up == h else 1 - 2 * level[h] + (2 * level[up] + 1 if up < last else 0)
+                if change < best:
+                    best, best_h = change, h
+        fill, pieces = (0, []) if best_h is None else self.open[best_h].pop()
+        if best_h is not None:
+            level[best_h] -= 1
+        self._put(fill, pieces, piece)
+
+    def _put(self, fill: int, pieces: list, piece: tuple) -> None:
         pieces.append(piece)
-        if h + n == self.size:
+        fill += len(piece[2]) // _BYTES
+        h = fill // self.grain
+        if fill == self.size:
             self._close(pieces)
+        elif h == len(self.levels) - 1:
+            self.short.append((fill, pieces))
         else:
-            self.open[h + n].append(pieces)
-            level[h + n] += 1
+            self.open[h].append((fill, pieces))
+            self.levels[h] += 1
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -131,26 +159,35 @@ class Packer:
         self.next += 1
 
     def finish(self) -> None:
-        """Cut what is open, fullest first, into full sequences, and what is left at powers of two."""
-        rest = [p for h in sorted(self.open, reverse=True) for p in self.open[h]]
-        stream = [piece for pieces in rest for piece in pieces]
-        self.open.clear()
+        """Fill the gaps of the fullest open sequences with ids of the emptiest, and cut the last one at powers of two."""
+        left = sorted(self.short + [x for held in self.open for x in held], key=lambda x: -x[0])
+        self.short, self.open = [], [[] for _ in self.levels]
         self.levels[:] = 0
-        left = sum(len(p[2]) for p in stream) // _BYTES
-        room, pieces = 0, []
-        for doc_id, start, ids, n in stream:
-            at = 0
-            while at < len(ids):
-                if not room:
-                    room = min(self.size, 1 << (left.bit_length() - 1))
-                take = min(room, (len(ids) - at) // _BYTES)
-                pieces.append((doc_id, start + at // _BYTES, ids[at : at + take * _BYTES], n))
-                at += take * _BYTES
-                room -= take
-                left -= take
-                if not room:
-                    self._close(pieces)
-                    pieces = []
+        while len(left) > 1:
+            fill, pieces = left.pop(0)
+            while fill < self.size and left:
+                held, own = left.pop()
+                head, piece = self._cut(own.pop(0), self.size - fill)
+                pieces.append(head)
+                took = len(head[2]) // _BYTES
+                fill, self.moved = fill + took, self.moved + took
+                own = [piece, *own] if piece[2] else own
+                if own:
+                    left.append((held - took, own))
+            left = [(fill, pieces), *left] if fill < self.size else left
+            if fill == self.size:
+                self._close(pieces)
+        for fill, pieces in left:
+            self.moved += fill
+            while fill:
+                room, some = 1 << (fill.bit_length() - 1), []
+                fill -= room
+                while room:
+                    head, piece = self._cut(pieces.pop(0), room)
+                    some.append(head)
+                    room -= len(head[2]) // _BYTES
+                    pieces = [piece, *pieces] if piece[2] else pieces
+                self._close(some)
 
     def rows(self) -> pa.RecordBatch:
         columns = list(zip(*self.closed)) or [()] * 7

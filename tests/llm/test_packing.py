@@ -62,10 +62,11 @@ def test_odd_rows(spark, tokenizer):
 
 
 def test_level_choice_is_the_least_sum_of_squares():
-    rng, packer = np.random.default_rng(7), P.Packer(16, 0)
+    rng, packer = np.random.default_rng(7), P.Packer(16, 0, 16)
     for _ in range(400):
         n = int(rng.integers(1, 16))
         before = packer.levels.copy()
+        packer.short.clear()  # so that nothing is filled up first; at this grain a level has one fill
         packer.add(0, bytes(4 * n))
         best = None
         for h in [0, *np.flatnonzero(before[1:]) + 1]:
@@ -73,7 +74,20 @@ def test_level_choice_is_the_least_sum_of_squares():
                 after = before.copy()
                 if h:
                     after[h] -= 1
-                if h + n < 16:
+                if h + n < 15:
                     after[h + n] += 1
                 best = min(best, (after**2).sum()) if best is not None else (after**2).sum()
         assert (packer.levels**2).sum() == best
+
+
+def test_placement_decides_at_least_nine_tenths_of_the_remainders(spark):
+    encoder = P.Encoder(P.tokenizer_path())
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    rest = moved = 0
+    for k in range(8):
+        packer = P.Packer(P.SEQUENCE, 0)
+        for r in rows[k * len(rows) // 8 : (k + 1) * len(rows) // 8]:
+            packer.add(r.doc_id, encoder(r.text or "") + b"\1\0\0\0")
+        packer.finish()
+        rest, moved = rest + packer.rest, moved + packer.moved
+    assert rest > 100_000 and moved <= 0.1 * rest
