@@ -1,15 +1,22 @@
 """Language-model scores by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The most frequent words and the end of a text have
-a class each, all others share classes by their last bytes, so an unknown word has a class too. The class
-given the history is a maximum-entropy model over hashed features: the previous word, the one before it (a
-skip feature) and a bias. Within a class a word has its add-one share of the counts.
-
-Word counts of the whole training part are gathered in packed form: documents are dealt into chunks of a
-bounded size, a chunk's distinct words go to the part of their hash, and each part sends back the totals in
-the order it got them. The model is trained on all training texts: each step, tasks sum the expected feature
-counts under the current weights, the sums meet in a shuffle, and the driver, which holds only the weights,
-moves them along the gradient, scaled by its curvature.
+P(word | history) = P(class | history) * P(word | class, history). The VOCABULARY most frequent words are put into
+classes by frequency, most frequent first, each class with about as much of the sum of their square roots of counts; all others
+share classes by their last bytes, and the end of a text is a class of its own, so every token has a class.
+
+Both factors are maximum-entropy models over the same hashed features of the history: the previous word, the two
+before it (skip features), and the last two together (the history of a trigram). Among classes a softmax runs over all classes, its
+weights in a table of feature buckets by class. Inside a class of frequent words a softmax runs over the class's
+words, its weights in one hashed table of (feature, word). A word that isn't in the vocabulary has its add-one
+share of its class, as its own number of parameters has no bound.
+
+Word counts of the whole training part are gathered in packed form: documents are dealt into chunks of a bounded
+size, a chunk's distinct words go to the part of their hash, and each part sends back the totals in the order it
+got them. Training starts from the classes' and words' shares and takes one pass over all training texts, in
+BATCHES parts of them: for each part, tasks sum observed and expected feature counts under the weights so far, the sums
+meet in a shuffle, and the driver, which holds only the weights, moves them along the gradient, scaled by its
+curvature. Before a part moves the weights its texts are unseen, so its log likelihood tells whether the steps still
+improve the model; where it falls, the steps get smaller.
 """
 
 from __future__ import annotations
@@ -24,15 +31,19 @@ from pyspark.sql import functions as F
 
 from . import shared as S
 
-TOP, SUFFIX_CLASSES, SUFFIX_BYTES = 15, 32, 2
-CLASSES = SUFFIX_CLASSES + TOP + 1
+VOCABULARY, WORD_CLASSES, SUFFIX_CLASSES, SUFFIX_BYTES = 1024, 24, 24, 2
+CLASSES = WORD_CLASSES + SUFFIX_CLASSES + 1
 END_CLASS = CLASSES - 1
-BUCKETS = 1 << 13
-STEPS, RATE, DAMP, LARGEST = 2, 0.7, 8.0, 1.5
+#: Features of a history, buckets of each, and bits of the table of (feature, word).
+FEATURES, BUCKETS, WORD_BITS = 4, 1 << 12, 18
+BATCHES, RATE, DAMP, LARGEST = 8, 1.2, 8.0, 1.5
 CHUNK_BYTES = 8 << 20
-TOKENS_AT_ONCE = 1 << 15
+TOKENS_AT_ONCE = 1 << 14
 FOLDS, HELD_OUT = 7, 2
-_ROWS = 256  # of a weight table in one row of the gradient's shuffle; places in it fit a byte
+_PIECE = 1 << 14  # weights in one row of the gradient's shuffle
+_WORD_TABLE = 1 << WORD_BITS
+_CLASS_TABLE = (FEATURES * BUCKETS + 1) * CLASSES
+_SIZE = _CLASS_TABLE + _WORD_TABLE + VOCABULARY
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -88,7 +99,7 @@ def _send(parts: int):
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part: the totals for each chunk (kind 0), sums by suffix class (1) and the top words (2)."""
+    """Of each part: the totals for each chunk (kind 0), sums by suffix class (1) and its most frequent words (2)."""
 
     def of(part: int, rows: list[tuple]) -> pa.RecordBatch:
         words, n, suffix = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((1, np.uint64), (2, np.int32), (3, np.uint8)))
@@ -102,7 +113,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = suffix[index].astype(np.int64)
         sums, distinct = np.bincount(kinds, total, SUFFIX_CLASSES), np.bincount(kinds[known], minlength=SUFFIX_CLASSES)
         out += [(1, 0, part, b"", int(k), int(sums[k]), int(distinct[k])) for k in np.flatnonzero(distinct)]
-        top = np.flatnonzero(known)[np.lexsort((seen[known], -total[known]))[:TOP]]
+        top = np.flatnonzero(known)[np.lexsort((seen[known], -total[known]))[:VOCABULARY]]
         out += [(2, 0, part, b"", int(seen[k].astype(np.int64)), int(total[k]), int(kinds[k])) for k in top]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "chunk", "part", "totals", "key", "n", "m"])
 
@@ -120,121 +131,263 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """top: sorted hashes of the words with a class each; share[k]: log10 of 1 / add-one total of class k."""
+    """words: hashes of the vocabulary, ordered by class; edges: where each class begins in it; share[k]: log10 of 1 / add-one total of suffix class k.
 
-    top: np.ndarray
+    weights holds the class table, by feature bucket and at last the bias, the hashed word table, and the words' biases.
+    """
+
+    words: np.ndarray
+    edges: np.ndarray
     share: np.ndarray
-    weights: np.ndarray  # (2 * BUCKETS + 1, CLASSES): previous word, the one before, bias
+    weights: np.ndarray
+
+    def __post_init__(self):
+        self.order = np.argsort(self.words)
+        self.ordered = self.words[self.order]
+        self.of = np.searchsorted(self.edges, np.arange(len(self.words)), "right") - 1
+        self.class_weights = self.weights[:_CLASS_TABLE].reshape(-1, CLASSES)
+        self.word_weights = self.weights[_CLASS_TABLE : _CLASS_TABLE + _WORD_TABLE]
+        self.word_bias = self.weights[_CLASS_TABLE + _WORD_TABLE :]
 
-    def classes(self, hashes: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        out = suffix.astype(np.int64)
-        if len(self.top) and len(hashes):
-            at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
-            hit = self.top[at] == hashes
-            out[hit] = SUFFIX_CLASSES + at[hit]
-        return out
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word in the vocabulary, -1 for others."""
+        if not len(self.words) or not len(hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.ordered, hashes), len(self.words) - 1)
+        return np.where(self.ordered[at] == hashes, self.order[at], -1)
 
-    def logits(self, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
-        return self.weights[f1] + self.weights[f2] + self.weights[-1]
 
+def vocabulary_classes(counts: np.ndarray) -> np.ndarray:
+    """Where each word class begins among words ordered by falling counts: even parts of the sum of their square roots."""
+    mass = np.cumsum(np.sqrt(counts))
+    edges = np.searchsorted(mass, mass[-1] * np.arange(WORD_CLASSES) / WORD_CLASSES, "left") if len(counts) else np.zeros(WORD_CLASSES, np.int64)
+    return np.maximum.accumulate(edges)
+
+
+@dataclass
+class Tokens:
+    """All tokens of some texts, ends included: class, place in the vocabulary or -1, feature buckets, text."""
 
-def histories(model: Model, hashes: np.ndarray, suffix: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(class, feature of the previous word, feature of the one before, text) of all tokens, ends included."""
+    kind: np.ndarray
+    place: np.ndarray
+    features: np.ndarray  # (FEATURES, tokens), each in its own range of buckets
+    text: np.ndarray
+
+
+def histories(model: Model, hashes: np.ndarray, suffix: np.ndarray, first: np.ndarray) -> Tokens:
+    """Tokens of the words of texts first[i]:first[i+1]. A word outside the vocabulary counts as its suffix class in histories."""
     n = np.diff(first)
     last = np.cumsum(n + 1) - 1
     total = len(hashes) + len(n)
     word = np.ones(total, bool)
     word[last] = False
-    bucket = np.zeros(total, np.int64)
-    bucket[word] = 1 + (S.mix(hashes ^ np.uint64(0xABCD)) % np.uint64(BUCKETS - 1)).astype(np.int64)
-    kind = np.full(total, END_CLASS)
-    kind[word] = model.classes(hashes, suffix)
-    begin = last - n
-    f1, f2 = np.zeros(total, np.int64), np.zeros(total, np.int64)
-    f1[1:], f2[2:] = bucket[:-1], bucket[:-2]
-    f1[begin] = 0
-    f2[begin] = 0
-    second = begin[n > 0] + 1
-    f2[second] = 0
-    return kind, f1, f2 + BUCKETS, np.repeat(np.arange(len(n)), n + 1)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
-
-
-def _feature_counts(model: Model, expected: bool):
-    """Sums over texts of the features' observed or expected counts by class, as those rows of a weight table that aren't 0."""
+    found = model.places(hashes)
+    place, kind = np.full(total, -1), np.full(total, END_CLASS)
+    place[word] = found
+    own = WORD_CLASSES + suffix.astype(np.int64)
+    kind[word] = np.where(found >= 0, model.of[found], own) if len(model.words) else own
+    name = np.zeros(total, np.uint64)  # 0 stands for the beginning of a text
+    name[word] = 1 + np.where(found >= 0, found + SUFFIX_CLASSES, suffix).astype(np.uint64)
+    at = np.arange(total) - np.repeat(last - n, n + 1)
+    back = []
+    for k in (1, 2, 3):
+        x = np.zeros(total, np.uint64)
+        x[k:] = name[:-k] if total > k else 0
+        x[at < k] = 0
+        back.append(x)
+    keys = [*back, back[0] * np.uint64(1 << 20) + back[1]]
+    features = np.stack([(S.mix(x + np.uint64(k << 50)) % np.uint64(BUCKETS)).astype(np.int64) + k * BUCKETS for k, x in enumerate(keys)])
+    return Tokens(kind, place, features, np.repeat(np.arange(len(n)), n + 1))
+
+
+def class_logits(model: Model, features: np.ndarray) -> np.ndarray:
+    out = model.class_weights[features[0]] + model.class_weights[-1]
+    for f in features[1:]:
+        out += model.class_weights[f]
+    return out
+
+
+def word_cells(features: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """(FEATURES, tokens, hi - lo): cells of the word table for each feature and word of a class."""
+    a, b = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+    x = features.astype(np.uint32)[:, :, None] * a + (np.arange(lo, hi, dtype=np.uint32) * b)[None, None, :]
+    x ^= x >> np.uint32(15)
+    return (x * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - WORD_BITS)
+
+
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities, logs of the sums)."""
+    top = x.max(1, keepdims=True)
+    x = np.exp(x - top)
+    total = x.sum(1, keepdims=True)
+    return x / total, (np.log(total) + top)[:, 0]
+
+
+def _by_class(model: Model, t: Tokens) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(tokens, first word, end): tokens of each class of several vocabulary words."""
+    inside = np.flatnonzero(t.place >= 0)
+    order = inside[np.argsort(t.kind[inside], kind="stable")]
+    cut = np.searchsorted(t.kind[order], np.arange(WORD_CLASSES + 1))
+    edges = np.append(model.edges, len(model.words))
+    for k in range(WORD_CLASSES):
+        if cut[k + 1] > cut[k] and edges[k + 1] - edges[k] > 1:
+            yield order[cut[k] : cut[k + 1]], int(edges[k]), int(edges[k + 1])
+
+
+def log_probabilities(model: Model, t: Tokens) -> np.ndarray:
+    """Natural logs of P(class | history), times P(word | class, history) for words of the vocabulary."""
+    logits = class_logits(model, t.features)
+    out = logits[np.arange(len(t.kind)), t.kind] - _softmax(logits)[1]
+    for some, lo, hi in _by_class(model, t):
+        x = model.word_weights[word_cells(t.features[:, some], lo, hi)].sum(0) + model.word_bias[lo:hi]
+        out[some] += x[np.arange(len(some)), t.place[some] - lo] - _softmax(x)[1]
+    return out
+
+
+def _add_sums(model: Model, t: Tokens, observed: np.ndarray, expected: np.ndarray) -> float:
+    """Add the tokens' observed and expected counts of all weights; their log likelihood so far."""
+    logits = class_logits(model, t.features)
+    p, norm = _softmax(logits)
+    likelihood = float((logits[np.arange(len(t.kind)), t.kind] - norm).sum())
+    seen, due = (x[:_CLASS_TABLE].reshape(-1, CLASSES) for x in (observed, expected))
+    for f in t.features:
+        seen_here = np.bincount((f % BUCKETS) * CLASSES + t.kind, minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
+        base = int(f[0]) // BUCKETS * BUCKETS if len(f) else 0
+        seen[base : base + BUCKETS] += seen_here
+        order = np.argsort(f.astype(np.uint16), kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
+        due[f[order[cut]]] += np.add.reduceat(p[order], cut, axis=0)
+    seen[-1] += np.bincount(t.kind, minlength=CLASSES)
+    due[-1] += p.sum(0)
+    words = slice(_CLASS_TABLE, _CLASS_TABLE + _WORD_TABLE)
+    bias = _CLASS_TABLE + _WORD_TABLE
+    for some, lo, hi in _by_class(model, t):
+        cells = word_cells(t.features[:, some], lo, hi)
+        x = model.word_weights[cells].sum(0) + model.word_bias[lo:hi]
+        p, norm = _softmax(x)
+        own = t.place[some] - lo
+        likelihood += float((x[np.arange(len(some)), own] - norm).sum())
+        expected[words] += np.bincount(cells.ravel(), np.broadcast_to(p, cells.shape).ravel(), minlength=_WORD_TABLE)
+        observed[words] += np.bincount(cells[:, np.arange(len(some)), own].ravel(), minlength=_WORD_TABLE)
+        observed[bias + lo : bias + hi] += np.bincount(own, minlength=hi - lo)
+        expected[bias + lo : bias + hi] += p.sum(0)
+    return likelihood
+
+
+def _pieces(hashes: np.ndarray, suffix: np.ndarray, first: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """(texts, their first words) of about TOKENS_AT_ONCE tokens."""
+    some, n = 0, len(first) - 1
+    while some < n:
+        to = min(max(some + 1, int(np.searchsorted(first, first[some] + TOKENS_AT_ONCE))), n)
+        yield slice(some, to), first[some : to + 1]
+        some = to
+
+
+def _spans(t: Tokens) -> Iterator[Tokens]:
+    """Tokens some at a time, so that a long text takes no more memory than others."""
+    for i in range(0, len(t.kind), TOKENS_AT_ONCE):
+        s = slice(i, i + TOKENS_AT_ONCE)
+        yield Tokens(t.kind[s], t.place[s], t.features[:, s], t.text[s])
+
+
+def _sums(shared):
+    """Observed and expected counts of a task's texts, as those pieces that aren't 0; piece -1 has tokens and log likelihood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 * BUCKETS + 1, CLASSES), np.float64)
+        model = shared.value
+        observed, expected = np.zeros(_SIZE), np.zeros(_SIZE)
+        n, likelihood = 0, 0.0
         for b in S.blocks(batches):
-            kind, f1, f2, _ = histories(model, *tokens(b.buf, b.off))
-            if not expected:
-                for f in (f1, f2):
-                    total += np.bincount(f * CLASSES + kind, minlength=total.size).reshape(total.shape)
-                total[-1] += np.bincount(kind, minlength=CLASSES)
-                continue
-            for i in range(0, len(kind), TOKENS_AT_ONCE):
-                p = _softmax(model.logits(f1[i : i + TOKENS_AT_ONCE], f2[i : i + TOKENS_AT_ONCE]))
-                for f in (f1[i : i + TOKENS_AT_ONCE], f2[i : i + TOKENS_AT_ONCE]):
-                    order = np.argsort(f.astype(np.uint16), kind="stable")
-                    cut = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
-                    total[f[order[cut]]] += np.add.reduceat(p[order], cut, axis=0)
-                total[-1] += p.sum(0, dtype=np.float64)
-        row = np.flatnonzero(total.any(1))
-        at, sums = (row % _ROWS).astype(np.uint8), total[row].astype(np.float32)
-        cut = np.flatnonzero(np.append(True, np.diff(row // _ROWS) != 0)) if len(row) else row
-        spans = list(zip(cut, np.append(cut[1:], len(row))))
-        yield pa.RecordBatch.from_arrays([pa.array((row[cut] // _ROWS).astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (at, sums))], names=["row", "at", "sums"])
+            hashes, suffix, first = tokens(b.buf, b.off)
+            for _, words in _pieces(hashes, suffix, first):
+                t = histories(model, hashes[words[0] : words[-1]], suffix[words[0] : words[-1]], words - words[0])
+                n += len(t.kind)
+                for part in _spans(t):
+                    likelihood += _add_sums(model, part, observed, expected)
+        at = [k for k in range(-(-_SIZE // _PIECE)) if expected[k * _PIECE : (k + 1) * _PIECE].any()]
+        pack = lambda x: [x[k * _PIECE : (k + 1) * _PIECE].astype(np.float32).tobytes() for k in at]
+        told = np.array([n, likelihood]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*pack(observed), told], pa.binary()), pa.array([*pack(expected), told], pa.binary())], names=["piece", "observed", "expected"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    total: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for row, at, sums in zip(*(c.to_pylist() for c in S.fields(batch, "row", "at", "sums"))):
-            if row not in total:
-                total[row] = np.zeros((_ROWS, CLASSES))
-            total[row][np.frombuffer(at, np.uint8)] += np.frombuffer(sums, np.float32).reshape(-1, CLASSES)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["row", "sums"])
-
-
-def _gathered(texts: DataFrame, model: Model, expected: bool) -> np.ndarray:
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # the weights: a fixed size
-    run = lambda it: _feature_counts(shared.value, expected)(it)
-    sums = texts.mapInArrow(run, "row int, at binary, sums binary").repartition(S.n_tasks(texts.sparkSession), "row").mapInArrow(_summed, "row int, sums binary")
-    out = np.zeros((2 * BUCKETS + 1, CLASSES))
-    for r in sums.toLocalIterator():
-        values = np.frombuffer(r["sums"], np.float64).reshape(-1, CLASSES)
-        some = out[r["row"] * _ROWS : (r["row"] + 1) * _ROWS]
-        some += values[: len(some)]
-    S.release(texts.sparkSession)
-    return out
+        for piece, *sums in zip(*(c.to_pylist() for c in S.fields(batch, "piece", "observed", "expected"))):
+            own = [np.frombuffer(x, np.float32 if piece >= 0 else np.float64).astype(np.float64) for x in sums]
+            total[piece] = [x + y for x, y in zip(total[piece], own)] if piece in total else own
+    columns = [pa.array(list(total), pa.int32()), *(pa.array([x[k].tobytes() for x in total.values()], pa.binary()) for k in range(2))]
+    yield pa.RecordBatch.from_arrays(columns, names=["piece", "observed", "expected"])
 
 
-def train(texts: DataFrame, top: np.ndarray, share: np.ndarray, steps: int = STEPS) -> Model:
-    """Maximum-entropy weights from all rows of texts(text)."""
-    model = Model(top, share, np.zeros((2 * BUCKETS + 1, CLASSES), np.float32))
-    observed = _gathered(texts, model, False)
-    if not observed[-1].sum():
-        return model
-    prior = (observed[-1] + 1) / (observed[-1].sum() + CLASSES)
-    table = observed[:-1]
-    lift = np.log((table + DAMP * prior) / (table.sum(1, keepdims=True) + DAMP) / prior)
-    model.weights = np.vstack([0.5 * lift, np.log(prior)[None]]).astype(np.float32)
-    for _ in range(steps):
-        expected = _gathered(texts, model, True)
-        step = RATE * (observed - expected) / (np.maximum(observed, expected) + DAMP)
-        model.weights = (model.weights + np.clip(step, -LARGEST, LARGEST)).astype(np.float32)
+_SUMS = "piece int, observed binary, expected binary"
+
+
+def gathered(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """(observed, expected, tokens, log likelihood) over all rows of texts(text); the driver gets one vector of the weights' size."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    sums = texts.mapInArrow(_sums(shared), _SUMS).repartition(S.n_tasks(spark), "piece").mapInArrow(_summed, _SUMS)
+    out, told = [np.zeros(_SIZE), np.zeros(_SIZE)], np.zeros(2)
+    for r in sums.toLocalIterator():
+        if r["piece"] < 0:
+            told = np.frombuffer(r["observed"])
+            continue
+        for vector, sums_ in zip(out, (r["observed"], r["expected"])):
+            own = np.frombuffer(sums_)
+            vector[r["piece"] * _PIECE : r["piece"] * _PIECE + len(own)] = own
+    shared.destroy()
+    S.release(spark)
+    return out[0], out[1], int(told[0]), float(told[1])
+
+
+def start(words: np.ndarray, counts: np.ndarray, class_counts: np.ndarray, share: np.ndarray) -> Model:
+    """The model before training: histories tell nothing, classes and words have their add-one shares."""
+    weights = np.zeros(_SIZE, np.float32)
+    edges = vocabulary_classes(counts)
+    of = np.searchsorted(edges, np.arange(len(words)), "right") - 1
+    whole = class_counts.astype(np.float64)
+    np.add.at(whole, of, counts)
+    weights[_CLASS_TABLE - CLASSES : _CLASS_TABLE] = np.log((whole + 1) / (whole.sum() + CLASSES))
+    weights[_CLASS_TABLE + _WORD_TABLE :][: len(words)] = np.log(counts + 1.0)
+    return Model(words, edges, share, weights)
+
+
+def train(parts: list[DataFrame], model: Model) -> Model:
+    """A gradient step for each of the parts, frames of text; their rows are all training rows, each in one part."""
+    rate, before = RATE, -np.inf
+    for texts in parts:
+        observed, expected, n, likelihood = gathered(texts, model)
+        if not n:
+            continue
+        if likelihood / n < before:
+            rate /= 2
+        before = likelihood / n
+        step = rate * (observed - expected) / (np.maximum(observed, expected) + DAMP)
+        model = Model(model.words, model.edges, model.share, (model.weights + np.clip(step, -LARGEST, LARGEST)).astype(np.float32))
     return model
 
 
-def _score(model: Model, parts: int, n_train: int, n_distinct: int, n_ends: int):
+def text_scores(model: Model, hashes: np.ndarray, suffix: np.ndarray, first: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """log10 probability of each text; c: training counts of its words."""
+    score = np.zeros(len(first) - 1)
+    for texts, words in _pieces(hashes, suffix, first):
+        i, j = words[0], words[-1]
+        t = histories(model, hashes[i:j], suffix[i:j], words - i)
+        log_p = np.concatenate([log_probabilities(model, part) for part in _spans(t)]) / np.log(10)
+        is_word = np.ones(len(t.kind), bool)
+        is_word[np.cumsum(np.diff(words) + 1) - 1] = False
+        inside = np.zeros(len(t.kind))
+        inside[is_word] = np.log10(c[i:j] + 1.0)
+        shared = is_word & (t.place < 0)
+        inside = np.where(shared, inside + model.share[np.clip(t.kind - WORD_CLASSES, 0, SUFFIX_CLASSES - 1)], 0.0)
+        score[texts] = np.bincount(t.text, log_p + inside, texts.stop - texts.start)
+    return score
+
+
+def _score(shared, parts: int, n_train: int, n_distinct: int, n_ends: int):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         totals = totals.sort_by("part")
         counts = np.frombuffer(b"".join(totals.column("totals").to_pylist()), np.int64)
@@ -243,61 +396,48 @@ def _score(model: Model, parts: int, n_train: int, n_distinct: int, n_ends: int)
         c = counts[place] if len(place) else np.zeros(0, np.int64)
         n = np.diff(first)
         base = S.per_text(np.log10((c + 1.0) / (n_train + n_distinct + 1)), first) + np.log10((n_ends + 1.0) / (n_train + n_distinct + 1))
-        score = np.zeros(len(n))
-        some = 0
-        while some < len(n):  # whole texts of about TOKENS_AT_ONCE tokens
-            to = max(some + 1, int(np.searchsorted(first, first[some] + TOKENS_AT_ONCE)))
-            to = min(to, len(n))
-            i, j = first[some], first[to]
-            kind, f1, f2, text = histories(model, hashes[i:j], suffix[i:j], first[some : to + 1] - i)
-            log_p = np.empty(len(kind))
-            for k in range(0, len(kind), TOKENS_AT_ONCE):
-                x = model.logits(f1[k : k + TOKENS_AT_ONCE], f2[k : k + TOKENS_AT_ONCE])
-                x -= x.max(1, keepdims=True)
-                own = x[np.arange(len(x)), kind[k : k + TOKENS_AT_ONCE]]
-                log_p[k : k + len(x)] = (own - np.log(np.exp(x).sum(1))) / np.log(10)
-            inside = np.zeros(len(kind))
-            is_word = np.ones(len(kind), bool)
-            is_word[np.cumsum(n[some:to] + 1) - 1] = False
-            shared = is_word & (kind < SUFFIX_CLASSES)
-            inside[is_word] = np.log10(c[i:j] + 1.0)
-            inside = np.where(shared, inside + model.share[np.minimum(kind, SUFFIX_CLASSES - 1)], 0.0)
-            score[some:to] = np.bincount(text, log_p + inside, to - some)
-            some = to
+        score = text_scores(shared.value, hashes, suffix, first, c)
         known = S.per_text(c > 0, first) + (n_ends > 0)
         return pa.table([docs.column("doc_id"), docs.column("held_out"), pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(score)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """SCHEMA for each row of docs(doc_id, text); learns from the rows outside the held-out fold.
+def lm_scores(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """SCHEMA for each row of docs(doc_id, text); learns from the rows outside the held-out fold. No batches: no training.
 
     A null text is empty and has the end alone. Repeated rows count and are scored each; a null doc_id stays
     null; other columns are ignored; an empty table gives an empty result. Without training rows all counts
     are 0 and the classes equally likely.
     """
     spark, tasks = docs.sparkSession, S.n_tasks(docs.sparkSession)
+    scratch = S.Scratch(spark)
     held_out = S.crc_of_id(F.col("doc_id")) % FOLDS == HELD_OUT
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    size, n_ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    size, n_ends, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0)), F.count("*")).first()
+    chunks = max(1, -(-size // CHUNK_BYTES), -(-n_rows // (CHUNK_BYTES // 64)))
+    # dealt once and written: a row's number spreads equal rows, and would not be the same in a second reading
+    number = F.monotonically_increasing_id()
+    dealt = rows.select("*", F.pmod(F.xxhash64("text", number), F.lit(chunks)).cast("int").alias("chunk"), F.pmod(F.xxhash64(number, F.lit(1)), F.lit(max(batches, 1))).cast("int").alias("batch"))
+    dealt = scratch.settle(dealt, "dealt")
     sent = dealt.groupBy("chunk").applyInArrow(_send(chunks), "chunk int, part int, words binary, n binary, suffix binary")
     totals = sent.repartition(tasks, "part").sortWithinPartitions("part")
-    totals = S.settle(totals.mapInArrow(_total, "kind int, chunk int, part int, totals binary, key long, n long, m long"), "word-totals")
+    totals = scratch.settle(totals.mapInArrow(_total, "kind int, chunk int, part int, totals binary, key long, n long, m long"), "word-totals")
 
-    sums = totals.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
-    top = totals.where("kind = 2").select("key", "n", "m").orderBy(F.desc("n"), "key").limit(TOP).collect()
+    sums = totals.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()  # SUFFIX_CLASSES rows
+    top = totals.where("kind = 2").select("key", "n", "m").orderBy(F.desc("n"), "key").limit(VOCABULARY).collect()
     n_train, n_distinct = sum(r["n"] for r in sums) + n_ends, sum(r["m"] for r in sums) + (n_ends > 0)
-    of_class = np.ones(SUFFIX_CLASSES)  # the one is for words that training doesn't know
+    of_class, class_counts = np.ones(SUFFIX_CLASSES), np.zeros(CLASSES, np.int64)  # the one is for words that training doesn't know
+    class_counts[END_CLASS] = n_ends
     for r in sums:
         of_class[r["key"]] += r["n"] + r["m"]
+        class_counts[WORD_CLASSES + r["key"]] += r["n"]
     for r in top:
         of_class[r["m"]] -= r["n"] + 1
-    model = train(rows.where(~F.col("held_out")).select("text"), np.sort(np.array([r["key"] for r in top], np.int64).astype(np.uint64)), -np.log10(of_class))
+        class_counts[WORD_CLASSES + r["m"]] -= r["n"]
+    model = start(np.array([r["key"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.int64), class_counts, -np.log10(of_class))
+    model = train([dealt.where(~F.col("held_out") & (F.col("batch") == k)).select("text") for k in range(batches)], model)
 
     counts = totals.where("kind = 0").select("chunk", "part", "totals")
-    shared = spark.sparkContext.broadcast(model)
-    score = lambda left, right: _score(shared.value, chunks, n_train, n_distinct, n_ends)(left, right)
-    return dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(score, SCHEMA)
+    shared = spark.sparkContext.broadcast(model)  # the weights: a fixed size
+    return dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_score(shared, chunks, n_train, n_distinct, n_ends), SCHEMA)
