@@ -43,23 +43,111 @@ def test_base_and_a_better_model_on_held_out_rows(spark, monkeypatch, chunk):
     assert len(out) > 10 and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def a_model(texts, seed=3):
+    """(model, counts of words by hash): a model over the words of texts with random weights."""
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+    hashes, suffix, first = M.tokens(buf, off)
+    seen, index, counts = np.unique(hashes, return_index=True, return_counts=True)
+    order = np.lexsort((seen, -counts))[:40]
+    share, rest = np.ones(M.SUFFIX_CLASSES), np.delete(np.arange(len(seen)), order)
+    np.add.at(share, suffix[index[rest]], counts[rest] + 1)
+    class_counts = np.zeros(M.CLASSES, np.int64)
+    model = M.start(seen[order], counts[order], class_counts, -np.log10(share))
+    weights = model.weights + np.random.default_rng(seed).normal(size=M._SIZE).astype(np.float32)
+    return M.Model(model.words, model.edges, model.share, weights), dict(zip(seen.tolist(), counts.tolist())), (hashes, suffix, first)
+
+
+TEXTS = ["a b a c", "", "b c " * 30, "end in x", *(f"word{k % 50} and{k % 7} a the{k % 3}" for k in range(200))]
+
+
+def plain_log10(model, counts, words, suffixes):
+    """log10 probability of one text, token by token, with loops and dictionaries."""
+    place = {int(h): k for k, h in enumerate(model.words)}
+    edges = [*model.edges.tolist(), len(model.words)]
+    of = lambda k: max(c for c in range(M.WORD_CLASSES) if edges[c] <= k < edges[c + 1])
+    names, total = [], 0.0
+    for h, x in [*zip(words, suffixes), (None, None)]:
+        at = place.get(h)
+        kind = M.END_CLASS if h is None else of(at) if at is not None else M.WORD_CLASSES + x
+        back = [names[-k] if len(names) >= k else 0 for k in (1, 2, 3)]
+        keys = [*back, back[0] * (1 << 20) + back[1]]
+        features = [int(M.S.mix(np.array([key + (k << 50)], np.uint64))[0] % np.uint64(M.BUCKETS)) + k * M.BUCKETS for k, key in enumerate(keys)]
+        logits = [math.fsum([model.class_weights[-1][c], *(model.class_weights[f][c] for f in features)]) for c in range(M.CLASSES)]
+        total += logits[kind] - math.log(math.fsum(map(math.exp, logits)))
+        if at is not None:
+            own = {w: math.fsum([model.word_bias[w], *(model.word_weights[M.word_cells(np.array([[f]]), w, w + 1)[0, 0, 0]] for f in features)]) for w in range(edges[kind], edges[kind + 1])}
+            total += own[at] - math.log(math.fsum(map(math.exp, own.values())))
+        elif h is not None:
+            total += math.log(counts.get(h, 0) + 1) + model.share[x] * math.log(10)
+        names.append(0 if h is None else 1 + (at + M.SUFFIX_CLASSES if at is not None else x))
+    return total / math.log(10)
+
+
+def test_scores_equal_plain_ones_and_do_not_depend_on_how_texts_are_cut(monkeypatch):
+    model, counts, (hashes, suffix, first) = a_model(TEXTS)
+    c = np.array([counts[h] for h in hashes.tolist()])
+    got = M.text_scores(model, hashes, suffix, first, c)
+    for i in (0, 1, 2, 3, 17, 100):
+        s = slice(first[i], first[i + 1])
+        assert abs(got[i] - plain_log10(model, counts, hashes[s].tolist(), suffix[s].tolist())) < 1e-3
+    monkeypatch.setattr(M, "TOKENS_AT_ONCE", 13)
+    assert np.allclose(M.text_scores(model, hashes, suffix, first, c), got, atol=1e-4)
+
+
 def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    vocabulary = [f"w{k}" for k in range(60)]
-    buf = np.frombuffer(" ".join(vocabulary).encode(), np.uint8)
-    hashes, suffix, _ = M.tokens(buf, np.array([0, len(buf)]))
-    c = rng.integers(1, 50, 60)
-    top = np.sort(hashes[np.argsort(-c)[: M.TOP]])
-    share = np.ones(M.SUFFIX_CLASSES)
-    alone = np.isin(hashes, top)
-    np.add.at(share, suffix[~alone], c[~alone] + 1)
-    model = M.Model(top, -np.log10(share), rng.normal(size=(2 * M.BUCKETS + 1, M.CLASSES)).astype(np.float32))
-    p = M._softmax(model.logits(np.array([5]), np.array([M.BUCKETS + 9])).astype(float))[0]
-    kind = model.classes(hashes, suffix)
-    known = sum(p[k] * (1.0 if k >= M.SUFFIX_CLASSES else (n + 1) / share[k]) for k, n in zip(kind, c))
-    unknown = sum(p[k] / share[k] for k in range(M.SUFFIX_CLASSES))
-    unused = p[M.SUFFIX_CLASSES + len(top) : M.END_CLASS].sum()
-    assert abs(known + unknown + unused + p[M.END_CLASS] - 1) < 1e-6
+    model, counts, (hashes, suffix, first) = a_model(TEXTS)
+    seen, index = np.unique(hashes, return_index=True)
+    history = hashes[:2].tolist()
+    t = M.histories(model, np.array(history, np.uint64), suffix[:2], np.array([0, 2]))
+    features = t.features[:, 2:3]  # what the end of a text of two words has before it
+    p = M._softmax(M.class_logits(model, features).astype(float))[0][0]
+    edges = [*model.edges.tolist(), len(model.words)]
+    total = p[M.END_CLASS] + sum(p[M.WORD_CLASSES + k] * 10 ** model.share[k] for k in range(M.SUFFIX_CLASSES))  # the end, and unknown words
+    for k in range(M.WORD_CLASSES):
+        total += p[k]  # the words of a class, or none if it is empty
+        if edges[k + 1] > edges[k]:
+            x = model.word_weights[M.word_cells(features, edges[k], edges[k + 1])].sum(0) + model.word_bias[edges[k] : edges[k + 1]]
+            assert abs(M._softmax(x.astype(float))[0].sum() - 1) < 1e-9
+    for h, x in zip(seen.tolist(), suffix[index].tolist()):
+        if h not in set(model.words.tolist()):
+            total += p[M.WORD_CLASSES + x] * (counts[h] + 1) * 10 ** model.share[x]
+    assert abs(total - 1) < 1e-6
+
+
+def test_gradient_is_that_of_the_log_likelihood(spark):
+    model, _, (hashes, suffix, first) = a_model(TEXTS)
+    frame = spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(5)
+    observed, expected, n, likelihood = M.gathered(frame, model)
+    t = M.histories(model, hashes, suffix, first)
+    assert n == len(t.kind) and abs(likelihood - M.log_probabilities(model, t).sum()) < 1e-2
+    rng = np.random.default_rng(1)
+    active = np.flatnonzero(np.abs(observed - expected) > 0.05)
+    for k in [*rng.choice(active[active < M._CLASS_TABLE], 12), *rng.choice(active[active >= M._CLASS_TABLE], 12)]:
+        moved = []
+        for by in (-0.05, 0.05):
+            weights = model.weights.astype(np.float64)
+            weights[k] += by
+            moved.append(M.log_probabilities(M.Model(model.words, model.edges, model.share, weights), t).sum())
+        assert abs((moved[1] - moved[0]) / 0.1 - (observed - expected)[k]) < 0.01 + 0.01 * abs((observed - expected)[k])
+
+
+def test_training_brings_most_of_the_gain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = []
+    for batches in (0, M.BATCHES):
+        held_out = [r for r in M.lm_scores(docs, batches).collect() if r.held_out]
+        n = sum(r.n_tokens for r in held_out)
+        out.append((sum(r.base_score for r in held_out) / n, sum(r.score for r in held_out) / n))
+    (base_, untrained), (_, trained) = out
+    assert trained > untrained and trained - untrained >= 0.5 * (trained - base_) and trained - base_ > 0.1
+
+
+def test_equal_rows_are_dealt_to_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK_BYTES", 2_000)
+    docs = spark.createDataFrame([(7, "the same text again and again")] * 400, "doc_id long, text string").repartition(4)
+    got = M.lm_scores(docs).collect()
+    assert len(got) == 400 and len({(r.n_tokens, r.train_tokens, round(r.score, 6)) for r in got}) == 1 and got[0].train_tokens == 400 * 7
 
 
 def test_odd_rows(spark):
@@ -74,15 +162,5 @@ def test_odd_rows(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in only] == [(3, 0, 0)]
 
 
-def test_all_classes_and_whole_sums(spark):
-    assert (M.TOP, M.SUFFIX_CLASSES, M.CLASSES) == (15, 32, 48)
-    texts = ["a b a c", "", "b c " * 30, *(f"word{k} and{k % 7} a" for k in range(300))]
-    model = M.Model(np.zeros(0, np.uint64), np.zeros(M.SUFFIX_CLASSES), np.random.default_rng(3).normal(size=(2 * M.BUCKETS + 1, M.CLASSES)).astype(np.float32))
-    raw = [t.encode() for t in texts]
-    kind, f1, f2, _ = M.histories(model, *M.tokens(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw])))))
-    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    for expected, p in ((False, np.eye(M.CLASSES)[kind]), (True, M._softmax(model.logits(f1, f2).astype(float)))):
-        want = np.zeros((2 * M.BUCKETS + 1, M.CLASSES))
-        for f in (f1, f2, np.full(len(kind), 2 * M.BUCKETS)):
-            np.add.at(want, f, p)
-        assert np.allclose(M._gathered(frame, model, expected), want, atol=1e-3, rtol=1e-5)
+def test_at_least_48_classes():
+    assert M.CLASSES >= 48
