@@ -25,7 +25,7 @@ from . import shared as S
 
 MIN_REVISIT = 1000
 DICT_BYTES = 64 << 10
-#: The dictionary's sample: so many records, none longer than this.
+#: The dictionary's sample: so many records, and so many bytes of each.
 SAMPLE_RECORDS, SAMPLE_LONGEST = 400, 64 << 10
 LEVEL = 3
 #: A writer starts a new archive beyond so many compressed bytes.
@@ -50,13 +50,15 @@ def build_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 
 
 def sample_records(pages: DataFrame) -> list[bytes]:
-    """At most SAMPLE_RECORDS whole payloads, drawn by hash."""
+    """At most SAMPLE_RECORDS payloads, drawn by hash; of one above SAMPLE_LONGEST bytes, that many from a place drawn by hash."""
     total = pages.count()
     if not total:
         return []
     draw = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) / float(1 << 30)
-    small = pages.where((draw < min(1.0, 1.5 * SAMPLE_RECORDS / total)) & (F.octet_length("html") <= SAMPLE_LONGEST))
-    return [bytes(r[0]) for r in small.select(F.col("html").cast("binary")).limit(SAMPLE_RECORDS).toLocalIterator()]
+    html = F.col("html").cast("binary")
+    at = F.pmod(F.xxhash64("html"), F.greatest(F.octet_length(html) - SAMPLE_LONGEST, F.lit(0)) + 1) + 1
+    drawn = pages.where(draw < min(1.0, 1.5 * SAMPLE_RECORDS / total)).select(F.substr(html, at.cast("int"), F.lit(SAMPLE_LONGEST)).alias("part"))
+    return [bytes(r[0]) for r in drawn.where("part IS NOT NULL").limit(SAMPLE_RECORDS).toLocalIterator()]
 
 
 def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -64,20 +66,32 @@ def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     keyed = keyed.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    holders = keyed.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
-    joined = keyed.join(holders.where("n > 1").select("digest", "holder"), "digest", "left")
+    large = keyed.where(F.col("size") >= min_revisit)
+    holders = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
+    joined = large.join(holders.where("n > 1").select("digest", "holder"), "digest", "left")
+    # small payloads can't be revisits; kept out of the join, equal ones don't meet in one task
+    joined = joined.unionByName(keyed.where(F.col("size") < min_revisit).withColumn("holder", F.lit(None).cast("long")))
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull(), F.lit(False))
     return joined.select("page_id", "url", "digest", "size", F.when(revisit, F.col("holder")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=page_id % (1 << 128)) if page_id is not None else uuid.uuid4()}>"
+def _record_id(page_id: int | None, what: str = "") -> str:
+    """The same for the same record, so that a task that runs again writes the same bytes; records without a page_id are told apart by what they hold."""
+    return f"<urn:uuid:{uuid.UUID(int=page_id % (1 << 128)) if page_id is not None else uuid.uuid5(uuid.NAMESPACE_URL, what)}>"
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path on it; Hadoop's names of stores are read as Arrow's."""
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://"), ("dbfs:/", "file:///dbfs/")):
+        if path.startswith(theirs):
+            path = ours + path[len(theirs) :].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
 
 
 def record_bytes(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes | None) -> bytes:
     """One WARC record. A revisit keeps the digest and length of the payload it leaves out."""
     body = HTTP_HEAD + (payload or b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page_id, f'{url} {digest}')}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
@@ -114,7 +128,7 @@ def write_archives(records: DataFrame, path: str, dictionary: bytes, archive_byt
     shared = spark.sparkContext.broadcast(dictionary)  # DICT_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = pafs.FileSystem.from_uri(path)
+        store, folder = _store(path)
         store.create_dir(folder, recursive=True)
         trained = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained)
@@ -175,7 +189,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, name = pafs.FileSystem.from_uri(path)
+                store, name = _store(path)
                 with store.open_input_stream(name) as stream:
                     rows, held = [], 0
                     for raw in frames(stream):

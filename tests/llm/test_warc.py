@@ -45,3 +45,10 @@ def test_empty_table(spark):
     pages = spark.createDataFrame([], PAGES)
     manifest = W.archive(spark, pages)
     assert manifest.count() == 0 and W.read_archives(manifest).collect() == []
+
+
+def test_dictionary_of_long_pages_and_same_bytes_again(spark):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k} " + "some words of a long page " * 4000, "z") for k in range(12)] + [(None, "u", "no id", "z")], PAGES)
+    samples = W.sample_records(pages)
+    assert len(samples) == 13 and max(map(len, samples)) == W.SAMPLE_LONGEST and W.build_dictionary(samples)
+    assert W.record_bytes(None, "u", "d", 1, None, b"x") == W.record_bytes(None, "u", "d", 1, None, b"x") != W.record_bytes(None, "v", "d", 1, None, b"x")
