@@ -77,6 +77,21 @@ class Model:
         return self.bias + np.bincount(text, value * self.weights[feature], len(off) - 1)
 
 
+def risk(x: np.ndarray, toxic: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(toxic risk, clean risk, gradient of their sum, gradient of the clean risk) of weights and bias w, with the sigmoid loss.
+
+    The toxic risk is that of calling the toxic texts clean, times the prior; the clean one that of calling unlabelled
+    texts toxic, less the prior times that of toxic ones, as so many of the unlabelled are toxic.
+    """
+    z = x @ w[:-1].astype(x.dtype) + w[-1]
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    slope = p * (1 - p)  # of the loss p of calling a clean text toxic; minus that of calling a toxic one clean
+    as_clean = np.where(toxic, -prior / toxic.sum(), 1 / (~toxic).sum()) * slope
+    as_toxic = np.where(toxic, -prior / toxic.sum(), 0) * slope
+    of = lambda g: np.append(x.T @ g.astype(x.dtype), g.sum())
+    return prior * (1 - p[toxic]).mean(), p[~toxic].mean() - prior * p[toxic].mean(), of(as_toxic + as_clean), of(as_clean)
+
+
 def fit(x_toxic: np.ndarray, x_unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias by the non-negative risk estimate with the sigmoid loss and full-batch Adam steps."""
     x = np.vstack([x_toxic, x_unlabelled]).astype(np.float32)
@@ -85,14 +100,8 @@ def fit(x_toxic: np.ndarray, x_unlabelled: np.ndarray, prior: float) -> tuple[np
     w[-1] = -1.0
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        z = x @ w[:-1].astype(np.float32) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        slope = p * (1 - p)  # of the loss p of calling a clean text toxic; minus that of calling a toxic one clean
-        clean_risk = p[~toxic].mean() - prior * p[toxic].mean()
-        as_clean = np.where(toxic, -prior / len(x_toxic), 1 / len(x_unlabelled)) * slope
-        as_toxic = np.where(toxic, -prior / len(x_toxic), 0) * slope
-        g = as_toxic + as_clean if clean_risk >= 0 else -as_clean
-        grad = np.append(x.T @ g.astype(np.float32), g.sum()) + DECAY * np.append(w[:-1], 0)
+        _, clean_risk, whole, of_clean = risk(x, toxic, w, prior)
+        grad = (whole if clean_risk >= 0 else -of_clean) + DECAY * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -129,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = min(0.9, n_toxic / n)
     short = docs.where(F.octet_length("text").between(1, LONGEST)).select("doc_id", "text")
     ids = known.where((F.col("toxic") == 1) & _draw(F.col("doc_id"), TOXIC_TEXTS, n_toxic)).select("doc_id").limit(2 * TOXIC_TEXTS)
-    toxic = short.join(F.broadcast(ids), "doc_id").select("text", F.lit(True).alias("toxic"))
+    toxic = short.join(F.broadcast(ids), "doc_id").select("text", F.lit(True).alias("toxic")).limit(2 * TOXIC_TEXTS)  # ids may repeat
     unlabelled = short.where(_draw(F.struct("doc_id", "text"), UNLABELLED_TEXTS, docs.count())).select("text", F.lit(False).alias("toxic")).limit(2 * UNLABELLED_TEXTS)
     sample = S.settle(toxic.unionByName(unlabelled), "toxicity-sample")
     counts = sample.mapInArrow(_counted, "feature long, toxic long, unlabelled long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("unlabelled").alias("unlabelled"))

@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 
 from lumenfold.llm import toxicity as T
@@ -40,3 +43,44 @@ def test_odd_rows(spark):
     assert all(by[i] == [int(i % 4 == 0)] for i in range(80)) and by[200] == [0] and by[203] == [0] and len(by[204]) == 2
     assert T.toxicity(docs.limit(0), labels.limit(0)).collect() == []
     assert {r.predicted for r in T.toxicity(docs, labels.where("toxic = 0")).collect()} == {0}
+
+
+def test_gradients_are_those_of_the_risks():
+    rng = np.random.default_rng(5)
+    x, toxic = rng.normal(size=(60, 4)), np.arange(60) < 12
+    for scale in (0.1, 1.0):
+        w = rng.normal(size=5) * scale
+        of_toxic, of_clean, whole, clean = T.risk(x, toxic, w, 0.2)
+        p = [1 / (1 + math.exp(-(sum(a * b for a, b in zip(r, w)) + w[-1]))) for r in x]
+        assert abs(of_toxic - 0.2 * sum(1 - q for q in p[:12]) / 12) < 1e-12
+        assert abs(of_clean - (sum(p[12:]) / 48 - 0.2 * sum(p[:12]) / 12)) < 1e-12
+        for k in range(5):
+            step = np.eye(5)[k] * 1e-5
+            up, down = T.risk(x, toxic, w + step, 0.2), T.risk(x, toxic, w - step, 0.2)
+            assert abs((up[0] + up[1] - down[0] - down[1]) / 2e-5 - whole[k]) < 1e-7 and abs((up[1] - down[1]) / 2e-5 - clean[k]) < 1e-7
+
+
+def test_scores_equal_plain_ones(spark):
+    rows = [(i, ("you stupid clown go away " * (1 + i % 3) if i % 4 == 0 else "what a lovely sunny morning Stupidly ") + "x" * (i % 9)) for i in range(80)] + [(90, ""), (91, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 80, 2)], "doc_id long, toxic int")
+    model = T.train(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    got = {r.doc_id: r.score for r in T.score(docs.selectExpr("doc_id", "text", "false AS held_out"), model).collect()}
+    assert len(weight) > 5
+    for i, text in rows:
+        words, counts = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()), {}
+        for word in words:
+            raw = word.encode()
+            for part, salt in [(raw, 0x5555), *((raw[:n], 0) for n in T.BEGINNINGS if len(raw) > n)]:
+                h = int(T.S.range_hash(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]))[0]) ^ salt
+                counts[h] = counts.get(h, 0) + 1
+        margin = model.bias + sum(weight[h] * math.log1p(100 * n / (len(words) + T.SMOOTH_WORDS)) for h, n in counts.items() if h in weight)
+        assert abs(got[i] - 1 / (1 + math.exp(-margin))) < 1e-6
+
+
+def test_repeated_ids_do_not_multiply_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(T, "TOXIC_TEXTS", 10)
+    docs = spark.createDataFrame([(1, f"you stupid clown {k}") for k in range(300)] + [(2, "a lovely morning")] * 20, "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert len(model.features)
