@@ -38,7 +38,7 @@ END_CLASS = CLASSES - 1
 FEATURES, BUCKETS, WORD_BITS = 4, 1 << 12, 18
 BATCHES, RATE, DAMP, LARGEST = 8, 1.2, 8.0, 1.5
 CHUNK_BYTES = 8 << 20
-TOKENS_AT_ONCE = 1 << 14
+TOKENS_AT_ONCE = 1 << 16
 FOLDS, HELD_OUT = 7, 2
 _PIECE = 1 << 14  # weights in one row of the gradient's shuffle
 _WORD_TABLE = 1 << WORD_BITS
@@ -53,8 +53,11 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8), first
     low = S._LOWER[buf]
-    suffix = S.range_hash(low, np.maximum(starts, ends - SUFFIX_BYTES), ends) % np.uint64(SUFFIX_CLASSES)
-    return S.range_hash(low, starts, ends), suffix.astype(np.uint8), first
+    last = np.zeros(len(starts), np.uint64)
+    for k in range(1, SUFFIX_BYTES + 1):
+        at = ends - k
+        last = last * np.uint64(256) + np.where(at >= starts, low[np.maximum(at, 0)], 0).astype(np.uint64)
+    return S.range_hash(low, starts, ends), (S.mix(last) % np.uint64(SUFFIX_CLASSES)).astype(np.uint8), first
 
 
 def _text_tokens(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,33 +203,49 @@ def histories(model: Model, hashes: np.ndarray, suffix: np.ndarray, first: np.nd
     return Tokens(kind, place, features, np.repeat(np.arange(len(n)), n + 1))
 
 
+_FEATURE_CELLS = (S.mix(np.arange(FEATURES * BUCKETS, dtype=np.uint64)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+_WORD_CELLS = (S.mix(np.arange(VOCABULARY, dtype=np.uint64) + np.uint64(1 << 40)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
 def class_logits(model: Model, features: np.ndarray) -> np.ndarray:
-    out = model.class_weights[features[0]] + model.class_weights[-1]
+    out = np.take(model.class_weights, features[0], axis=0)
+    out += model.class_weights[-1]
     for f in features[1:]:
-        out += model.class_weights[f]
+        out += np.take(model.class_weights, f, axis=0)
     return out
 
 
-def word_cells(features: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """(FEATURES, tokens, hi - lo): cells of the word table for each feature and word of a class."""
-    a, b = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
-    x = features.astype(np.uint32)[:, :, None] * a + (np.arange(lo, hi, dtype=np.uint32) * b)[None, None, :]
-    x ^= x >> np.uint32(15)
-    return (x * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - WORD_BITS)
+def word_cells(feature: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """(tokens, hi - lo): cells of the word table for one feature of each token and each word of a class."""
+    return _FEATURE_CELLS[feature][:, None] ^ _WORD_CELLS[lo:hi]
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, logs of the sums)."""
+def word_logits(model: Model, features: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    out = np.tile(model.word_bias[lo:hi], (features.shape[1], 1))
+    for f in features:
+        out += np.take(model.word_weights, word_cells(f, lo, hi))
+    return out
+
+
+def _normalised(x: np.ndarray) -> np.ndarray:
+    """Logs of the sums of exponentials; x becomes the exponentials, from each row's largest value on."""
     top = x.max(1, keepdims=True)
-    x = np.exp(x - top)
-    total = x.sum(1, keepdims=True)
-    return x / total, (np.log(total) + top)[:, 0]
+    x -= top
+    np.exp(x, out=x)
+    return np.log(x.sum(1)) + top[:, 0]
+
+
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities, logs of the sums); x is overwritten."""
+    norm = _normalised(x)
+    x /= x.sum(1, keepdims=True)
+    return x, norm
 
 
 def _by_class(model: Model, t: Tokens) -> Iterator[tuple[np.ndarray, int, int]]:
     """(tokens, first word, end): tokens of each class of several vocabulary words."""
     inside = np.flatnonzero(t.place >= 0)
-    order = inside[np.argsort(t.kind[inside], kind="stable")]
+    order = inside[np.argsort(t.kind[inside].astype(np.uint8), kind="stable")]
     cut = np.searchsorted(t.kind[order], np.arange(WORD_CLASSES + 1))
     edges = np.append(model.edges, len(model.words))
     for k in range(WORD_CLASSES):
@@ -236,41 +255,49 @@ def _by_class(model: Model, t: Tokens) -> Iterator[tuple[np.ndarray, int, int]]:
 
 def log_probabilities(model: Model, t: Tokens) -> np.ndarray:
     """Natural logs of P(class | history), times P(word | class, history) for words of the vocabulary."""
-    logits = class_logits(model, t.features)
-    out = logits[np.arange(len(t.kind)), t.kind] - _softmax(logits)[1]
+    x = class_logits(model, t.features)
+    out = x[np.arange(len(t.kind)), t.kind]
+    out -= _normalised(x)
     for some, lo, hi in _by_class(model, t):
-        x = model.word_weights[word_cells(t.features[:, some], lo, hi)].sum(0) + model.word_bias[lo:hi]
-        out[some] += x[np.arange(len(some)), t.place[some] - lo] - _softmax(x)[1]
+        x = word_logits(model, t.features[:, some], lo, hi)
+        out[some] += x[np.arange(len(some)), t.place[some] - lo]
+        out[some] -= _normalised(x)
     return out
 
 
 def _add_sums(model: Model, t: Tokens, observed: np.ndarray, expected: np.ndarray) -> float:
     """Add the tokens' observed and expected counts of all weights; their log likelihood so far."""
-    logits = class_logits(model, t.features)
-    p, norm = _softmax(logits)
-    likelihood = float((logits[np.arange(len(t.kind)), t.kind] - norm).sum())
-    seen, due = (x[:_CLASS_TABLE].reshape(-1, CLASSES) for x in (observed, expected))
-    for f in t.features:
-        seen_here = np.bincount((f % BUCKETS) * CLASSES + t.kind, minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
-        base = int(f[0]) // BUCKETS * BUCKETS if len(f) else 0
-        seen[base : base + BUCKETS] += seen_here
-        order = np.argsort(f.astype(np.uint16), kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
-        due[f[order[cut]]] += np.add.reduceat(p[order], cut, axis=0)
+    x = class_logits(model, t.features)
+    likelihood = float(x[np.arange(len(t.kind)), t.kind].sum(dtype=np.float64))
+    p, norm = _softmax(x)
+    likelihood -= float(norm.sum(dtype=np.float64))
+    seen, due = (v[:_CLASS_TABLE].reshape(-1, CLASSES) for v in (observed, expected))
+    by_class = np.ascontiguousarray(p.T, np.float64)
+    for k, f in enumerate(t.features):
+        rows = slice(k * BUCKETS, (k + 1) * BUCKETS)
+        seen[rows] += np.bincount((f - k * BUCKETS) * CLASSES + t.kind, minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
+        due[rows] += np.stack([np.bincount(f - k * BUCKETS, weights, minlength=BUCKETS) for weights in by_class], 1)
     seen[-1] += np.bincount(t.kind, minlength=CLASSES)
-    due[-1] += p.sum(0)
-    words = slice(_CLASS_TABLE, _CLASS_TABLE + _WORD_TABLE)
-    bias = _CLASS_TABLE + _WORD_TABLE
+    due[-1] += p.sum(0, dtype=np.float64)
+
+    words, bias = slice(_CLASS_TABLE, _CLASS_TABLE + _WORD_TABLE), _CLASS_TABLE + _WORD_TABLE
+    classes = []
     for some, lo, hi in _by_class(model, t):
-        cells = word_cells(t.features[:, some], lo, hi)
-        x = model.word_weights[cells].sum(0) + model.word_bias[lo:hi]
-        p, norm = _softmax(x)
+        x = word_logits(model, t.features[:, some], lo, hi)
         own = t.place[some] - lo
-        likelihood += float((x[np.arange(len(some)), own] - norm).sum())
-        expected[words] += np.bincount(cells.ravel(), np.broadcast_to(p, cells.shape).ravel(), minlength=_WORD_TABLE)
-        observed[words] += np.bincount(cells[:, np.arange(len(some)), own].ravel(), minlength=_WORD_TABLE)
+        likelihood += float(x[np.arange(len(some)), own].sum(dtype=np.float64))
+        p, norm = _softmax(x)
+        likelihood -= float(norm.sum(dtype=np.float64))
         observed[bias + lo : bias + hi] += np.bincount(own, minlength=hi - lo)
-        expected[bias + lo : bias + hi] += p.sum(0)
+        expected[bias + lo : bias + hi] += p.sum(0, dtype=np.float64)
+        classes.append((some, lo, hi, p))
+    if classes:
+        # one sum over the table for all classes together
+        weights = np.concatenate([p.ravel() for *_, p in classes])
+        all_of = np.concatenate([some for some, *_ in classes])
+        for f in t.features:
+            expected[words] += np.bincount(np.concatenate([word_cells(f[some], lo, hi).ravel() for some, lo, hi, _ in classes]), weights, minlength=_WORD_TABLE)
+            observed[words] += np.bincount(_FEATURE_CELLS[f[all_of]] ^ _WORD_CELLS[t.place[all_of]], minlength=_WORD_TABLE)
     return likelihood
 
 
@@ -419,7 +446,7 @@ def lm_scores(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     # dealt once and written: a row's number spreads equal rows, and would not be the same in a second reading
     number = F.monotonically_increasing_id()
     dealt = rows.select("*", F.pmod(F.xxhash64("text", number), F.lit(chunks)).cast("int").alias("chunk"), F.pmod(F.xxhash64(number, F.lit(1)), F.lit(max(batches, 1))).cast("int").alias("batch"))
-    dealt = scratch.settle(dealt, "dealt")
+    dealt = scratch.settle(dealt, "dealt", by=("batch",))
     sent = dealt.groupBy("chunk").applyInArrow(_send(chunks), "chunk int, part int, words binary, n binary, suffix binary")
     totals = sent.repartition(tasks, "part").sortWithinPartitions("part")
     totals = scratch.settle(totals.mapInArrow(_total, "kind int, chunk int, part int, totals binary, key long, n long, m long"), "word-totals")

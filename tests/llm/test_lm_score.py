@@ -76,7 +76,7 @@ def plain_log10(model, counts, words, suffixes):
         logits = [math.fsum([model.class_weights[-1][c], *(model.class_weights[f][c] for f in features)]) for c in range(M.CLASSES)]
         total += logits[kind] - math.log(math.fsum(map(math.exp, logits)))
         if at is not None:
-            own = {w: math.fsum([model.word_bias[w], *(model.word_weights[M.word_cells(np.array([[f]]), w, w + 1)[0, 0, 0]] for f in features)]) for w in range(edges[kind], edges[kind + 1])}
+            own = {w: math.fsum([model.word_bias[w], *(model.word_weights[M.word_cells(np.array([f]), w, w + 1)[0, 0]] for f in features)]) for w in range(edges[kind], edges[kind + 1])}
             total += own[at] - math.log(math.fsum(map(math.exp, own.values())))
         elif h is not None:
             total += math.log(counts.get(h, 0) + 1) + model.share[x] * math.log(10)
@@ -107,7 +107,7 @@ def test_probabilities_sum_to_one():
     for k in range(M.WORD_CLASSES):
         total += p[k]  # the words of a class, or none if it is empty
         if edges[k + 1] > edges[k]:
-            x = model.word_weights[M.word_cells(features, edges[k], edges[k + 1])].sum(0) + model.word_bias[edges[k] : edges[k + 1]]
+            x = M.word_logits(model, features, edges[k], edges[k + 1])
             assert abs(M._softmax(x.astype(float))[0].sum() - 1) < 1e-9
     for h, x in zip(seen.tolist(), suffix[index].tolist()):
         if h not in set(model.words.tolist()):
