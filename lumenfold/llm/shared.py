@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2_000_000
+#: Texts of a block; its numpy temporaries, several times as large, should fit into a processor cache.
+BLOCK_BYTES = 1 << 18
 #: Bytes of a shuffle that a task takes, where their number is known beforehand.
 TASK_BYTES = 128 << 20
 
@@ -59,10 +60,10 @@ class Scratch:
         self.spark = spark
         self.paths: dict[str, str] = {}
 
-    def settle(self, df: DataFrame, name: str, drop: tuple[str, ...] = ()) -> DataFrame:
-        """Write df and return the table; then delete the tables named in `drop`, which df was the last to read."""
+    def settle(self, df: DataFrame, name: str, drop: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+        """Write df, in folders by the columns `by`, and return the table; then delete the tables named in `drop`, which df was the last to read."""
         path = scratch(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         self.paths[name] = path
         self.drop(*drop)
         release(self.spark)
