@@ -48,3 +48,16 @@ def fail_fast(findings: DataFrame) -> DataFrame:
     columns = [c for c in findings.columns if c != "rel"]
     per = findings.where(F.col("rel").isNotNull()).groupBy("rel").agg(F.collect_list(F.struct(*columns)).alias("_rows"))
     return per.orderBy("rel").limit(1).select("rel", F.explode("_rows").alias("_row")).select("rel", *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
+def merged_sets(settings: DataFrame, by: list[str]) -> DataFrame:
+    """(by, key, values): the union, sorted, of what all layers of settings(by, key, values array) list."""
+    one = settings.select(*by, "key", F.explode("values").alias("value")).distinct()
+    return one.groupBy(*by, "key").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+def merged_registry(layers: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, version): of layers(layer, ordinal, schema_version, key, ...), each key's row of the last layer at its first place, and the highest version."""
+    columns = [c for c in layers.columns if c not in (key, "layer", "ordinal", "schema_version")]
+    rows = layers.groupBy(key).agg(F.max_by(F.struct(*columns), "layer").alias("_row"), F.min_by("ordinal", "layer").alias("ordinal"))
+    return rows.select(key, "ordinal", *[F.col(f"_row.{c}").alias(c) for c in columns]), layers.agg(F.max("schema_version").alias("schema_version"))

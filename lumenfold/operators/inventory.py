@@ -68,3 +68,14 @@ def markdown_claims(files: DataFrame, header: str) -> DataFrame:
         return F.struct(on.alias("on"), F.when(acc["on"] & ~head & x["line"].rlike(bullet), F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).alias("rows"))
 
     return files.where(F.col("text").isNotNull()).select("rel", F.inline(F.aggregate(lines, start, step, lambda acc: acc["rows"])))
+
+
+def compact_definitions(definitions: DataFrame) -> DataFrame:
+    """What a list shows of definitions(id, title, family, severity, capabilities array, commands array)."""
+    return definitions.select("id", "title", "family", "severity", F.array_join(F.array_sort("capabilities"), ",").alias("capabilities"), F.size("commands").alias("commands"))
+
+
+def script_definitions(scripts: DataFrame) -> DataFrame:
+    """(id, title, family, command) of classified scripts(rel, family): an evidence definition for each, named by its file."""
+    name = F.regexp_replace(F.element_at(F.split("rel", "/"), -1), r"\.[^.]+$", "")
+    return scripts.select(F.concat(F.lit("legacy."), name).alias("id"), F.initcap(F.replace(name, F.lit("-"), F.lit(" "))).alias("title"), "family", F.concat(F.lit("node "), F.col("rel")).alias("command"))

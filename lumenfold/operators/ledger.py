@@ -211,3 +211,19 @@ def latest_unread(messages: DataFrame, acks: DataFrame) -> DataFrame:
     """(lane, message_id): of messages(lane, message_id, at), each lane's last one that acks(message_id) doesn't have."""
     left = messages.join(acks.select("message_id").distinct(), "message_id", "left_anti")
     return left.groupBy("lane").agg(F.max_by("message_id", F.struct("at", "message_id")).alias("message_id"))
+
+
+def presence_rows(workers: DataFrame, lanes: DataFrame) -> DataFrame:
+    """(worker, lane, state, thread, paths) of each worker with what its lane says, `unknown` where it says nothing."""
+    j = workers.join(lanes, "lane", "left")
+    return j.select("worker", "lane", F.coalesce("state", F.lit("unknown")).alias("state"), "thread", F.coalesce(F.size(F.filter("paths", lambda p: p != "")), F.lit(0)).alias("paths"))
+
+
+def blocking_owners(blockers: DataFrame, sentinel: str = "request") -> DataFrame:
+    """(request_id, writer, owner) of blockers(request_id, ordinal, writer, owner): the last owner of each writer, the request's own mark left out."""
+    return blockers.where(F.col("writer") != sentinel).groupBy("request_id", "writer").agg(F.max_by("owner", "ordinal").alias("owner"))
+
+
+def next_recipients(intents: DataFrame, releaser) -> DataFrame:
+    """(path, lane, writer): who is told of a release: each lane's first intent of intents(path, lane, writer, ordinal), without the releaser."""
+    return intents.where(F.col("writer") != releaser).groupBy("path", "lane").agg(F.min_by("writer", "ordinal").alias("writer"))

@@ -117,3 +117,35 @@ def reset(spark: SparkSession, path: str) -> bool:
     """Delete a store; whether there was one."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scoped(files: DataFrame, mode: str, entries: DataFrame | None = None, manifests: DataFrame | None = None, package: str | None = None) -> DataFrame:
+    """The files a scan covers: `all`, the `files` at or below entries(rel), a `diff` of changes(kind, rel), or a `package`'s."""
+    if mode == "files":
+        return below(files, entries.select(F.col("rel").alias("root")))
+    if mode == "diff":
+        return changed_files(files, entries)
+    if mode == "package":
+        return package_scope(files, manifests, package)
+    if mode == "all":
+        return files
+    raise ValueError(f"unknown scope: {mode}")
+
+
+def artifact_files(files: DataFrame, extensions: tuple[str, ...], most: int = 500) -> DataFrame:
+    """The first `most` files, in order of rel, that have one of the extensions: the cap is part of the inventory."""
+    ext = F.regexp_extract("rel", r"(\.[^./]+)$", 1)
+    return files.where(ext.isin(*extensions)).orderBy("rel").limit(most)
+
+
+def expected_fingerprint(expected: DataFrame, files: DataFrame, by: str) -> DataFrame:
+    """(by, n, missing, fingerprint) over expected(by, rel), a bounded list for each group: digest of rel, hash and length as JSON rows, nulls for absent files."""
+    j = expected.join(files.select("rel", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").alias("bytes")), "rel", "left")
+    row = F.struct("rel", "sha256", "bytes")
+    out = j.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("sha256").isNull()).alias("missing"), F.array_sort(F.collect_list(row)).alias("rows"))
+    return out.select(by, "n", "missing", F.sha2(F.to_json("rows", {"ignoreNullFields": "false"}), 256).alias("fingerprint"))
+
+
+def write_runs(runs: DataFrame, path: str, by: str = "tool") -> None:
+    """Runs as JSON lines in a folder for each value of `by`."""
+    runs.write.mode("overwrite").partitionBy(by).json(path)
