@@ -43,21 +43,28 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return twice[np.minimum(at, len(twice) - 1)] == keys
 
 
-def _covered(hashes: np.ndarray, first: np.ndarray, n: int, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _rolled(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of hash * base**place up to each word, powers of the inverse base): any window's hash is a difference of two sums, shifted back."""
+    up, down = S._powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return total, down
+
+
+def _covered(rolled: tuple[np.ndarray, np.ndarray], first: np.ndarray, n: int, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(which words lie in an n-word window that its text repeats, the starts of those windows).
 
     among: starts of repeated windows of a smaller length; a repeated window starts at one of them.
     """
-    words = np.zeros(len(hashes) + 1, np.int64)
-    if len(hashes) < n:
+    total, down = rolled
+    count = len(total) - 1
+    words = np.zeros(count + 1, np.int64)
+    if count < n:
         return words[:-1].astype(bool), np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    starts = np.arange(len(hashes) - n + 1) if among is None else among[among <= len(hashes) - n]
+    starts = np.arange(count - n + 1) if among is None else among[among <= count - n]
     starts = starts[text[starts] == text[starts + n - 1]]
-    key = np.zeros(len(starts), np.uint64)
-    for k in range(n):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + hashes[starts + k]
-    key = S.mix(key) ^ S.mix(text[starts].astype(np.uint64) + np.uint64(1))
+    key = S.mix((total[starts + n] - total[starts]) * down[starts]) ^ S.mix(text[starts].astype(np.uint64) + np.uint64(1))
     starts = starts[_repeated(key)]
     np.add.at(words, starts, 1)
     np.add.at(words, starts + n, -1)
@@ -94,10 +101,11 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     word_chars = chars_before[ends] - chars_before[starts]
     out = {"n_words": np.diff(first), "word_chars": chars_before[off[1:]] - chars_before[off[:-1]], "n_symbols": S.per_text(_SYMBOL[buf], off)}
     out["n_lines"], out["n_dup_lines"], out["dup_line_chars"] = _lines(buf, off, starts, chars_before)
-    hit, among = _covered(hashes, first, BASE_WINDOW, None)
+    rolled = _rolled(hashes)
+    hit, among = _covered(rolled, first, BASE_WINDOW, None)
     out["n_repeat_words"] = S.per_text(hit, first)
     for n in sorted(COVERAGE_LIMITS):
-        hit, among = _covered(hashes, first, n, among)
+        hit, among = _covered(rolled, first, n, among)
         out[f"dup_chars_{n}"] = S.per_text(np.where(hit, word_chars, 0), first)
     return out
 
