@@ -230,8 +230,34 @@ def repeats(text: np.ndarray, at: np.ndarray, order_of: tuple[np.ndarray, ...])
     return out
 
 
+def _equal_to_earlier(text: np.ndarray, begin: np.ndarray, size: np.ndarray, order_of: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which contexts text[begin:begin+size] equal one that comes earlier by the keys order_of: neighbours when contexts are sorted by all their bytes."""
+    words = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
+    for k in (1, 2, 4):  # the eight bytes from each place on, the first one highest
+        words[:-k] = (words[:-k] << np.uint64(8 * k)) | words[k:]
+    columns = []
+    for k in range(0, int(size.max(initial=0)), 8):
+        inside = np.maximum(size - k, 0)
+        cut = np.where(inside < 8, (8 - np.minimum(inside, 8)) * 8, 0).astype(np.uint64)
+        word = words[np.minimum(begin + k, len(text))]
+        columns.append(np.where(inside > 0, (word >> cut), np.uint64(0)))
+    run = np.zeros(len(begin), np.int64)
+    order = np.lexsort((*columns[::-1], size))
+    new = np.zeros(max(len(order) - 1, 0), bool)
+    for c in (size, *columns):
+        new |= c[order[1:]] != c[order[:-1]]
+    run[order] = np.cumsum(np.append(0, new))[: len(order)]
+    first = np.lexsort((*order_of, run))
+    out = np.zeros(len(begin), bool)
+    out[first[1:]] = run[first[1:]] == run[first[:-1]]
+    return out
+
+
 def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
-    """SORTED_SCHEMA for a bucket's contexts: the windows that occur earlier in it, as runs, and if asked the others with their bytes."""
+    """SORTED_SCHEMA for a bucket's contexts: the windows that occur earlier in it, as runs, and if asked the others with their bytes.
+
+    Contexts are sorted as wholes first, and of equal neighbours all but the earliest go; the windows of the others are sorted as suffixes.
+    """
     body, off = S.text_view(rows.column("body").combine_chunks() if rows.column("body").num_chunks != 1 else rows.column("body").chunk(0))
     doc_id, h, place = (rows.column(c).to_numpy() for c in ("doc_id", "h", "place"))
     order = np.lexsort((place, h, doc_id))  # a context that is there twice comes from a repeated row
@@ -239,6 +265,12 @@ def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
     if not once.all():
         return _resolve(rows.take(pa.array(np.sort(order[once]))), firsts)
     n = place & _LOW
+    whole = _equal_to_earlier(body, off[:-1], np.diff(off), (place, h, doc_id))
+    if whole.any():
+        rest = _resolve(rows.filter(pa.array(~whole)), firsts)
+        at = _place(place[whole] >> 2 * _BITS, 0, n[whole])
+        own = pa.RecordBatch.from_arrays([pa.array(np.ones(whole.sum(), bool)), *(pa.array(x[whole]) for x in (doc_id, h)), pa.array(at), _bodies(body, off[:-1][whole], np.zeros(whole.sum(), np.int64))], names=rest.schema.names)
+        return pa.Table.from_batches([own, rest]).combine_chunks().to_batches()[0]
     owner = np.repeat(np.arange(len(n)), n)
     inside = S.ragged(n)
     begin = (place >> 2 * _BITS)[owner] + inside
@@ -316,8 +348,9 @@ def removals(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_runs: int =
     wanted = wanted.select("doc_id", "h", F.col("runs.key").alias("keys"), F.col("runs.n").alias("of"), F.col("runs.place").alias("places"))
     wanted = scratch.settle(wanted, "wanted-runs", ("runs", "repeated-anchors"))
     n_bytes = 2 * LENGTH * (wanted.agg(F.sum(F.size("places"))).first()[0] or 0)
-    contexts = keyed.join(wanted, ["doc_id", "h"]).mapInArrow(_cut_contexts, CONTEXT_SCHEMA)
-    rounds = [scratch.settle(_sorted(contexts, n_bytes, bucket_bytes, most_runs, 0), "sorted", ("wanted-runs",))]
+    # written, so that the shuffled texts are gone when the contexts are shuffled
+    contexts = scratch.settle(keyed.join(wanted, ["doc_id", "h"]).mapInArrow(_cut_contexts, CONTEXT_SCHEMA), "contexts", ("wanted-runs",))
+    rounds = [scratch.settle(_sorted(contexts, n_bytes, bucket_bytes, most_runs, 0), "sorted", ("contexts",))]
     while not (firsts := rounds[-1].where("NOT gone")).isEmpty():
         k = len(rounds)
         finer = firsts.mapInArrow(_refine(min(k, len(KEY_BYTES) - 1)), RUN_SCHEMA + ", body binary")
