@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language_id, lm_score, packing, repetition, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, jaccard, language_id, lm_score, packing, pieces, repetition, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_suffix_dedup, op4_warc, op5_toxicity, op6_decontaminate, op7_repetition_quality, op8_packing, op9_lm_score, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_jaccard_join,
+        op3_suffix_dedup,
+        op4_warc,
+        op5_toxicity,
+        op6_decontaminate,
+        op7_repetition_quality,
+        op8_packing,
+        op9_lm_score,
+        op10_url_filter,
+        op13_sentencepiece,
+    )
 }
 ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op4_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE}
