@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, filter_audit, jaccard, language_id, lm_score, packing, pieces, repetition, suffix_dedup, toxicity, url_filter, warc
+from . import decontaminate, filter_audit, jaccard, language_id, lm_score, merkle, packing, pieces, repetition, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_lm_score,
         op10_url_filter,
         op11_filter_audit,
+        op12_merkle_manifest,
         op13_sentencepiece,
     )
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.ORACLE, "op4_warc": warc.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_jaccard_join": jaccard.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+}
