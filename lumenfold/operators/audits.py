@@ -14,6 +14,10 @@ def _codes(rows: DataFrame, keys: list[str], checks: dict[str, Column]) -> DataF
     return rows.select(*keys, F.explode(hits).alias("code"))
 
 
+def _text(rows: DataFrame, c: str) -> Column:
+    return F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+
+
 def _blank(c: str) -> Column:
     return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
 
@@ -46,21 +50,34 @@ def override_audit(overrides: DataFrame, registry: DataFrame) -> DataFrame:
     })
 
 
-def waiver_audit(waivers: DataFrame, as_of: str, max_days: int = 90, most: int = 20) -> DataFrame:
-    """(waiver_id, code) of waivers(waiver_id, rule_id, owner, issue, reason, scope array, expires): what makes a waiver bad.
+def waiver_audit(waivers: DataFrame, registry: DataFrame, today: str, max_days: int = 90, max_active: int | None = None, in_ci: bool = False) -> DataFrame:
+    """(waiver_id, code) of waivers(rule_id, waiver_id, owner, issue, reason, scope array, expires, remediation, ci_allowed, visible): what makes a waiver bad.
 
-    `too-many` falls on each waiver of a rule that has more than `most`.
+    registry(rule_id, severity, lock_level, waivable) says what can be waived. A date that isn't one is expired (WAIVER-1.3).
+    More waivers than max_active give one row for all of them, WAIVER-1.7 without a waiver_id.
     """
-    many = waivers.groupBy("rule_id").agg(F.count("*").alias("_n"))
-    days = F.datediff(F.to_date("expires"), F.lit(as_of).cast("date"))
-    return _codes(waivers.join(many, "rule_id", "left"), ["waiver_id"], {
-        "missing-field": _blank("owner") | _blank("issue") | _blank("reason") | _blank("expires"),
-        "expired": days < 0,
-        "too-long": days > max_days,
-        "not-human": F.lower("owner").contains("agent"),
-        "broad-scope": F.exists("scope", lambda s: s.isin("", ".", "*", "**", "**/*")),
-        "too-many": F.col("_n") > most,
+    rules = registry.select(F.upper("rule_id").alias("_rule"), F.coalesce(_text(registry, "lock_level"), F.when(F.col("severity") == "error", "immutable").otherwise("advisory")).alias("_level"), policy.waivable(registry).alias("_waivable"))
+    w = waivers.join(rules, F.upper("rule_id") == F.col("_rule"), "left")
+    expires = F.when(F.col("expires").rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_date("expires", "yyyy-MM-dd"))
+    days = F.datediff(expires, F.lit(today).cast("date"))
+    scope = F.transform(F.coalesce("scope", F.array().cast("array<string>")), lambda s: F.coalesce(F.regexp_replace(F.translate(s, "\\", "/"), r"^\s+|\s+$", ""), F.lit("")))
+    blank = F.lit(False)
+    for c in ("rule_id", "waiver_id", "owner", "issue", "reason", "expires", "remediation"):
+        blank |= _blank(c)
+    rows = _codes(w, ["waiver_id"], {
+        "WAIVER-1.1": blank | (F.size(scope) == 0) | F.col("ci_allowed").isNull(),
+        "WAIVER-1.2": F.exists(scope, lambda s: s.isin(*policy.BROAD_SCOPES)),
+        "WAIVER-1.3": days.isNull() | (days < 0),
+        "WAIVER-1.4": (F.col("_level") == "immutable") & ~F.col("_waivable"),
+        "WAIVER-1.5": F.lit(in_ci) & ~F.coalesce("ci_allowed", F.lit(False)),
+        "WAIVER-1.6": ~F.col("visible"),
+        "WAIVER-1.8": days > max_days,
+        "WAIVER-1.9": F.trim("owner").rlike(r"(?i)^(?:ai|codex|agent|llm)\z"),
+        "WAIVER-1.10": _blank("remediation"),
     })
+    if max_active is None:
+        return rows
+    return rows.unionByName(waivers.agg(F.count("*").alias("n")).where(F.col("n") > max_active).select(F.lit(None).cast(rows.schema["waiver_id"].dataType).alias("waiver_id"), F.lit("WAIVER-1.7").alias("code")))
 
 
 def version_determinism(deps: DataFrame) -> DataFrame:

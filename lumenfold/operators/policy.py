@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import ascii_boundaries
+from lumenfold.operators import globs
+
 
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "error", 3).when(severity == "warning", 2).when(severity == "info", 1)
@@ -44,35 +47,64 @@ def apply_policy(findings: DataFrame, policy: DataFrame) -> DataFrame:
 
 def scope_regex(scope: Column) -> Column:
     """A waiver's scope as a pattern: `dir/**` is dir and all below, `**` any characters, `*` any but a slash."""
-    tree = F.endswith(scope, F.lit("/**"))
-    body = F.when(tree, F.substr(scope, F.lit(1), F.length(scope) - 3)).otherwise(scope)
-    body = F.regexp_replace(body, r"([.+?^$(){}|\[\]\\])", r"\\$1")
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\*\*", "\u0001"), r"\*", "[^/]*"), "\u0001", ".*")
-    return F.concat(F.lit("^"), body, F.when(tree, F.lit("(/.*)?$")).otherwise(F.lit("$")))
+    return globs.pattern(scope, globs.SCOPE)
+
+
+#: Scopes that are too wide to waive anything, and words that name no accountable owner.
+BROAD_SCOPES = ("", ".", "/", "**", "**/*", "src/**", "crates/**", "packages/**", "apps/**")
+MACHINE_OWNERS = r"(?i)\b(?:ai|agent|codex|llm)\b"
+_DATE = r"^\d{4}(?:-\d{2}(?:-\d{2})?)?\z"
+
+
+def waivable(registry: DataFrame) -> Column:
+    """Whether a rule of registry(severity, lock_level, waivable) can be waived: by its own mark, or as its lock level requires waivers."""
+    have = lambda c: F.col(c) if c in registry.columns else F.lit(None)
+    level = F.coalesce(have("lock_level").cast("string"), F.when(F.col("severity") == "error", "immutable").otherwise("advisory"))
+    return F.coalesce(have("waivable").cast("boolean"), F.lit(False)) | (level == "waiver-required")
+
+
+def last_moment(day: Column) -> Column:
+    """The end of the day that a waiver names, null where it names none: a text that is no date is no error."""
+    full = F.concat(day, F.when(F.length(day) == 4, "-01-01").when(F.length(day) == 7, "-01").otherwise(""))
+    return F.when(day.rlike(_DATE), F.try_to_timestamp(F.concat(full, F.lit(" 23:59:59.999"))))
 
 
-def valid_waivers(waivers: DataFrame, as_of: str, in_ci: bool = False) -> DataFrame:
-    """waivers(ordinal, rule_id, waiver_id, owner, issue, reason, scope, expires, ci_allowed, visible) that may apply."""
+def policy_path(path: Column) -> Column:
+    """A path as scopes have it: slashes forward, one leading `./` off, without white space around it."""
+    return F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), r"^\./+", ""), r"^\s+|\s+$", "")
+
+
+def narrow_scopes(scopes: Column) -> Column:
+    """Scopes as relative paths, without the broad ones."""
+    return F.filter(F.transform(F.coalesce(scopes, F.array().cast("array<string>")), policy_path), lambda s: s.isNotNull() & ~s.isin(*BROAD_SCOPES))
+
+
+def valid_waivers(waivers: DataFrame, as_of: str, in_ci: bool = False, registry: DataFrame | None = None) -> DataFrame:
+    """waivers(ordinal, rule_id, waiver_id, owner, issue, reason, scope, expires, ci_allowed, visible) that may apply, with narrow scopes.
+
+    A broad scope is left out of its waiver, the others hold; a waiver without a scope left is none. An `expires` that
+    is no date counts as expired. With a registry(rule_id, severity, lock_level, waivable), only rules that it lets be waived.
+    """
     filled = F.lit(True)
-    for c in ("waiver_id", "owner", "issue", "reason", "expires"):
-        filled &= F.coalesce(F.trim(c), F.lit("")) != ""
-    human = ~F.lower("owner").contains("agent")
-    until = F.to_timestamp(F.concat("expires", F.lit(" 23:59:59")))  # the whole last day counts
-    broad = F.exists("scope", lambda s: s.isin("", ".", "*", "**", "**/*"))
-    ok = filled & human & (until >= F.to_timestamp(F.lit(as_of))) & ~broad & F.coalesce("visible", F.lit(True))
-    return waivers.where(ok & F.col("ci_allowed") if in_ci else ok)
+    for c in ("waiver_id", "owner", "issue", "reason"):
+        filled &= F.coalesce(F.col(c), F.lit("")) != ""
+    ok = filled & ~F.col("owner").rlike(ascii_boundaries(MACHINE_OWNERS)) & F.coalesce("visible", F.lit(True))
+    ok &= F.coalesce(last_moment(F.col("expires")) >= F.to_timestamp(F.lit(as_of)), F.lit(False))
+    out = waivers.where(ok & F.coalesce("ci_allowed", F.lit(False)) if in_ci else ok).withColumn("scope", narrow_scopes(F.col("scope"))).where(F.size("scope") > 0)
+    if registry is None:
+        return out
+    allowed = registry.where(waivable(registry)).select(F.upper("rule_id").alias("_id")).distinct()
+    return out.join(allowed, F.upper("rule_id") == F.col("_id"), "left_semi")
 
 
 def split_by_waiver(findings: DataFrame, waivers: DataFrame) -> DataFrame:
-    """findings(rule_id, rel, ...) with waiver_id of the first waiver that applies, null if active.
+    """findings(rule_id, rel, ...) with waiver_id of the first of valid waivers(ordinal, rule_id, waiver_id, scope) that applies, null if active.
 
-    A rule's waivers, a few rows of configuration, come to a finding as one array in their order; findings are read once.
+    Scopes are an index over folders, names and extensions (see globs), so neither table is held against the other whole.
     """
-    w = waivers.select("ordinal", F.upper("rule_id").alias("rule_id"), "waiver_id", F.explode("scope").alias("scope"))
-    w = w.select("rule_id", F.struct("ordinal", "waiver_id", scope_regex(F.col("scope")).alias("pattern")).alias("w"))
-    w = w.groupBy("rule_id").agg(F.array_sort(F.collect_set("w")).alias("_waivers"))
-    fits = F.filter("_waivers", lambda x: F.regexp_like(F.col("rel"), x["pattern"]))
-    return findings.join(w, "rule_id", "left").withColumn("waiver_id", F.get(fits, F.lit(0))["waiver_id"]).drop("_waivers")
+    w = waivers.select("ordinal", F.upper("rule_id").alias("_rule"), "waiver_id", F.explode("scope").alias("glob"))
+    f = findings.withColumns({"_rule": F.upper("rule_id"), "_file": F.coalesce(policy_path(F.col("rel")), F.lit(""))})
+    return globs.first_match(f, w, ["_rule"], ["waiver_id"], "_file", globs.SCOPE).select(*findings.columns, "waiver_id")
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:

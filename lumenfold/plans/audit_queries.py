@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
-from lumenfold.operators import audits, inventory, policy, projections
+from lumenfold.operators import audits, globs, inventory, policy, projections
 from lumenfold.plans import catalog as C
 from lumenfold.plans import rule_queries as R
 
@@ -48,15 +48,61 @@ def override_audit(spark, d):
     return audits.override_audit(o, C.registry(spark)).groupBy("rule_id", "code").agg(F.count("*").alias("n"))
 
 
-@C.query("""WITH w AS (SELECT o_orderkey AS waiver_id, o_orderpriority AS rule_id, CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'build agent' ELSE 'dana' END AS owner, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'I' END AS issue,
-strftime(o_orderdate + INTERVAL (o_orderkey % 400) DAY, '%Y-%m-%d') AS expires, o_orderkey % 8 = 0 AS broad FROM orders), d AS (SELECT *, date_diff('day', DATE '1998-01-01', expires::DATE) AS days FROM w),
-x AS (SELECT waiver_id, 'missing-field' AS code FROM d WHERE owner = '' OR issue IS NULL UNION ALL SELECT waiver_id, 'expired' FROM d WHERE days < 0 UNION ALL SELECT waiver_id, 'too-long' FROM d WHERE days > 90 UNION ALL SELECT waiver_id, 'not-human' FROM d WHERE contains(owner, 'agent')
-UNION ALL SELECT waiver_id, 'broad-scope' FROM d WHERE broad UNION ALL SELECT waiver_id, 'too-many' FROM d WHERE (SELECT count(*) FROM w w2 WHERE w2.rule_id = d.rule_id) > 250) SELECT * FROM x""")
+_OWNERS = ("dana", "", "codex", "Agent", "build agent liaison", None, " ai ", "lina")
+_EXPIRES = (None, "soon", "", "1998-02-30x", "98-01-01", "2024-01-01T00:00:00Z")
+_SCOPES = ("src/a/**", "**", "src\\**", "/", "*", "src/**", " . ", "docs/x.md")
+_SCOPE_SQL = ("src/a/**", "**", "src/**", "/", "*", "src/**", ".", "docs/x.md")
+_LEVELS = "VALUES ('1-URGENT', 'error', NULL, NULL), ('2-HIGH', 'error', NULL, true), ('3-MEDIUM', 'error', 'waiver-required', NULL), ('4-NOT SPECIFIED', 'info', 'immutable', false)"
+
+
+@C.query(f"""WITH reg(rule_id, severity, lock_level, waivable) AS ({_LEVELS}), w AS (SELECT o_orderkey AS waiver_id, o_orderpriority AS rule_id, {_pick_sql(_OWNERS, 'o_orderkey')} AS owner, CASE WHEN o_orderkey % 10 <> 0 THEN 'I' END AS issue,
+CASE WHEN o_orderkey % 11 < 2 THEN {_pick_sql(_EXPIRES, 'o_orderkey')} ELSE strftime(o_orderdate + INTERVAL (o_orderkey % 400) DAY, '%Y-%m-%d') END AS expires, {_pick_sql(_SCOPE_SQL, 'o_orderkey')} AS scope, o_orderkey % 13 = 0 AS no_scope,
+CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 > 1 END AS ci, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 7 > 1 END AS visible, CASE WHEN o_orderkey % 9 > 0 THEN 'plan' ELSE ' ' END AS remediation FROM orders),
+d AS (SELECT w.*, date_diff('day', DATE '1998-01-01', CASE WHEN regexp_full_match(expires, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast(expires AS DATE) END) AS days, coalesce(reg.lock_level, CASE WHEN reg.severity = 'error' THEN 'immutable' WHEN reg.severity IS NOT NULL THEN 'advisory' END) AS level, coalesce(reg.waivable, false) AS waivable FROM w LEFT JOIN reg ON upper(w.rule_id) = reg.rule_id),
+x AS (SELECT waiver_id, 'WAIVER-1.1' AS code FROM d WHERE trim(coalesce(owner, '')) = '' OR issue IS NULL OR trim(coalesce(expires, '')) = '' OR remediation = ' ' OR no_scope OR ci IS NULL
+UNION ALL SELECT waiver_id, 'WAIVER-1.2' FROM d WHERE NOT no_scope AND scope IN ('', '.', '/', '**', '**/*', 'src/**', 'crates/**', 'packages/**', 'apps/**') UNION ALL SELECT waiver_id, 'WAIVER-1.3' FROM d WHERE days IS NULL OR days < 0
+UNION ALL SELECT waiver_id, 'WAIVER-1.4' FROM d WHERE level = 'immutable' AND NOT waivable UNION ALL SELECT waiver_id, 'WAIVER-1.5' FROM d WHERE NOT coalesce(ci, false) UNION ALL SELECT waiver_id, 'WAIVER-1.6' FROM d WHERE NOT visible
+UNION ALL SELECT waiver_id, 'WAIVER-1.8' FROM d WHERE days > 90 UNION ALL SELECT waiver_id, 'WAIVER-1.9' FROM d WHERE lower(trim(owner)) IN ('ai', 'codex', 'agent', 'llm') UNION ALL SELECT waiver_id, 'WAIVER-1.10' FROM d WHERE remediation = ' '
+UNION ALL SELECT NULL, 'WAIVER-1.7' FROM (SELECT count(*) AS n FROM w) WHERE n > 250) SELECT * FROM x""")
 def waiver_audit(spark, d):
     k = F.col("o_orderkey")
-    w = C.table(spark, d, "orders").select(k.alias("waiver_id"), F.col("o_orderpriority").alias("rule_id"), F.when(k % 9 == 0, "").when(k % 7 == 0, "build agent").otherwise("dana").alias("owner"), F.when(k % 10 != 0, "I").alias("issue"), F.lit("why").alias("reason"),
-        F.when(k % 8 == 0, F.array(F.lit("src/a/**"), F.lit("**"))).otherwise(F.array(F.lit("src/**"))).alias("scope"), F.date_format(F.date_add(F.to_date("o_orderdate"), (k % 400).cast("int")), "yyyy-MM-dd").alias("expires"))
-    return audits.waiver_audit(w, "1998-01-01", most=250)
+    expires = F.when(k % 11 < 2, _pick(_EXPIRES, k)).otherwise(F.date_format(F.date_add(F.to_date("o_orderdate"), (k % 400).cast("int")), "yyyy-MM-dd"))
+    w = C.table(spark, d, "orders").select(
+        k.alias("waiver_id"), F.col("o_orderpriority").alias("rule_id"), _pick(_OWNERS, k).alias("owner"), F.when(k % 10 != 0, "I").alias("issue"), F.lit("why").alias("reason"), F.when(k % 13 != 0, F.array(_pick(_SCOPES, k))).otherwise(F.array().cast("array<string>")).alias("scope"),
+        expires.alias("expires"), F.when(k % 9 > 0, "plan").otherwise(" ").alias("remediation"), F.when(k % 5 > 0, k % 5 > 1).alias("ci_allowed"), F.when(k % 7 > 0, k % 7 > 1).alias("visible"),
+    )
+    registry = spark.sql(f"SELECT * FROM ({_LEVELS}) AS t(rule_id, severity, lock_level, waivable)")
+    return audits.waiver_audit(w, registry, "1998-01-01", max_active=250, in_ci=True)
+
+
+# every line rule's finding beside waivers that the documents themselves name: a folder, a name, an extension or a pattern
+_SCOPE_OF = "CASE doc_id % 5 WHEN 0 THEN source || '/' || doc_id || '.' || lang WHEN 1 THEN source || '/' || left(doc_id::VARCHAR, 2) || '*' WHEN 2 THEN '*/' || doc_id || '*.' || lang WHEN 3 THEN './' || source || '/' || doc_id || '.*' ELSE 'src/**' END"
+
+
+@C.query(f"""WITH {C.TEXT_FINDINGS}, w AS (SELECT doc_id AS ordinal, 'TXT-1.' || (doc_id % 5 + 1) AS rule_id, {_SCOPE_OF} AS scope FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+p AS (SELECT ordinal, rule_id, '^' || replace(replace(regexp_replace(scope, '^[.]/', ''), '.', '[.]'), '*', '[^/]*') || '$' AS pattern FROM w WHERE scope <> 'src/**')
+SELECT finding_id, (SELECT 'W' || min(ordinal) FROM p WHERE p.rule_id = x1.rule_id AND regexp_matches(x1.rel, p.pattern)) AS waiver_id FROM x1""")
+def waiver_index_join(spark, d):
+    i, s, lang = F.col("doc_id"), F.col("source"), F.col("lang")
+    n = i.cast("string")
+    scope = F.when(i % 5 == 0, F.concat(s, F.lit("/"), n, F.lit("."), lang)).when(i % 5 == 1, F.concat(s, F.lit("/"), F.left(n, F.lit(2)), F.lit("*"))).when(i % 5 == 2, F.concat(F.lit("*/"), n, F.lit("*."), lang)).when(i % 5 == 3, F.concat(F.lit("./"), s, F.lit("/"), n, F.lit(".*"))).otherwise("src/**")
+    docs = C.table(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    w = docs.select(i.alias("ordinal"), F.concat(F.lit("TXT-1."), (i % 5 + 1).cast("string")).alias("rule_id"), F.concat(F.lit("W"), n).alias("waiver_id"), F.lit("dana").alias("owner"), F.lit("I").alias("issue"), F.lit("why").alias("reason"), F.array(scope).alias("scope"),
+        F.lit("2030-01-01").alias("expires"), F.lit(True).alias("ci_allowed"), F.lit(None).cast("boolean").alias("visible"))
+    return policy.split_by_waiver(C.text_findings(spark, d), policy.valid_waivers(w, C.AS_OF)).select("finding_id", "waiver_id")
+
+
+# limits of pages' paths that the hosts of other pages relax: the last one that names a limit holds
+@C.query(f"""WITH {C.PATHS}, o AS (SELECT page_id AS ordinal, CASE page_id % 3 WHEN 0 THEN split_part(path, '/', 1) || '/**' WHEN 1 THEN split_part(path, '/', 1) || '/*/' || (page_id % 10) || '*' ELSE '**/' || split_part(path, '/', -1) END AS gl,
+CASE WHEN page_id % 2 = 0 THEN 'max_lines' ELSE 'max_depth' END AS key, CASE WHEN page_id % 7 > 0 THEN page_id % 500 END AS value FROM pq WHERE split_part(path, '/', -1) <> ''),
+g AS (SELECT *, '^' || replace(replace(replace(replace(gl, '.', '[.]'), '**', chr(1)), '*', '[^/]*'), chr(1), '.*') || '$' AS pattern FROM o WHERE value IS NOT NULL)
+SELECT p.path AS rel, g.key, arg_max(g.value, g.ordinal) AS value FROM (SELECT DISTINCT path FROM pq) p JOIN g ON regexp_matches(p.path, g.pattern) GROUP BY 1, 2""")
+def shape_override_index(spark, d):
+    p = C.page_paths(spark, d).select("page_id", F.col("path").alias("rel"))
+    i, host, last = F.col("page_id"), F.element_at(F.split("rel", "/"), 1), F.element_at(F.split("rel", "/"), -1)
+    glob = F.when(i % 3 == 0, F.concat(host, F.lit("/**"))).when(i % 3 == 1, F.concat(host, F.lit("/*/"), (i % 10).cast("string"), F.lit("*"))).otherwise(F.concat(F.lit("**/"), last))
+    o = p.where(last != "").select(i.alias("ordinal"), glob.alias("glob"), F.when(i % 2 == 0, "max_lines").otherwise("max_depth").alias("key"), F.when(i % 7 > 0, i % 500).alias("value"))
+    return globs.last_values(p, o)
 
 
 # --- manifests -----------------------------------------------------------------------------------

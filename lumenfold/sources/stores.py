@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written into the shared folder and read from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def collected(*parts: DataFrame) -> DataFrame:
     """Files of several reads, each once, in order of rel; of files with one rel, the first read's counts."""
     out = parts[0].withColumn("_part", F.lit(0))
