@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators import literals
+
 
 def hash_diff(old: DataFrame, new: DataFrame, key: str = "rel", digest: str = "sha256") -> DataFrame:
     """(key, status): missing, changed or extra in new; a change breaks parity like what is missing, extras don't."""
@@ -59,30 +61,7 @@ def count_labels(rows: DataFrame, labels) -> DataFrame:
     return rows.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def literal_owners(contracts: DataFrame, files: DataFrame, seed_words: int = 4, seed_letters: int = 4) -> DataFrame:
-    """(item_id, rel): files whose text contains a contract's text.
-
-    A text that contains a contract has all of its words but the first and the last whole, so both sides are joined
-    on a run of at most seed_words words after the contract's first one; a contract of one or two words is joined on
-    its first letters instead, at most seed_letters of them. Only pairs that share a seed are compared.
-    """
-    f = files.where(F.col("text").isNotNull()).select("rel", "text")
-    words = lambda c: F.split(c, r"[ \n]+")
-    c = contracts.where(F.col("text") != "").select("item_id", F.col("text").alias("literal"))
-    inner = F.least(F.size(words(F.col("literal"))) - 2, F.lit(seed_words))
-    c = c.select("item_id", "literal", F.when(inner > 0, inner).otherwise(-F.least(F.length("literal"), F.lit(seed_letters))).alias("kind"))
-    run = lambda a, i, k: F.xxhash64(*[F.get(a, i + j) for j in range(k)])
-    out = None
-    for kind in sorted(r["kind"] for r in c.select("kind").distinct().collect()):  # a handful of seed sizes
-        some = c.where(F.col("kind") == kind)
-        if kind > 0:
-            keyed = some.withColumn("seed", run(words(F.col("literal")), F.lit(1), kind))
-            each = F.transform(F.sequence(F.lit(0), F.size("a") - kind), lambda i: run(F.col("a"), i, kind))
-            seeds = f.select("rel", words(F.col("text")).alias("a")).where(F.size("a") >= kind).select("rel", F.explode(F.array_distinct(each)).alias("seed"))
-        else:
-            keyed = some.withColumn("seed", F.xxhash64(F.left("literal", F.lit(-kind))))
-            each = F.transform(F.sequence(F.lit(1), F.length("text") + kind + 1), lambda i: F.substr("text", i, F.lit(-kind)))
-            seeds = f.where(F.length("text") >= -kind).select("rel", F.explode(F.array_distinct(each)).alias("gram")).select("rel", F.xxhash64("gram").alias("seed"))
-        pairs = keyed.join(seeds, "seed").select("item_id", "literal", "rel").distinct().join(f, "rel").where(F.contains(F.col("text"), F.col("literal"))).select("item_id", "rel")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out if out is not None else c.join(f.limit(0), F.lit(False)).select("item_id", "rel")
+def literal_owners(contracts: DataFrame, files: DataFrame, tokens: bool = False) -> DataFrame:
+    """(item_id, rel): files whose text contains a contract's text, with `tokens` as one that stands alone; all contracts are looked for in one pass (see literals)."""
+    found = literals.occurrences(files.select("rel", "text"), contracts.select(F.col("item_id").alias("literal_id"), F.col("text").alias("literal")), tokens=tokens)
+    return found.select(F.col("literal_id").alias("item_id"), "rel")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
-from lumenfold.operators import config, inventory, ledger
+from lumenfold.operators import config, evidence, inventory, ledger, literals
 from lumenfold.plans import audit_queries as A
 from lumenfold.plans import catalog as C
 from lumenfold.plans import rule_queries as R
@@ -114,3 +114,24 @@ def captured_metadata(spark, d):
     text = F.to_json(F.struct(F.transform("deps", lambda x: F.struct(x.alias("name"))).alias("dependencies")))
     v = F.from_json(text, "struct<dependencies:array<struct<name:bigint>>>")
     return l.select("pkg", F.size(v["dependencies"]).cast("long").alias("n"), F.array_join(F.transform(v["dependencies"], lambda x: x["name"].cast("string")), ",").alias("names"))
+
+
+@C.query(f"""WITH {C.FILES}, w AS (SELECT item_id, string_split(text, ' ') AS a FROM benchmark), p AS (SELECT DISTINCT array_to_string(a[k:k + 2], ' ') AS literal FROM (SELECT a, unnest(range(1, len(a) - 1)) AS k FROM w)), q AS (SELECT literal FROM p WHERE literal <> '')
+SELECT f.rel, literal, strlen(f.text[:strpos(f.text, literal) - 1])::BIGINT AS first FROM f JOIN q ON contains(f.text, literal)""")
+def phrase_occurrences(spark, d):
+    """Every run of three words of the benchmark in every document."""
+    words = F.split("text", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda k: F.array_join(F.slice(words, k, 3), " "))
+    phrases = C.table(spark, d, "benchmark").where(F.size(words) > 2).select(F.explode(runs).alias("literal")).distinct().where("literal <> ''")
+    keyed = phrases.select(F.xxhash64("literal").alias("literal_id"), "literal")
+    return literals.occurrences(C.files(spark, d), keyed).join(keyed, "literal_id").select("rel", "literal", "first")
+
+
+# values of our own tables as contract values: each word beside which no letter, digit or one of @._/- stands
+@C.query(f"""WITH {C.FILES}, v AS (SELECT n_nationkey AS item_id, lower(n_name) AS text FROM nation UNION ALL SELECT 1000 + p_partkey, split_part(p_name, ' ', 1) FROM part UNION ALL SELECT 100000 + item_id, array_to_string(string_split(text, ' ')[2:3], ' ') FROM benchmark)
+SELECT v.item_id, f.rel FROM v JOIN f ON v.text <> '' AND regexp_matches(f.text, '(?s)(?:^|[^A-Za-z0-9@._/-])' || regexp_escape(v.text) || '(?:$|[^A-Za-z0-9@._/-])')""")
+def contract_value_tokens(spark, d):
+    values = C.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("item_id"), F.lower("n_name").alias("text"))
+    values = values.unionByName(C.table(spark, d, "part").select((F.col("p_partkey") + 1000).cast("long").alias("item_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("text")))
+    values = values.unionByName(C.table(spark, d, "benchmark").select((F.col("item_id") + 100000).cast("long").alias("item_id"), F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("text")))
+    return evidence.literal_owners(values, C.files(spark, d), tokens=True)
