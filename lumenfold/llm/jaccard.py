@@ -336,7 +336,8 @@ def _blocks(postings: DataFrame, described: DataFrame, comps: DataFrame, scratch
     """(block, doc_id, n_shingles, comp, sig): blocks whose members are in several components."""
     placed = postings.join(comps, "doc_id")
     several = placed.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
-    members = scratch.settle(placed.join(several.select("shingle", "n"), "shingle").select("shingle", "doc_id", "comp", "n"), "block-members")
+    several = scratch.settle(several.select("shingle", "n"), "shared-shingles")  # tables of what was counted, so that the joins may split a hot shingle
+    members = scratch.settle(placed.join(several, "shingle").select("shingle", "doc_id", "comp", "n"), "block-members", ("shared-shingles",))
     small = members.where(F.col("n") <= BLOCK).groupBy("shingle").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).select("docs").distinct()
     small = small.select(F.xxhash64("docs", F.lit(0)).alias("block"), F.explode("docs").alias("doc_id"))
 
@@ -344,7 +345,7 @@ def _blocks(postings: DataFrame, described: DataFrame, comps: DataFrame, scratch
     # every part meets each of the others' parts, and these meet one another, in blocks of two parts
     large = members.where(F.col("n") > BLOCK)
     main = large.groupBy("shingle", "comp").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"))
-    large = large.join(main, "shingle").withColumns({"parts": F.ceil(F.col("k") / BLOCK).cast("int"), "own": F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")})
+    large = large.join(scratch.settle(main, "main-components"), "shingle").withColumns({"parts": F.ceil(F.col("k") / BLOCK).cast("int"), "own": F.ceil((F.col("n") - F.col("k")) / BLOCK).cast("int")})
     inside, others = large.where("comp = main"), large.where("comp <> main")
     own_part = F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int")
     main_part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
@@ -443,17 +444,18 @@ def _named_sets(docs: DataFrame) -> DataFrame:
 
     keyed = described.select("doc_id", "n_shingles", "leaders", F.posexplode("leaders").alias("k", "least"))
     leader = keyed.groupBy("k", "least").agg(F.min(F.struct("doc_id", "n_shingles", "leaders")).alias("leader"), F.count("*").alias("n")).where("n > 1")
-    led = keyed.join(leader, ["k", "least"]).where((F.col("doc_id") > F.col("leader.doc_id")) & _near_size("n_shingles", "leader.n_shingles"))
+    led = keyed.join(scratch.settle(leader.select("k", "least", "leader"), "leaders"), ["k", "least"]).where((F.col("doc_id") > F.col("leader.doc_id")) & _near_size("n_shingles", "leader.n_shingles"))
     same = F.size(F.filter(F.zip_with("leaders", "leader.leaders", lambda x, y: x == y), lambda e: e))
     led = led.where(same >= LEADER_SHARED).select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = S.settle(_verified(led, texts), "leader-links")
+    scratch.drop("leaders")
 
     ids = scratch.settle(described.select("doc_id").distinct(), "candidate-ids")
     comps = _components_of(ids, links)
     members = _blocks(postings, described.select("doc_id", "n_shingles", "sig"), comps, scratch)
     tasks = S.n_tasks(spark)
     pairs = members.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_join_blocks, "a long, b long, most double")
-    pairs = scratch.settle(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "tree-pairs", ("block-members", "postings", "candidates"))
+    pairs = scratch.settle(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "tree-pairs", ("block-members", "main-components", "postings", "candidates"))
     sketches = scratch.settle(texts.mapInArrow(_sketched, "doc_id long, n long, sketch binary"), "sketches")
     pairs = scratch.settle(_sketch_filter(pairs, sketches).groupBy("a", "b").agg(F.max("most").alias("most")), "possible-pairs", ("tree-pairs", "sketches"))
     found = graph.components(_verified_in_rounds(pairs, texts, ids, links, comps))

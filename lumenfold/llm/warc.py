@@ -68,7 +68,8 @@ def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     keyed = keyed.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     large = keyed.where(F.col("size") >= min_revisit)
     holders = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
-    joined = large.join(holders.where("n > 1").select("digest", "holder"), "digest", "left")
+    holders = S.settle(holders.where("n > 1").select("digest", "holder"), "warc-holders")  # a table, so that the join may split a hot digest
+    joined = large.join(holders, "digest", "left")
     # small payloads can't be revisits; kept out of the join, equal ones don't meet in one task
     joined = joined.unionByName(keyed.where(F.col("size") < min_revisit).withColumn("holder", F.lit(None).cast("long")))
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull(), F.lit(False))

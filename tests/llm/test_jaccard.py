@@ -135,3 +135,27 @@ def test_leaf_pairs_in_chunks(monkeypatch):
     want = [x.tolist() for x in tree.self_join()]
     monkeypatch.setattr(J, "LEAF_PAIRS", 3)
     assert [x.tolist() for x in tree.self_join()] == want and want[0]
+
+
+def test_a_hot_node_and_a_hot_payload_are_split(spark):
+    """Most rows on one key: the joins of a component's step and of equal payloads may be dealt out to several tasks."""
+    from pyspark.sql import functions as F
+
+    from lumenfold.llm import shared as S
+    from lumenfold.llm import warc
+
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        both = S.settle(spark.range(1, 60_000, numPartitions=8).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") - 1).alias("u"), F.col("id").alias("v")), "edges")
+        step = graph.star(both, S.settle(graph.large_least(both), "least"))
+        pages = spark.range(8_000, numPartitions=8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 10 < 7, F.repeat(F.lit("same"), 300)).otherwise(F.concat(F.repeat(F.lit("x"), 1000), F.col("id").cast("string"))).alias("html"))
+        for rows in (step, warc.decide(pages)):
+            frame = rows.groupBy().agg(*[F.max(c) for c in rows.columns])
+            frame.collect()
+            assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
