@@ -80,14 +80,17 @@ def waiver_audit(waivers: DataFrame, registry: DataFrame, today: str, max_days:
     return rows.unionByName(waivers.agg(F.count("*").alias("n")).where(F.col("n") > max_active).select(F.lit(None).cast(rows.schema["waiver_id"].dataType).alias("waiver_id"), F.lit("WAIVER-1.7").alias("code")))
 
 
-def version_determinism(deps: DataFrame) -> DataFrame:
-    """(item_id, name, code) of deps(item_id, name, version): versions that another install may resolve otherwise."""
-    v = F.trim("version")
+# The only versions that an install can't resolve otherwise, and names whose look-alikes are suspicious.
+EXACT_VERSION = r"^(?:npm:[@A-Za-z0-9._/-]+@)?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.-]+)?\z"
+KNOWN_NAMES = ("openai", "effect", "typescript", "eslint", "vitest", "playwright", "duckdb")
+
+
+def version_determinism(deps: DataFrame, known: tuple[str, ...] = KNOWN_NAMES) -> DataFrame:
+    """(item_id, name, code) of deps(item_id, name, version): `not-exact` versions, and `suspicious-name` for a known package's name with a suffix."""
+    look_alike = rf"(?:{'|'.join(known)})[_-](?:js|lib|safe|new|next)\z"
     return _codes(deps, ["item_id", "name"], {
-        "wildcard": v.isin("", "*", "latest", "next"),
-        "range": v.rlike(r"^[\^~]|^[<>]=?|\s-\s|\|\|"),
-        "git-or-path": v.rlike(r"^(?:git\+|github:|file:|link:|https?:)"),
-        "suspicious-name": F.col("name").rlike(r"[^a-z0-9@/._-]"),
+        "not-exact": ~F.regexp_replace(F.coalesce("version", F.lit("")), r"^\s+|\s+$", "").rlike(EXACT_VERSION),
+        "suspicious-name": F.lower("name").rlike(look_alike),
     })
 
 

@@ -68,12 +68,12 @@ def payloads(outputs: DataFrame) -> DataFrame:
 
 
 def text_lines(outputs: DataFrame) -> DataFrame:
-    """Type-checker lines `file(l,c): error TSn: text` and test lines `FAILED file::name - text`."""
+    """Type-checker lines `file(l,c): error TSn: text` and test lines `FAILED file::name - text`; a line without a text is neither."""
     rows = output_lines(outputs)
-    tsc, failed = r"^(.+?)\((\d+),\d+\): (error|warning) (TS\d+): (.*)$", r"^FAILED ([^:\s]+)(?:::(\S+))?(?: - (.*))?$"
+    tsc, failed = r"^(.+?)\((\d+),\d+\):\s+(error|warning)\s+(TS\d+):\s+(.+)$", r"^FAILED\s+([^:\s]+)(?:::[^\s]+)*\s+-\s+(.+)$"
     g = lambda p, k: F.regexp_extract("line", p, k)
     a = _rows(rows.where(F.col("line").rlike(tsc)), g(tsc, 3), g(tsc, 4), g(tsc, 1), g(tsc, 2).cast("long"), g(tsc, 5))
-    b = _rows(rows.where(F.col("line").rlike(failed)), F.lit("error"), F.lit("pytest"), g(failed, 1), F.lit(1), g(failed, 3))
+    b = _rows(rows.where(F.col("line").rlike(failed)), F.lit("error"), F.lit("pytest"), g(failed, 1), F.lit(1), g(failed, 2))
     return a.unionByName(b)
 
 

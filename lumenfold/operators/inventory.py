@@ -35,12 +35,25 @@ def classified(scripts: DataFrame) -> DataFrame:
 
 
 def artifact_status(artifacts: DataFrame) -> DataFrame:
-    """(artifact_id, status) of artifacts(artifact_id, text): failed, manual-required, unavailable, passed or present, the first that its JSON status or text tells."""
+    """(artifact_id, status) of artifacts(artifact_id, text): failed, manual-required, unavailable, passed or present, the first that its JSON or text tells.
+
+    JSON tells by `ok`, `passed` and `success`, if these are booleans, and by `status`, else `result`, as whole words in any
+    case; a text tells of manual-required wherever it stands. What is no JSON object has none of these fields.
+    """
     v = F.try_parse_json("text")
     said = F.lower(F.coalesce(F.try_variant_get(v, "$.status", "string"), F.try_variant_get(v, "$.result", "string"), F.lit("")))
-    ok = F.try_variant_get(v, "$.ok", "boolean")
-    status = F.when((ok == F.lit(False)) | said.rlike("^(?:fail|error)"), "failed").when(said.contains("manual"), "manual-required").when(said.contains("unavailable") | said.contains("skipped"), "unavailable")
-    return artifacts.select("artifact_id", status.when((ok == F.lit(True)) | said.rlike("^(?:pass|ok|success)"), "passed").otherwise("present").alias("status"))
+
+    def any_is(value: bool) -> Column:
+        hit = F.lit(False)
+        for name in ("ok", "passed", "success"):
+            got = F.try_variant_get(v, f"$.{name}", "variant")
+            hit |= F.coalesce((F.schema_of_variant(got) == "BOOLEAN") & (F.try_variant_get(v, f"$.{name}", "boolean") == F.lit(value)), F.lit(False))
+        return hit
+
+    status = F.when(any_is(False) | said.isin("failed", "fail", "error"), "failed")
+    status = status.when(said.isin("manual-required", "manual_required") | F.coalesce(F.col("text").rlike("(?i)manual-required"), F.lit(False)), "manual-required")
+    status = status.when(said.isin("unavailable", "skipped"), "unavailable").when(any_is(True) | said.isin("passed", "pass", "ok"), "passed")
+    return artifacts.select("artifact_id", status.otherwise("present").alias("status"))
 
 
 def routed_evidence(definitions: DataFrame, requests: DataFrame) -> DataFrame:

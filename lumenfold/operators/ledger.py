@@ -176,13 +176,18 @@ def path_errors(claims: DataFrame) -> DataFrame:
     return one.withColumn("error", error).where("error IS NOT NULL").select("claim_id", "path", "error")
 
 
-def health(streams: DataFrame, breaks: DataFrame, blockers: DataFrame) -> DataFrame:
-    """(stream, ok, can_lock, can_write, must_wait, must_repair) of streams(stream) with breaks(stream) and blockers(stream)."""
+def health(streams: DataFrame, breaks: DataFrame, blockers: DataFrame, guards: DataFrame | None = None) -> DataFrame:
+    """(stream, ok, can_inspect, can_lock, can_write, must_wait, must_repair) of streams(stream) with breaks(stream), blockers(stream) and guards(stream, allowed).
+
+    A chain with a break must be repaired before it is inspected, locked or written. A guard's answer, where there is one,
+    decides on writing instead, and a denial is one more reason to wait.
+    """
     b = breaks.groupBy("stream").agg(F.count("*").alias("breaks"))
     c = blockers.groupBy("stream").agg(F.count("*").alias("blockers"))
     j = streams.select("stream").distinct().join(b, "stream", "left").join(c, "stream", "left")
-    repair, wait = F.col("breaks").isNotNull(), F.col("blockers").isNotNull()
-    return j.select("stream", (~repair & ~wait).alias("ok"), (~repair & ~wait).alias("can_lock"), (~wait).alias("can_write"), wait.alias("must_wait"), repair.alias("must_repair"))
+    j = j.join(guards.groupBy("stream").agg(F.bool_and("allowed").alias("allowed")), "stream", "left") if guards is not None else j.withColumn("allowed", F.lit(None).cast("boolean"))
+    repair, blocked, denied = F.col("breaks").isNotNull(), F.col("blockers").isNotNull(), F.coalesce(~F.col("allowed"), F.lit(False))
+    return j.select("stream", (~repair & ~denied & ~blocked).alias("ok"), (~repair).alias("can_inspect"), (~repair & ~blocked).alias("can_lock"), F.coalesce("allowed", ~repair).alias("can_write"), (denied | blocked).alias("must_wait"), repair.alias("must_repair"))
 
 
 def stale_claims(claims: DataFrame, sessions: DataFrame, as_of: Column) -> DataFrame:

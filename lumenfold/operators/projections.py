@@ -56,13 +56,13 @@ def expanded(command: Column, values: dict[str, Column]) -> Column:
 def language_of_tool(tool: Column) -> Column:
     """Language by tool name, as run summaries have it: case counts."""
     t = tool
-    return F.when(t.rlike("cargo|rust|clippy"), "rust").when(t.rlike("eslint|tsc|vitest|jest|npm"), "typescript").when(t.rlike("py|ruff|mypy"), "python").otherwise("common")
+    return F.when(t.rlike("cargo|rust|clippy"), "rust").when(t.rlike("eslint|tsc|vitest|jest|npm|pnpm|yarn"), "typescript").when(t.rlike("pytest|ruff|pyright|mypy|python"), "python").otherwise("common")
 
 
 def language_of_diagnostic(tool: Column) -> Column:
-    """Language by tool name, as diagnostics have it: another order, any case, so that some tools differ."""
+    """Language by tool name, as diagnostics have it: by parts of the name in any case, so that some tools differ; a null tool is common."""
     t = F.lower(tool)
-    return F.when(t.contains("cargo") | t.contains("rust"), "rust").when(t.contains("py") | t.contains("ruff"), "python").when(t.contains("eslint") | t.contains("tsc") | t.contains("vitest"), "typescript").otherwise("common")
+    return F.when(t.contains("cargo") | t.contains("rust"), "rust").when(t.contains("ts") | t.contains("eslint") | t.contains("vite"), "typescript").when(t.contains("py") | t.contains("ruff"), "python").otherwise("common")
 
 
 def shape_limits(files: DataFrame, base: dict[str, int], overrides: list[tuple[str, dict[str, int]]]) -> DataFrame:

@@ -159,6 +159,25 @@ def unguarded(files: DataFrame, pattern: str, token: str, distance: int = 4) ->
     return rows.where(~F.col("around")).select("rel", "line_no", "line")
 
 
+def sleeps(files: DataFrame, distance: int = 12) -> DataFrame:
+    """(rule_id, rel, line_no, line) of sleeps: PY-6.7 in tests, PY-4.24 elsewhere if an async function begins in the line or in the `distance` lines before."""
+    rows = _each(files, ascii_boundaries(r"\b(?:time\.sleep|asyncio\.sleep)\s*\("), lambda a, i: F.exists(_before(a, i, distance), lambda x: x.rlike(r"async\s+def")))
+    test = F.col("rel").rlike(PATH_CLASSES["is_test"]) | F.col("rel").rlike(PATH_CLASSES["is_python_test"])
+    return rows.where(test | F.col("around")).select(F.when(test, "PY-6.7").otherwise("PY-4.24").alias("rule_id"), "rel", "line_no", "line")
+
+
+def documented_before(before: Column) -> Column:
+    """Whether the nearest line before is, or ends, a documentation comment."""
+    return F.coalesce(F.startswith(before, F.lit("/**")) | F.endswith(before, F.lit("*/")), F.lit(False))
+
+
+def without_docstring(files: DataFrame) -> DataFrame:
+    """(rel, line_no) of top-level Python functions and classes whose next line with anything on it begins no docstring."""
+    rows = nearest_filled(files, r"^(?:async\s+)?def\s+[A-Za-z_]\w*\s*\(|^class\s+[A-Za-z_]\w*")
+    quoted = F.startswith("after", F.lit('"' * 3)) | F.startswith("after", F.lit("'" * 3))
+    return rows.where(~F.coalesce(quoted, F.lit(False))).select("rel", "line_no")
+
+
 def followed_by(files: DataFrame, pattern: str, first: str, within: int = 3, insignificant: str = r"^\s*(#|$)") -> DataFrame:
     """(rel, line_no, line, after): lines that match pattern whose first significant line among the next `within` matches `first`."""
     rows = _each(files, pattern, lambda a, i: F.get(F.filter(F.slice(a, i + 2, within), lambda x: ~x.rlike(insignificant)), F.lit(0)))

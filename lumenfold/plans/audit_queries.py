@@ -107,16 +107,16 @@ def shape_override_index(spark, d):
 
 # --- manifests -----------------------------------------------------------------------------------
 
-_VERSIONS = ("1.2.3", "^1.2.0", "latest", "~0.3", "git+https://h/x.git", "file:../x", ">=2", "2.0.0 - 2.1.0", "*", "1.0.0 || 2.0.0", "")
-_DEPS = f"d AS (SELECT l_orderkey * 10 + l_linenumber AS item_id, 'p' || l_partkey || CASE WHEN l_suppkey % 7 = 0 THEN ' X' ELSE '' END AS name, {_pick_sql(_VERSIONS, 'l_partkey')} AS version FROM lineitem)"
+_VERSIONS = ("1.2.3", "^1.2.0", "latest", " 1.0.0-rc.1 ", "git+https://h/x.git", "npm:@a/b@1.2.3", ">=2", "1.2", "v1.0.0", "workspace:*", "1.0.0+build.5", "npm:b@^1", "", None)
+_PACKAGES = ("eslint-js", "my-eslint_next", "Vitest-Lib", "eslint", "duckdb-wasm", "effect-safe2", "typescript_new")
+_DEPS = f"d AS (SELECT l_orderkey * 10 + l_linenumber AS item_id, {_pick_sql(_PACKAGES, 'l_suppkey')} AS name, {_pick_sql(_VERSIONS, 'l_partkey')} AS version FROM lineitem)"
 
 
-@C.query(f"""WITH {_DEPS}, x AS (SELECT item_id, name, 'wildcard' AS code FROM d WHERE trim(version) IN ('', '*', 'latest', 'next') UNION ALL SELECT item_id, name, 'range' FROM d WHERE regexp_matches(trim(version), '^[\\^~]|^[<>]=?|\\s-\\s|\\|\\|')
-UNION ALL SELECT item_id, name, 'git-or-path' FROM d WHERE regexp_matches(trim(version), '^(?:git\\+|github:|file:|link:|https?:)') UNION ALL SELECT item_id, name, 'suspicious-name' FROM d WHERE regexp_matches(name, '[^a-z0-9@/._-]')) SELECT * FROM x""")
+@C.query(f"""WITH {_DEPS} SELECT item_id, name, 'not-exact' AS code FROM d WHERE NOT regexp_full_match(trim(coalesce(version, '')), '(npm:[@A-Za-z0-9._/-]+@)?[0-9]+[.][0-9]+[.][0-9]+([-+][0-9A-Za-z.-]+)?')
+UNION ALL SELECT item_id, name, 'suspicious-name' FROM d WHERE name IN ('eslint-js', 'my-eslint_next', 'Vitest-Lib', 'typescript_new')""")
 def version_determinism(spark, d):
     l = C.table(spark, d, "lineitem")
-    name = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.when(F.col("l_suppkey") % 7 == 0, " X").otherwise(""))
-    return audits.version_determinism(l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), name.alias("name"), _pick(_VERSIONS, F.col("l_partkey")).alias("version")))
+    return audits.version_determinism(l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), _pick(_PACKAGES, F.col("l_suppkey")).alias("name"), _pick(_VERSIONS, F.col("l_partkey")).alias("version")))
 
 
 @C.query("""WITH d AS (SELECT DISTINCT 'k' || l_suppkey % 97 AS package, 'p' || l_partkey AS name, CASE WHEN l_returnflag = 'A' THEN 'dev' ELSE 'normal' END AS kind, l_partkey FROM lineitem)
@@ -349,11 +349,11 @@ def expanded_commands(spark, d):
     return C.table(spark, d, "events").select(F.col("event_id").alias("run_id"), F.array_join(projections.expanded(words, {"node": node, "root": F.lit("/r")}), " ").alias("command"))
 
 
-_TOOLS = ("cargo", "clippy", "eslint", "ESLint", "jest", "npm", "ruff", "mypy", "make")
+_TOOLS = ("cargo", "clippy", "eslint", "ESLint", "jest", "npm", "ruff", "mypy", "make", "yarn", "vite", "ts-node", "pylint", "pytest", "python3", "pyright", "Cargo", "pnpm", "vitest", "scripts", None)
 
 
-@C.query(f"""WITH t AS (SELECT {_pick_sql(_TOOLS, 'event_id')} AS tool FROM events) SELECT tool, CASE WHEN regexp_matches(tool, 'cargo|rust|clippy') THEN 'rust' WHEN regexp_matches(tool, 'eslint|tsc|vitest|jest|npm') THEN 'typescript' WHEN regexp_matches(tool, 'py|ruff|mypy') THEN 'python' ELSE 'common' END AS of_run,
-CASE WHEN contains(lower(tool), 'cargo') OR contains(lower(tool), 'rust') THEN 'rust' WHEN contains(lower(tool), 'py') OR contains(lower(tool), 'ruff') THEN 'python' WHEN regexp_matches(lower(tool), 'eslint|tsc|vitest') THEN 'typescript' ELSE 'common' END AS of_diagnostic, count(*) AS n FROM t GROUP BY ALL""")
+@C.query(f"""WITH t AS (SELECT {_pick_sql(_TOOLS, 'event_id')} AS tool FROM events) SELECT tool, CASE WHEN regexp_matches(tool, 'cargo|rust|clippy') THEN 'rust' WHEN regexp_matches(tool, 'eslint|tsc|vitest|jest|npm|yarn') THEN 'typescript' WHEN regexp_matches(tool, 'pytest|ruff|pyright|mypy|python') THEN 'python' ELSE 'common' END AS of_run,
+CASE WHEN regexp_matches(lower(tool), 'cargo|rust') THEN 'rust' WHEN regexp_matches(lower(tool), 'ts|eslint|vite') THEN 'typescript' WHEN regexp_matches(lower(tool), 'py|ruff') THEN 'python' ELSE 'common' END AS of_diagnostic, count(*) AS n FROM t GROUP BY ALL""")
 def tool_languages(spark, d):
     t = C.table(spark, d, "events").select(_pick(_TOOLS, F.col("event_id")).alias("tool"))
     return t.groupBy("tool", projections.language_of_tool(F.col("tool")).alias("of_run"), projections.language_of_diagnostic(F.col("tool")).alias("of_diagnostic")).agg(F.count("*").alias("n"))
@@ -466,12 +466,16 @@ def script_inventory(spark, d):
     return inventory.classified(C.table(spark, d, "events").select(rel.alias("rel"), _pick(_SCRIPTS, i).alias("text")))
 
 
-_ARTIFACTS = ('{"ok": false}', '{"status": "PASSED"}', '{"status": "manual-required"}', '{"result": "failed"}', '{"status": "unavailable"}', "not json", '{"ok": true}', '{"status": "odd"}')
+_ARTIFACTS = {
+    '{"ok": false}': "failed", '{"status": "PASSED"}': "passed", '{"status": "manual-required"}': "manual-required", '{"result": "failed"}': "failed", '{"status": "unavailable"}': "unavailable", "not json": "present",
+    '{"ok": true}': "passed", '{"status": "odd"}': "present", '{"passed": false, "ok": true}': "failed", '{"success": true}': "passed", "a Manual-Required step": "manual-required", '{"status": "manually checked"}': "present",
+    '{"ok": "true"}': "present", '{"status": "failed-over"}': "present", '{"status": "Error"}': "failed", '{"result": "skipped", "success": true}': "unavailable", '[{"ok": false}]': "present", '{"status": "manual_required"}': "manual-required", '{"status": null, "result": "ok"}': "passed", "": "present", None: "present",
+}
 
 
-@C.query(f"SELECT event_id AS artifact_id, {_pick_sql(('failed', 'passed', 'manual-required', 'failed', 'unavailable', 'present', 'passed', 'present'), 'event_id')} AS status FROM events")
+@C.query(f"SELECT event_id AS artifact_id, {_pick_sql(tuple(_ARTIFACTS.values()), 'event_id')} AS status FROM events")
 def artifact_status(spark, d):
-    return inventory.artifact_status(C.table(spark, d, "events").select(F.col("event_id").alias("artifact_id"), _pick(_ARTIFACTS, F.col("event_id")).alias("text")))
+    return inventory.artifact_status(C.table(spark, d, "events").select(F.col("event_id").alias("artifact_id"), _pick(tuple(_ARTIFACTS), F.col("event_id")).alias("text")))
 
 
 @C.query("""WITH df AS (SELECT DISTINCT event_type || user_id % 3 AS id, event_type AS family FROM events), cap AS (SELECT DISTINCT event_type || user_id % 3 AS id, event_type AS family, unnest(CASE user_id % 3 WHEN 0 THEN ['ci', 'linux'] WHEN 1 THEN ['ci'] ELSE ['windows'] END) AS capability FROM events),

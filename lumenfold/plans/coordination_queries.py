@@ -101,11 +101,12 @@ def exact_path_claims(spark, d):
     return ledger.path_errors(C.table(spark, d, "events").select(i.alias("claim_id"), F.array(a(5), other).alias("paths")))
 
 
-@C.query(f"WITH {LINKED}, {_BREAKS}, s AS (SELECT DISTINCT stream FROM e), w AS (SELECT DISTINCT user_id AS stream FROM events WHERE event_type = 'error' AND event_id % 4 = 0), j AS (SELECT s.stream, s.stream IN (SELECT stream FROM b) AS r, s.stream IN (SELECT stream FROM w) AS b FROM s) SELECT stream, NOT r AND NOT b AS ok, NOT r AND NOT b AS can_lock, NOT b AS can_write, b AS must_wait, r AS must_repair FROM j")
+@C.query(f"WITH {LINKED}, {_BREAKS}, s AS (SELECT DISTINCT stream FROM e), w AS (SELECT DISTINCT user_id AS stream FROM events WHERE event_type = 'error' AND event_id % 4 = 0), g AS (SELECT user_id AS stream, bool_and(event_id % 9 <> 4) AS a FROM events WHERE event_type = 'view' AND user_id % 3 = 0 GROUP BY 1), j AS (SELECT s.stream, s.stream IN (SELECT stream FROM b) AS r, s.stream IN (SELECT stream FROM w) AS b, g.a FROM s LEFT JOIN g ON s.stream = g.stream) SELECT stream, NOT r AND NOT b AND coalesce(a, true) AS ok, NOT r AS can_inspect, NOT r AND NOT b AS can_lock, coalesce(a, NOT r) AS can_write, b OR NOT coalesce(a, true) AS must_wait, r AS must_repair FROM j")
 def ledger_health(spark, d):
     e = linked_events(spark, d)
     blockers = C.table(spark, d, "events").where("event_type = 'error' AND event_id % 4 = 0").select(F.col("user_id").alias("stream"))
-    return ledger.health(e, ledger.link_breaks(e), blockers)
+    guards = C.table(spark, d, "events").where("event_type = 'view' AND user_id % 3 = 0").select(F.col("user_id").alias("stream"), (F.col("event_id") % 9 != 4).alias("allowed"))
+    return ledger.health(e, ledger.link_breaks(e), blockers, guards)
 
 
 @C.query("WITH s AS (SELECT user_id, max(ts) + INTERVAL 7200 SECOND AS expires_at FROM events WHERE event_id % 5 <> 0 GROUP BY 1) SELECT e.event_id AS claim_id, CASE WHEN s.user_id IS NULL OR expires_at < TIMESTAMP '2024-01-30 12:00:00' THEN 'resolve' ELSE 'keep' END AS action FROM events e LEFT JOIN s ON e.user_id = s.user_id WHERE event_type = 'signup'")

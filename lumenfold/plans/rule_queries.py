@@ -17,13 +17,13 @@ PY_LINES = (
     "data = pickle.loads(raw)", "doc = yaml.load(raw)", "doc = yaml.load(raw, SafeLoader)", "mod = importlib.import_module(name)", "now = datetime.now()", "requests.get(url)",
     "requests.get(url, timeout=3)", "from ..core import thing", "from core.base import *", "home = os.environ[name]", "def f(self, a, b: int) -> int:", "def g(user_id: str, tags=[]):",
     "except:", "class Row(TypedDict):", "limit: Optional[int] = None", "class Model(BaseModel):", "Point = collections.namedtuple(name, fields)", "time.sleep(1)", "async def run(x: int) -> None:",
-    "@pytest.mark.skip", "mock.patch(target)", "    x = 2", "asyncio.create_task(run())", "task = asyncio.create_task(run())", "assert True", "    # later", "class Base:", "    total += 1", "return total",
+    "@pytest.mark.skip", "mock.patch(target)", "    x = 2", "asyncio.create_task(run())", "task = asyncio.create_task(run())", "assert True", "    # later", "class Base:", '    """Docs."""', "    total += 1", "return total",
 )
 TS_LINES = (
     "const x: any = 1;", "const y = z as unknown as Row;", "  name!: string;", "type A = Record<string, Row>;", "const m: Map<string, Row> = load();", "export default run;", "export * from './a';",
     "namespace Old {", "export enum Kind {", "const k = process.env.KEY;", "async function f(): Promise<any> {", "run().catch(() => {});", "console.log(x);", "  return null;", "let p: Partial<Row>;",
     "type B = Record<string, unknown>;", "const lib = await import(name);", "new Function(body);", "describe.skip('a', run);", "expect.anything();", "expect(x).toBeTruthy();", "await fetch(url);",
-    "", "// note", "const a = 1;", "}", "setTimeout(run, 10);", "// timer: needed", "export function run(): number {", "import { a } from './b';",
+    "", "// note", "/** Docs. */", "const a = 1;", "}", "setTimeout(run, 10);", "// timer: needed", "export function run(): number {", "import { a } from './b';",
 )
 
 
@@ -91,14 +91,17 @@ _EXCEPT = r"^\s*except(?:\s+Exception\s*(?:as\s+\w+)?)?\s*:"
 
 
 @C.query(f"""WITH {PY}, g AS (SELECT *, first_value(CASE WHEN NOT regexp_matches(line, '^\\s*(#|$)') THEN line END IGNORE NULLS) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS after FROM cl)
-SELECT rel, line_no, line, after FROM g WHERE regexp_matches(line, '{_EXCEPT}') AND regexp_matches(after, '^\\s*pass\\s*(?:#.*)?$')""")
+SELECT rel, line_no + 1 AS line_no, after AS line FROM g WHERE regexp_matches(line, '{_EXCEPT}') AND regexp_matches(after, '^\\s*pass\\s*(?:#.*)?$')""")
 def except_followed_by_pass(spark, d):
-    return rulebook.followed_by(code_files(spark, d, "py"), _EXCEPT, r"^\s*pass\s*(?:#.*)?$")
+    """Handlers that swallow what they catch, told at the line after the handler."""
+    found = rulebook.followed_by(code_files(spark, d, "py"), _EXCEPT, r"^\s*pass\s*(?:#.*)?$")
+    return found.select("rel", (F.col("line_no") + 1).alias("line_no"), F.col("after").alias("line"))
 
 
-@C.query(f"WITH {PY}, g AS (SELECT *, bool_or(contains(line, 'async def')) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS guarded FROM cl) SELECT rel, line_no, line FROM g WHERE regexp_matches(line, '\\btime\\.sleep\\s*\\(') AND NOT guarded")
-def sleep_outside_async(spark, d):
-    return rulebook.unguarded(code_files(spark, d, "py"), r"\btime\.sleep\s*\(", "async def", 12)
+@C.query(f"""WITH {PY}, g AS (SELECT *, bool_or(regexp_matches(line, 'async\\s+def')) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS inside, {_TEST} AS test FROM cl)
+SELECT CASE WHEN test THEN 'PY-6.7' ELSE 'PY-4.24' END AS rule_id, rel, line_no, line FROM g WHERE regexp_matches(line, '\\b(?:time[.]sleep|asyncio[.]sleep)\\s*\\(') AND (test OR inside)""")
+def sleep_findings(spark, d):
+    return rulebook.sleeps(code_files(spark, d, "py"))
 
 
 @C.query(f"WITH {TS}, g AS (SELECT *, bool_or(contains(line, 'timer:')) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS guarded FROM cl) SELECT rel, line_no, line FROM g WHERE regexp_matches(line, '\\b(?:setTimeout|setInterval)\\s*\\(') AND NOT guarded")
@@ -113,10 +116,16 @@ def exported_with_neighbours(spark, d):
 
 
 @C.query(f"""WITH {TS}, g AS (SELECT rel, line_no, line, last_value(nullif(trim(line), '') IGNORE NULLS) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cl)
-SELECT rel, line_no FROM g WHERE regexp_matches(line, '^export (?:function|enum|default)') AND NOT coalesce(starts_with(before, '//'), false)""")
+SELECT rel, line_no FROM g WHERE regexp_matches(line, '^export (?:function|enum|default)') AND NOT coalesce(starts_with(before, '/**') OR ends_with(before, '*/'), false)""")
 def exported_without_comment(spark, d):
     rows = rulebook.nearest_filled(code_files(spark, d, "ts"), "^export (?:function|enum|default)")
-    return rows.where(~F.coalesce(F.startswith("before", F.lit("//")), F.lit(False))).select("rel", "line_no")
+    return rows.where(~rulebook.documented_before(F.col("before"))).select("rel", "line_no")
+
+
+@C.query(f"""WITH {PY}, g AS (SELECT rel, line_no, line, first_value(nullif(trim(line), '') IGNORE NULLS) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM cl)
+SELECT rel, line_no FROM g WHERE regexp_matches(line, '^(?:async\\s+)?def\\s+[A-Za-z_]\\w*\\s*\\(|^class\\s+[A-Za-z_]\\w*') AND NOT coalesce(left(after, 3) IN (repeat(chr(34), 3), repeat(chr(39), 3)), false)""")
+def python_without_docstring(spark, d):
+    return rulebook.without_docstring(code_files(spark, d, "py"))
 
 
 @C.query(f"""WITH {PY}, h AS (SELECT rel, line_no, regexp_extract(line, '^\\s*(?:async\\s+)?def\\s+([A-Za-z_]\\w*)\\s*\\(([^)]*)\\)\\s*(?:->\\s*([^:]+))?:', ['n', 'p', 'r']) AS x FROM cl WHERE NOT {_TEST} AND regexp_matches(line, '^\\s*(?:async\\s+)?def\\s+([A-Za-z_]\\w*)\\s*\\(([^)]*)\\)\\s*(?:->\\s*([^:]+))?:')),

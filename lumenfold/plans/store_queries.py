@@ -30,7 +30,7 @@ def tool_outputs(spark: SparkSession, d: str) -> DataFrame:
         c('[{"filename": "a.py", "code": "E5", "message": "m', n, '", "location": {"row": ', line, "}}]"),
         c('{"generalDiagnostics": [{"file": "a.py", "severity": "warning", "message": "m', n, '", "range": {"start": {"line": ', line, "}}}]}"),
         c('{"runs": [{"results": [{"ruleId": "S', n, '", "level": "note", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "u"}, "region": {"startLine": ', line, '}}}]}, {"message": {"text": "k"}, "locations": []}]}]}'),
-        c("src/a.ts(", line, ",7): error TS22: no ", n, "\nFAILED t/x.py::test_a - boom\nother"),
+        c("src/a.ts(", line, ",7): error TS22: no ", n, "\nFAILED t/x.py::test_a - boom\nother\nFAILED t/none.py::test_b\nFAILED t/y.py::A::test_c  -  twice\nsrc/b.ts(1,2):\twarning TS9:   spaced\nsrc/c.ts(1,2): error TS9: "),
         F.lit("[1, 2"), F.lit("all good"))
     return C.table(spark, d, "events").select(i.alias("run_id"), F.concat(F.lit("t"), (i % 8).cast("string")).alias("tool"), F.element_at(texts, (i % 8 + 1).cast("int")).alias("text"))
 
@@ -42,7 +42,7 @@ UNION ALL SELECT run_id, tool, 'error', 'eslint', 'a.ts', 1, 'm' || i FROM r WHE
 UNION ALL SELECT run_id, tool, 'error', 'E5', 'a.py', line, 'm' || i FROM r WHERE k = 2
 UNION ALL SELECT run_id, tool, 'warning', 'pyright', 'a.py', line + 1, 'm' || i FROM r WHERE k = 3
 UNION ALL SELECT run_id, tool, 'info', 'S' || i, 'u', line, 'm' FROM r WHERE k = 4 UNION ALL SELECT run_id, tool, 'warning', 'sarif', '.', 1, 'k' FROM r WHERE k = 4
-UNION ALL SELECT run_id, tool, 'error', 'TS22', 'src/a.ts', line, 'no ' || i FROM r WHERE k = 5 UNION ALL SELECT run_id, tool, 'error', 'pytest', 't/x.py', 1, 'boom' FROM r WHERE k = 5
+UNION ALL SELECT run_id, tool, 'error', 'TS22', 'src/a.ts', line, 'no ' || i FROM r WHERE k = 5 UNION ALL SELECT run_id, tool, 'error', 'pytest', 't/x.py', 1, 'boom' FROM r WHERE k = 5 UNION ALL SELECT run_id, tool, 'error', 'pytest', 't/y.py', 1, 'twice' FROM r WHERE k = 5 UNION ALL SELECT run_id, tool, 'warning', 'TS9', 'src/b.ts', 1, 'spaced' FROM r WHERE k = 5
 UNION ALL SELECT run_id, tool, 'warning', 'HAR-2.4', '.', 1, 'malformed JSON payload' FROM r WHERE k = 6)"""
 
 
