@@ -7,8 +7,9 @@ equal anchors at the same place. So only suffixes around anchors that occur twic
 2. The others' contexts, that is their bytes, are gathered by anchor and sorted as suffixes one bucket at a
    time: a bucket is whole anchors of a bounded number of bytes. Suffixes are sorted by their first V bytes,
    and ties are resolved by ranks of the suffixes at difference-cover positions, worked out beforehand, so
-   memory follows the bucket and not the ties. In the sorted order equal windows are neighbours, and all but
-   the earliest are removed.
+   memory follows the bucket and not the ties. Contexts that are equal throughout, found by sorting them as
+   wholes, take part once for all their holders. In the sorted order equal windows are neighbours, one run, and
+   of all holders of a run's windows all but the earliest are removed.
 3. An anchor of more than `most_runs` contexts is dealt out to several buckets. What is removed in one of them
    is settled; the first windows of each go on to buckets by longer keys, of 60, 90 and at last all 100 bytes
    of the windows, until each key fits into a bucket. Keys that occur once are left out at each step.
@@ -214,8 +215,8 @@ def sort_suffixes(text: np.ndarray, at: np.ndarray, depth: int = LENGTH) -> np.n
     return np.lexsort((position, group))
 
 
-def repeats(text: np.ndarray, at: np.ndarray, order_of: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Which windows text[at:at+LENGTH] equal one that comes earlier by the keys order_of (the last counts most)."""
+def window_runs(text: np.ndarray, at: np.ndarray, order_of: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(run of each window text[at:at+LENGTH], first window of each run): equal windows are neighbours in the suffix order and one run; order_of says which is first (the last key counts most)."""
     order = sort_suffixes(text, at)
     eight = _prefix_keys(text, 8)
     x, y = at[order[:-1]], at[order[1:]]
@@ -224,14 +225,20 @@ def repeats(text: np.ndarray, at: np.ndarray, order_of: tuple[np.ndarray, ...])
         same &= eight[x + k] == eight[y + k]
     run = np.empty(len(at), np.int64)
     run[order] = np.cumsum(np.append(0, ~same)) if len(at) else run
-    first = np.lexsort((*order_of, run))
-    out = np.zeros(len(at), bool)
-    out[first[1:]] = run[first[1:]] == run[first[:-1]]
+    by_run = np.lexsort((*order_of, run))
+    return run, by_run[np.append(True, run[by_run[1:]] != run[by_run[:-1]])[: len(at)]]
+
+
+def repeats(text: np.ndarray, at: np.ndarray, order_of: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which windows text[at:at+LENGTH] equal one that comes earlier by the keys order_of (the last counts most)."""
+    run, first = window_runs(text, at, order_of)
+    out = np.ones(len(at), bool)
+    out[first] = False
     return out
 
 
-def _equal_to_earlier(text: np.ndarray, begin: np.ndarray, size: np.ndarray, order_of: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Which contexts text[begin:begin+size] equal one that comes earlier by the keys order_of: neighbours when contexts are sorted by all their bytes."""
+def _classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray, order_of: tuple[np.ndarray, ...]) -> np.ndarray:
+    """For each context text[begin:begin+size] the earliest one by the keys order_of that is equal to it throughout: itself, or its representative."""
     words = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
     for k in (1, 2, 4):  # the eight bytes from each place on, the first one highest
         words[:-k] = (words[:-k] << np.uint64(8 * k)) | words[k:]
@@ -247,16 +254,16 @@ def _equal_to_earlier(text: np.ndarray, begin: np.ndarray, size: np.ndarray, ord
     for c in (size, *columns):
         new |= c[order[1:]] != c[order[:-1]]
     run[order] = np.cumsum(np.append(0, new))[: len(order)]
-    first = np.lexsort((*order_of, run))
-    out = np.zeros(len(begin), bool)
-    out[first[1:]] = run[first[1:]] == run[first[:-1]]
-    return out
+    by_run = np.lexsort((*order_of, run))
+    first = by_run[np.append(True, run[by_run[1:]] != run[by_run[:-1]])[: len(run)]]
+    return first[run] if len(run) else run
 
 
 def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
     """SORTED_SCHEMA for a bucket's contexts: the windows that occur earlier in it, as runs, and if asked the others with their bytes.
 
-    Contexts are sorted as wholes first, and of equal neighbours all but the earliest go; the windows of the others are sorted as suffixes.
+    Contexts that are equal throughout take part in the suffix sort once, for all that hold them: the windows of one
+    of each are sorted, and a run of equal windows decides for all of these windows in all holders which is the earliest.
     """
     body, off = S.text_view(rows.column("body").combine_chunks() if rows.column("body").num_chunks != 1 else rows.column("body").chunk(0))
     doc_id, h, place = (rows.column(c).to_numpy() for c in ("doc_id", "h", "place"))
@@ -264,17 +271,24 @@ def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
     once = np.append(True, np.any([x[order[1:]] != x[order[:-1]] for x in (doc_id, h, place)], axis=0))
     if not once.all():
         return _resolve(rows.take(pa.array(np.sort(order[once]))), firsts)
-    n = place & _LOW
-    whole = _equal_to_earlier(body, off[:-1], np.diff(off), (place, h, doc_id))
-    if whole.any():
-        rest = _resolve(rows.filter(pa.array(~whole)), firsts)
-        at = _place(place[whole] >> 2 * _BITS, 0, n[whole])
-        own = pa.RecordBatch.from_arrays([pa.array(np.ones(whole.sum(), bool)), *(pa.array(x[whole]) for x in (doc_id, h)), pa.array(at), _bodies(body, off[:-1][whole], np.zeros(whole.sum(), np.int64))], names=rest.schema.names)
-        return pa.Table.from_batches([own, rest]).combine_chunks().to_batches()[0]
-    owner = np.repeat(np.arange(len(n)), n)
-    inside = S.ragged(n)
-    begin = (place >> 2 * _BITS)[owner] + inside
-    gone = repeats(body, off[:-1][owner] + inside, (begin, h[owner], doc_id[owner]))
+    n, start = place & _LOW, place >> 2 * _BITS
+    like = _classes(body, off[:-1], np.diff(off), (place, h, doc_id))
+    rep = np.flatnonzero(like == np.arange(len(n)))
+    owner = np.repeat(rep, n[rep])
+    inside = S.ragged(n[rep])
+    begin = start[owner] + inside
+    run, first = window_runs(body, off[:-1][owner] + inside, (begin, h[owner], doc_id[owner]))
+    earliest = first[run] if len(run) else run  # of each sorted window, the first one of its run
+    gone = earliest != np.arange(len(run))
+    # all holders of the sorted windows, a window's row by row: gone if the first of its run is another one
+    window_of = np.zeros(len(n), np.int64)
+    window_of[rep] = np.cumsum(n[rep]) - n[rep]
+    copy = np.flatnonzero(like != np.arange(len(n)))
+    lead = earliest[np.repeat(window_of[like[copy]], n[copy]) + S.ragged(n[copy])]
+    holder = np.repeat(copy, n[copy])
+    other = (doc_id[owner[lead]] != doc_id[holder]) | (h[owner[lead]] != h[holder]) | (begin[lead] != start[holder] + S.ragged(n[copy]))
+    owner, inside = np.concatenate((owner, holder)), np.concatenate((inside, S.ragged(n[copy])))
+    begin, gone = start[owner] + inside, np.concatenate((gone, other))
     new = np.ones(len(gone), bool)
     new[1:] = (gone[1:] != gone[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)

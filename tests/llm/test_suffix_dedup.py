@@ -110,3 +110,42 @@ def test_sorted_suffixes():
     order = D.sort_suffixes(text, at)
     keys = [text[i : i + 100].tobytes() for i in at[order]]
     assert keys == sorted(keys)
+
+
+def contexts(rows):
+    """A bucket of whole texts as contexts, an anchor at their 60th byte."""
+    import pyarrow as pa
+
+    n = [len(b) - D.LENGTH + 1 for _, b in rows]
+    place = D._place(np.zeros(len(rows), np.int64), np.full(len(rows), 60), np.array(n))
+    return pa.table({"doc_id": pa.array([i for i, _ in rows]), "h": pa.array([0] * len(rows)), "place": pa.array(place), "body": pa.array([b for _, b in rows], pa.binary())})
+
+
+def windows_gone(batch):
+    return {(d, (p >> 14) + k) for g, d, p in zip(*(batch.column(c).to_pylist() for c in ("gone", "doc_id", "place"))) if g for k in range(p & 127)}
+
+
+def test_every_removed_window_is_decided_by_a_run_of_the_suffix_sort(monkeypatch):
+    """Copies, and contexts that share a part. Each distinct context is sorted once; where the sort found no equal windows, only a window's later holders would go."""
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    one, part = noise(180), noise(130)
+    rows = [(5, one), (2, one), (9, one), (3, part + noise(30)), (4, part + noise(30)), (1, b"x" * 170), (7, b"x" * 170), (8, b"x" * 140)]
+    seen, want = set(), set()
+    for doc, body in sorted(rows):
+        for k in range(len(body) - 99):
+            (want.add if body[k : k + 100] in seen else lambda _: None)((doc, k))
+            seen.add(body[k : k + 100])
+    real, asked = D.window_runs, []
+
+    def counted(text, at, order_of):
+        asked.append(len(at))
+        return real(text, at, order_of)
+
+    monkeypatch.setattr(D, "window_runs", counted)
+    for firsts in (False, True):
+        assert windows_gone(D._resolve(contexts(rows), firsts)) == want
+    assert asked == [sum(len(b) - 99 for b in {b for _, b in rows})] * 2  # each distinct context once
+    monkeypatch.setattr(D, "window_runs", lambda text, at, order_of: (np.arange(len(at)), np.arange(len(at))))
+    only_copies = windows_gone(D._resolve(contexts(rows), False))
+    assert only_copies == {(d, k) for d, b in ((5, one), (9, one), (7, b"x" * 170)) for k in range(len(b) - 99)}
