@@ -130,8 +130,9 @@ def rule_findings(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         return hit & ~F.col("line").rlike(ascii_boundaries(rule.unless)) if rule.unless else hit
 
     hits = F.array_compact(F.array(*[F.when(fires(k, r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.detail).alias("detail"))) for k, r in enumerate(rules)]))
-    found = lines.select("rel", (F.col("pos") + 1).cast("long").alias("line_no"), hits.alias("hits")).where(F.size("hits") > 0)
-    return found.select("rel", "line_no", F.explode("hits").alias("hit")).select("hit.rule_id", "rel", "line_no", "hit.detail")
+    # an outer explode: below an inner one a filter would work the array out a second time
+    found = lines.select("rel", (F.col("pos") + 1).cast("long").alias("line_no"), F.explode_outer(hits).alias("hit"))
+    return found.where("hit IS NOT NULL").select("hit.rule_id", "rel", "line_no", "hit.detail")
 
 
 # --- rules that look at lines around a line, on the array of a file's lines: no shuffle puts files together again ---
@@ -196,15 +197,23 @@ def nearest_filled(files: DataFrame, pattern: str) -> DataFrame:
 def multi_line_matches(files: DataFrame, pattern: str) -> DataFrame:
     """(rel, line_no, match): matches of a pattern over whole texts, with the line each starts on.
 
-    A text's parts before its matches are what a split by the pattern leaves; their line feeds and those of
-    the matches before give the line.
+    A text's parts before its matches are what a split by the pattern leaves; one fold with a running line number goes
+    over both, and the matches it has passed are kept in chunks.
     """
+    kind = "array<struct<line_no:long,match:string>>"
     rows = files.where(F.col("text").isNotNull()).select("rel", F.regexp_extract_all("text", F.lit(f"({pattern})"), 1).alias("m"), F.split("text", pattern, -1).alias("gap")).where(F.size("m") > 0)
-    feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    step = F.zip_with("m", "gap", lambda m, g: F.struct(feeds(g).alias("gap"), F.coalesce(feeds(m), F.lit(0)).alias("own"), m.alias("match")))
-    rows = rows.select("rel", F.posexplode(step).alias("k", "s"), step.alias("all"))
-    above = F.aggregate(F.slice("all", F.lit(1), F.col("k")), F.lit(0), lambda acc, x: acc + x["gap"] + x["own"])
-    return rows.where("s.match IS NOT NULL").select("rel", (above + F.col("s.gap") + 1).cast("long").alias("line_no"), F.col("s.match").alias("match"))
+    feeds = lambda s: (F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))).cast("long")
+    steps = F.zip_with("m", "gap", lambda m, g: F.struct(feeds(g).alias("gap"), F.coalesce(feeds(m), F.lit(0)).cast("long").alias("own"), m.alias("match")))
+    first = F.struct(F.lit(1).cast("long").alias("line"), F.array().cast(f"array<{kind}>").alias("full"), F.array().cast(kind).alias("out"))
+
+    def step(acc, x):
+        at, full = acc["line"] + x["gap"], F.size(acc["out"]) >= 256
+        one = F.when(x["match"].isNotNull(), F.array(F.struct(at.alias("line_no"), x["match"].alias("match")))).otherwise(F.array().cast(kind)).cast(kind)
+        kept, out = F.when(full, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"]), F.when(full, one).otherwise(F.concat(acc["out"], one))
+        return F.struct((at + x["own"]).alias("line"), kept.alias("full"), out.cast(kind).alias("out"))
+
+    found = F.aggregate(steps, first, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["out"]))
+    return rows.select("rel", F.inline(found))
 
 
 def untyped_functions(files: DataFrame) -> DataFrame:

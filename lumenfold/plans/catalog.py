@@ -618,4 +618,4 @@ def indent_depth(spark, d):
 
 
 # the other modules of this folder register their queries here as well
-from lumenfold.plans import audit_queries, block_queries, chain_queries, coordination_queries, rule_queries, scope_queries, state_queries, store_queries, stream_queries  # noqa: E402, F401
+from lumenfold.plans import audit_queries, block_queries, chain_queries, common_queries, coordination_queries, rule_queries, scope_queries, state_queries, store_queries, stream_queries  # noqa: E402, F401
