@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import repo_path
+from lumenfold.operators.paths import overlapping
+
 
 def chain_breaks(events: DataFrame) -> DataFrame:
     """(stream, seq, expected): events whose seq doesn't follow the one before in events(stream, seq)."""
@@ -232,3 +235,50 @@ def blocking_owners(blockers: DataFrame, sentinel: str = "request") -> DataFrame
 def next_recipients(intents: DataFrame, releaser) -> DataFrame:
     """(path, lane, writer): who is told of a release: each lane's first intent of intents(path, lane, writer, ordinal), without the releaser."""
     return intents.where(F.col("writer") != releaser).groupBy("path", "lane").agg(F.min_by("writer", "ordinal").alias("writer"))
+
+
+_HARD = ("global-write-conflict", "write-lock-conflict", "branch-write-conflict")
+
+
+def conflict_paths(claims: DataFrame) -> DataFrame:
+    """(path) that writers of claims(writer, worktree, branch, operation, path) hold against one another: two in a worktree or on a branch, or two at all of a singleton."""
+    held = claims.where("operation <> 'inspect'").select("path", "worktree", "branch", "writer").distinct()
+    shared = lambda *by: held.groupBy("path", *by).agg(F.countDistinct("writer").alias("n")).where("n > 1").select("path")
+    return shared("worktree").unionByName(shared("branch")).unionByName(shared().where(singleton(F.col("path")))).distinct()
+
+
+def focused_guard(requests: DataFrame, claims: DataFrame, focused: bool = True) -> DataFrame:
+    """(request_id, operation, blocked, hard, merge_risks, unowned, global_warnings) of requests(request_id, writer, worktree, branch, operation, path), a row a path.
+
+    A claim concerns a request if its path is the requested one, above it or below it. `hard` and `merge_risks` count
+    claims of others that do, by BLOCKING's kinds; `unowned` counts paths that the writer has not claimed in its worktree, which
+    a commit must. `global_warnings` counts conflict_paths elsewhere: a focused guard reports them, another blocks on
+    them too. To inspect is never blocked: what concerns it is a warning as well.
+    """
+    claims = claims.withColumn("path", repo_path(F.col("path")))
+    requests = requests.withColumn("path", repo_path(F.col("path"))).withColumn("path", F.coalesce("path", F.lit("")))
+    held = claims.where("operation <> 'inspect' AND path IS NOT NULL").groupBy("path", "worktree", "branch", "writer").agg(F.count("*").alias("n"))
+    whole = held.groupBy("path", "worktree", "branch").agg(F.sum("n").alias("n"))
+    paths = lambda rows, side: rows.select(F.lit(0).alias(f"{side}_id"), F.col("path").alias(f"{side}_path")).distinct()
+    touching = overlapping(paths(requests, "left"), paths(held, "right")).select(F.col("left_path").alias("path"), F.col("right_path").alias("held"))
+    near = requests.join(touching, "path")
+    theirs = whole.select(F.col("path").alias("held"), F.col("worktree").alias("w"), F.col("branch").alias("b"), "n")
+    mine = held.select(F.col("path").alias("held"), F.col("worktree").alias("w"), F.col("branch").alias("b"), "writer", F.col("n").alias("own"))
+    j = near.join(theirs, "held").join(mine, ["held", "w", "b", "writer"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0)))
+    same = F.col("worktree") == F.col("w")
+    kind = F.when(singleton(F.col("held")), _HARD[0]).when(same, _HARD[1]).when(F.col("branch") == F.col("b"), _HARD[2]).otherwise("merge-risk")
+    hard = kind != "merge-risk"
+    found = j.groupBy("request_id", "path").agg(
+        F.sum(F.when(hard, F.col("n")).otherwise(0)).alias("hard"), F.sum(F.when(~hard, F.col("n")).otherwise(0)).alias("merge_risks"), F.bool_or(same & (F.coalesce("own", F.lit(0)) > 0)).alias("owned"))
+    clashing = conflict_paths(claims)
+    total = clashing.agg(F.count("*")).first()[0]
+    here = requests.select("request_id", "path").join(touching.join(clashing.select(F.col("path").alias("held")), "held", "left_semi"), "path").groupBy("request_id").agg(F.countDistinct("held").alias("here"))
+    per = requests.select("request_id", "operation", "path").distinct().join(found, ["request_id", "path"], "left").groupBy("request_id", "operation").agg(
+        F.sum(F.coalesce("hard", F.lit(0))).alias("hard"), F.sum(F.coalesce("merge_risks", F.lit(0))).alias("merge_risks"), F.count_if(~F.coalesce("owned", F.lit(False))).alias("unowned"))
+    elsewhere = F.lit(total) - F.coalesce("here", F.lit(0))
+    inspect = F.col("operation") == "inspect"
+    stops = lambda kinds: F.col("operation").isin(*[o for o, k in BLOCKING.items() if kinds in k])
+    blocked = (stops("write-lock-conflict") & (F.col("hard") > 0)) | (stops("merge-risk") & (F.col("merge_risks") > 0)) | ((F.col("operation") == "commit") & (F.col("unowned") > 0))
+    blocked = blocked if focused else blocked | (~inspect & (elsewhere + F.coalesce("here", F.lit(0)) > 0))
+    warnings = F.when(inspect, elsewhere + F.col("hard") + F.col("merge_risks")).otherwise(elsewhere)
+    return per.join(here, "request_id", "left").select("request_id", "operation", F.coalesce(blocked, F.lit(False)).alias("blocked"), "hard", "merge_risks", "unowned", warnings.cast("long").alias("global_warnings"))

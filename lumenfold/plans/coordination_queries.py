@@ -151,3 +151,21 @@ def server_staleness(spark, d):
     old = e.where(k % 6 != 0).select(rel, F.md5("text").alias("sha256"))
     new = e.where(k % 7 != 0).select(rel, F.when(k % 5 == 0, "new").otherwise(F.md5("text")).alias("sha256"))
     return evidence.hash_diff(old, new).groupBy("status").agg(F.count("*").alias("n")).withColumn("stale", F.col("n") > 0)
+
+
+# files and folders of a tree that grows with the table; a third of the claims are folders above the files that others ask for
+_TREE = """c AS (SELECT event_id AS id, 'u' || user_id % 29 AS writer, user_id % 5 AS worktree, event_type AS branch, ['inspect', 'edit', 'commit', 'merge', 'push'][event_id % 5 + 1] AS operation,
+'src/m' || event_id // 40 || CASE WHEN event_id % 3 = 0 THEN '' ELSE '/f' || event_id % 7 || '.ts' END AS path FROM events), held AS (SELECT * FROM c WHERE id % 4 = 1 AND operation <> 'inspect'), req AS (SELECT * FROM c WHERE id % 4 <> 1)"""
+
+
+@C.query(f"""WITH {_TREE}, t AS (SELECT r.id, h.writer = r.writer AS own, h.worktree = r.worktree AS w, h.branch = r.branch AS b, h.path AS held FROM req r JOIN held h ON r.path = h.path OR starts_with(r.path, h.path || '/') OR starts_with(h.path, r.path || '/')),
+s AS (SELECT id, count(*) FILTER (NOT own AND (w OR b)) AS hard, count(*) FILTER (NOT own AND NOT w AND NOT b) AS risks, coalesce(bool_or(own AND w), false) AS owned FROM t GROUP BY 1),
+k AS (SELECT path FROM held GROUP BY path, worktree HAVING count(DISTINCT writer) > 1 UNION SELECT path FROM held GROUP BY path, branch HAVING count(DISTINCT writer) > 1), n AS (SELECT count(*) AS n FROM k), here AS (SELECT id, count(DISTINCT held) AS n FROM t WHERE held IN (SELECT path FROM k) GROUP BY 1),
+j AS (SELECT r.id, r.operation, coalesce(s.hard, 0) AS hard, coalesce(s.risks, 0) AS merge_risks, CASE WHEN coalesce(s.owned, false) THEN 0 ELSE 1 END AS unowned, n.n - coalesce(here.n, 0) AS elsewhere FROM req r CROSS JOIN n LEFT JOIN s ON s.id = r.id LEFT JOIN here ON here.id = r.id)
+SELECT id AS request_id, operation, (operation <> 'inspect' AND hard > 0) OR (operation = 'merge' AND merge_risks > 0) OR (operation = 'commit' AND unowned > 0) AS blocked, hard::BIGINT AS hard, merge_risks::BIGINT AS merge_risks, unowned::BIGINT AS unowned, elsewhere + CASE WHEN operation = 'inspect' THEN hard + merge_risks ELSE 0 END AS global_warnings FROM j""")
+def focused_guard(spark, d):
+    i = F.col("event_id")
+    path = F.concat(F.lit("src/m"), F.floor(i / 40).cast("string"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("/f"), (i % 7).cast("string"), F.lit(".ts"))))
+    operation = F.element_at(F.array(*map(F.lit, ("inspect", "edit", "commit", "merge", "push"))), (i % 5 + 1).cast("int"))
+    c = C.table(spark, d, "events").select(i.alias("request_id"), F.concat(F.lit("u"), (F.col("user_id") % 29).cast("string")).alias("writer"), (F.col("user_id") % 5).alias("worktree"), F.col("event_type").alias("branch"), operation.alias("operation"), path.alias("path"))
+    return ledger.focused_guard(c.where("request_id % 4 <> 1"), c.where("request_id % 4 = 1"))
