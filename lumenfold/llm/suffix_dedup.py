@@ -262,8 +262,8 @@ def _classes(text: np.ndarray, begin: np.ndarray, size: np.ndarray, order_of: tu
 def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
     """SORTED_SCHEMA for a bucket's contexts: the windows that occur earlier in it, as runs, and if asked the others with their bytes.
 
-    Contexts that are equal throughout take part in the suffix sort once, for all that hold them: the windows of one
-    of each are sorted, and a run of equal windows decides for all of these windows in all holders which is the earliest.
+    Contexts that are equal throughout take part in the suffix sort once, for all that hold them: the windows of the
+    earliest of each are sorted, and of a run of equal windows the first stays. It is a sorted one, so what later holders have goes.
     """
     body, off = S.text_view(rows.column("body").combine_chunks() if rows.column("body").num_chunks != 1 else rows.column("body").chunk(0))
     doc_id, h, place = (rows.column(c).to_numpy() for c in ("doc_id", "h", "place"))
@@ -278,17 +278,8 @@ def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
     inside = S.ragged(n[rep])
     begin = start[owner] + inside
     run, first = window_runs(body, off[:-1][owner] + inside, (begin, h[owner], doc_id[owner]))
-    earliest = first[run] if len(run) else run  # of each sorted window, the first one of its run
-    gone = earliest != np.arange(len(run))
-    # all holders of the sorted windows, a window's row by row: gone if the first of its run is another one
-    window_of = np.zeros(len(n), np.int64)
-    window_of[rep] = np.cumsum(n[rep]) - n[rep]
-    copy = np.flatnonzero(like != np.arange(len(n)))
-    lead = earliest[np.repeat(window_of[like[copy]], n[copy]) + S.ragged(n[copy])]
-    holder = np.repeat(copy, n[copy])
-    other = (doc_id[owner[lead]] != doc_id[holder]) | (h[owner[lead]] != h[holder]) | (begin[lead] != start[holder] + S.ragged(n[copy]))
-    owner, inside = np.concatenate((owner, holder)), np.concatenate((inside, S.ragged(n[copy])))
-    begin, gone = start[owner] + inside, np.concatenate((gone, other))
+    gone = np.ones(len(run), bool)
+    gone[first] = False
     new = np.ones(len(gone), bool)
     new[1:] = (gone[1:] != gone[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
@@ -299,8 +290,12 @@ def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
     own, inner = owner[first], inside[first]
     anchor = ((place >> _BITS) & _LOW)[own]
     at = _place(begin[first], np.where(gone[first], 0, anchor - inner), many)
-    bodies = _bodies(body, off[own] + inner, np.where(gone[first], 0, many + LENGTH - 1))
-    return pa.RecordBatch.from_arrays([pa.array(gone[first]), pa.array(doc_id[own]), pa.array(h[own]), pa.array(at), bodies], names=["gone", "doc_id", "h", "place", "body"])
+    gone, size = gone[first], np.where(gone[first], 0, many + LENGTH - 1)
+    # the first of a run is a sorted window, so whoever else holds the context holds none of them: all its windows are gone
+    copy = np.flatnonzero(like != np.arange(len(n)))
+    own, inner = np.concatenate((own, copy)), np.concatenate((inner, np.zeros(len(copy), np.int64)))
+    at, gone, size = np.concatenate((at, _place(start[copy], 0, n[copy]))), np.concatenate((gone, np.ones(len(copy), bool))), np.concatenate((size, np.zeros(len(copy), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(gone), pa.array(doc_id[own]), pa.array(h[own]), pa.array(at), _bodies(body, off[own] + inner, size)], names=["gone", "doc_id", "h", "place", "body"])
 
 
 def _sort_buckets(bucket_bytes: int):
