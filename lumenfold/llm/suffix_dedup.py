@@ -277,7 +277,8 @@ def _resolve(rows: pa.Table, firsts: bool) -> pa.RecordBatch:
     owner = np.repeat(rep, n[rep])
     inside = S.ragged(n[rep])
     begin = start[owner] + inside
-    run, first = window_runs(body, off[:-1][owner] + inside, (begin, h[owner], doc_id[owner]))
+    text, at = S.text_view(rows.column("body").combine_chunks().take(pa.array(rep))) if len(rep) < len(n) else (body, off)
+    run, first = window_runs(text, np.repeat(at[:-1], n[rep]) + inside, (begin, h[owner], doc_id[owner]))
     gone = np.ones(len(run), bool)
     gone[first] = False
     new = np.ones(len(gone), bool)
