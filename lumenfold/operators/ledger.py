@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import repo_path
 from lumenfold.operators.paths import overlapping
+from lumenfold.sources.stores import settled
 
 
 def chain_breaks(events: DataFrame) -> DataFrame:
@@ -282,3 +283,51 @@ def focused_guard(requests: DataFrame, claims: DataFrame, focused: bool = True)
     blocked = blocked if focused else blocked | (~inspect & (elsewhere + F.coalesce("here", F.lit(0)) > 0))
     warnings = F.when(inspect, elsewhere + F.col("hard") + F.col("merge_risks")).otherwise(elsewhere)
     return per.join(here, "request_id", "left").select("request_id", "operation", F.coalesce(blocked, F.lit(False)).alias("blocked"), "hard", "merge_risks", "unowned", warnings.cast("long").alias("global_warnings"))
+
+
+def closeout_matches(lane: str | None = None, writer: str | None = None, node: str | None = None, **context: str) -> Column:
+    """Which claims(writer `node.lane`, ...) a closeout is about: those of a lane, writer and node, and with these values in the columns named; None asks for nothing."""
+    out = F.lit(True)
+    if lane is not None:
+        out &= F.regexp_extract("writer", r"^[^.]*\.(.*)$", 1) == lane
+    if writer is not None:
+        out &= F.col("writer") == writer
+    if node is not None:
+        out &= F.startswith(F.col("writer"), F.lit(f"{node}."))
+    for name, value in context.items():
+        out &= F.coalesce(F.col(name) == value, F.lit(False)) if value is not None else F.lit(True)
+    return out
+
+
+def closeout_run(events: DataFrame, time: str, node: str, matches: Column, contexts: DataFrame | None = None) -> DataFrame:
+    """One row (initial, released, repaired, remaining, ok): a closeout by `node` on events(kind, writer, path, owner, owners, time).
+
+    The claims that match, by contexts(writer, path, ...) too where given, are released in the name of the node's writers of
+    their lanes; the ledger is folded again, what still matches is resolved by owner, and after one more fold nothing
+    should be left. A claim of another node is not released but resolved.
+    """
+    def matching(all_events: DataFrame) -> DataFrame:
+        held = owned_by_form(all_events, [time])
+        return (held.join(contexts, ["writer", "path"], "left") if contexts is not None else held).where(matches).select("writer", "path")
+
+    columns = {"kind": "string", "writer": "string", "path": "string", "owner": "string", "owners": "array<string>", time: events.schema[time].dataType}
+    events = events.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+    last = events.agg(F.max(time)).first()[0]
+
+    def told(kind: str, rows: DataFrame, after: int, **values: Column) -> DataFrame:
+        at = F.lit(last).cast(columns[time]) + (F.expr(f"INTERVAL {after} SECOND") if "time" in str(columns[time]).lower() else after)
+        filled = {"kind": F.lit(kind), "path": F.col("path"), time: at, **values}
+        return rows.select(*[filled.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+    first = settled(matching(events), "closeout-claims")
+    own = F.concat(F.lit(f"{node}."), F.regexp_extract("writer", r"^[^.]*\.(.*)$", 1))
+    releases = told("release", first.select("path", own.alias("writer")).distinct(), 1, writer=F.col("writer"))
+    second = settled(matching(events.unionByName(releases)), "closeout-stale")
+    resolves = told("resolve", second.groupBy("path").agg(F.collect_set("writer").alias("owners")), 2, owners=F.col("owners"))
+    left = matching(events.unionByName(releases).unionByName(resolves))
+    counts = None
+    for name, rows in (("initial", first), ("stale", second), ("remaining", left), ("released", releases)):
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    n = lambda name: F.max(F.when(F.col("name") == name, F.col("n")))
+    return counts.agg(n("initial").alias("initial"), n("released").alias("released"), n("stale").alias("repaired"), n("remaining").alias("remaining")).withColumn("ok", F.col("remaining") == 0)

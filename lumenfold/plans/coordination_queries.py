@@ -169,3 +169,18 @@ def focused_guard(spark, d):
     operation = F.element_at(F.array(*map(F.lit, ("inspect", "edit", "commit", "merge", "push"))), (i % 5 + 1).cast("int"))
     c = C.table(spark, d, "events").select(i.alias("request_id"), F.concat(F.lit("u"), (F.col("user_id") % 29).cast("string")).alias("writer"), (F.col("user_id") % 5).alias("worktree"), F.col("event_type").alias("branch"), operation.alias("operation"), path.alias("path"))
     return ledger.focused_guard(c.where("request_id % 4 <> 1"), c.where("request_id % 4 = 1"))
+
+
+_NODES = _CLAIMS.replace("'w' || user_id % 7 AS writer", "'n' || user_id % 3 || '.l' || user_id % 5 AS writer").replace("'w' || event_id % 7", "'n' || event_id % 3 || '.l' || event_id % 5").replace("'w' || (event_id + 1) % 7", "'n' || (event_id + 1) % 3 || '.l' || (event_id + 1) % 5")
+
+
+@C.query(f"""WITH {_NODES}, c AS (SELECT path, writer, max(event_id) AS t FROM o WHERE kind = 'claim' GROUP BY ALL), h AS (SELECT writer, path FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = c.path AND o.event_id > c.t AND ((o.kind = 'release' AND o.writer = c.writer)
+OR (o.kind = 'resolve' AND CASE WHEN o.owner IS NOT NULL THEN o.owner <> c.writer WHEN o.owners IS NOT NULL THEN list_contains(o.owners, c.writer) ELSE true END)))), m AS (SELECT * FROM h WHERE split_part(writer, '.', 2) = 'l2')
+SELECT count(*) AS initial, count(DISTINCT path) AS released, count(*) FILTER (writer <> 'n1.l2') AS repaired, 0::BIGINT AS remaining, true AS ok FROM m""")
+def closeout_run(spark, d):
+    i, t = F.col("event_id"), F.col("event_type")
+    name = lambda a: F.concat(F.lit("n"), (a % 3).cast("string"), F.lit(".l"), (a % 5).cast("string"))
+    kind = F.when(t == "signup", "claim").when(t == "click", "intent").when(t == "view", "release").when(t == "error", "resolve")
+    path = F.concat(F.lit("src/"), F.floor(i / 97).cast("string"), F.lit("/a.ts"))
+    e = C.table(spark, d, "events").select("event_id", kind.alias("kind"), name(F.col("user_id")).alias("writer"), path.alias("path"), F.when(i % 3 == 0, name(i)).alias("owner"), F.when(i % 3 == 1, F.array(name(i), name(i + 1))).alias("owners"))
+    return ledger.closeout_run(e, "event_id", "n1", ledger.closeout_matches(lane="l2"))

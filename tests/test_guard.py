@@ -32,3 +32,18 @@ def test_folders_branches_singletons_and_several_paths(spark):
     requests = [(1, "z", "w1", "zz", "edit", "src/deep/f.ts"), (2, "z", "w3", "one", "edit", "src/f.ts"), (3, "z", "w3", "three", "edit", "src/f.ts"), (3, "z", "w3", "three", "edit", "b.ts"), (4, "z", "w3", "three", "pr_ready", "src/f.ts"), (5, "z", "w9", "nine", "edit", "a"), (6, "z", "w", "b", "edit", None)]
     assert guard(spark, requests, claims) == {1: (True, 1, 0, 1, 0), 2: (True, 1, 0, 1, 0), 3: (False, 0, 1, 2, 0), 4: (True, 0, 1, 1, 0), 5: (True, 1, 0, 1, 0), 6: (False, 0, 0, 1, 0)}
     assert guard(spark, requests, []) == {k: (False, 0, 0, 2 if k == 3 else 1, 0) for k in range(1, 7)}
+
+
+EVENT = "kind string, writer string, path string, owner string, owners array<string>, at int"
+
+
+def test_closeout_releases_own_claims_and_resolves_the_others(spark):
+    events = [("claim", "n1.a", "x", None, None, 1), ("claim", "n2.a", "x", None, None, 2), ("claim", "n1.b", "y", None, None, 3), ("claim", "n1.a", "z", None, None, 4), ("release", "n1.a", "z", None, None, 5)]
+    e = spark.createDataFrame(events, EVENT)
+    one = lambda df: tuple(df.first())
+    assert one(ledger.closeout_run(e, "at", "n1", ledger.closeout_matches(lane="a"))) == (2, 1, 1, 0, True)
+    assert one(ledger.closeout_run(e, "at", "n1", ledger.closeout_matches(lane="a", node="n1"))) == (1, 1, 0, 0, True)
+    assert one(ledger.closeout_run(e, "at", "n1", ledger.closeout_matches())) == (3, 2, 1, 0, True)
+    assert one(ledger.closeout_run(e, "at", "n1", ledger.closeout_matches(lane="none"))) == (0, 0, 0, 0, True)
+    contexts = spark.createDataFrame([("n1.a", "x", "t1"), ("n1.b", "y", "t2")], "writer string, path string, thread string")
+    assert one(ledger.closeout_run(e, "at", "n1", ledger.closeout_matches(thread="t2"), contexts)) == (1, 1, 0, 0, True)
