@@ -118,7 +118,7 @@ class Automaton:
 
 
 def _slices(literals: DataFrame) -> list[DataFrame]:
-    """literals(literal_id, literal) in parts that fit into an automaton."""
+    """literals(literal) in parts that fit into an automaton."""
     n, size = literals.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("literal")), F.lit(0))).first()
     parts = max(-(-size // SLICE_BYTES), -(-n // SLICE_ROWS))
     if parts == 1:
@@ -132,21 +132,22 @@ def occurrences(texts: DataFrame, literals: DataFrame, key: str = "rel", tokens:
 
     Occurrences may overlap; with `tokens`, none counts that touches a letter, a digit or one of `@._/-`. Texts are read once for each slice of the literals, which is one slice up to SLICE_BYTES and
     SLICE_ROWS; a task holds a slice's automaton and one block of texts, or one longer text. Null texts hold nothing, null
-    and empty literals are in no text; literals that are equal are each found.
+    and empty literals are in no text; literals that are equal are each found: the automaton has them once, and what is found meets
+    their ids in a join.
     """
     spark, out = texts.sparkSession, None
     rows = texts.where(F.col("text").isNotNull()).select(F.col(key).alias("key"), F.col("text").cast("binary").alias("text"))
     kind = rows.schema["key"].dataType
-    schema = f"`{key}` {kind.simpleString()}, literal_id long, n long, first long"
-    wanted = literals.where("literal <> ''").select(F.col("literal_id").cast("long").alias("literal_id"), F.col("literal").cast("binary").alias("literal"))
-    for part in _slices(wanted):
+    schema = f"`{key}` {kind.simpleString()}, literal binary, n long, first long"
+    ids = literals.where("literal <> ''").select(F.col("literal_id").cast("long").alias("literal_id"), F.col("literal").cast("binary").alias("literal"))
+    for part in _slices(ids.select("literal").distinct()):
         held = part.collect()  # bounded by the size of a slice
         if not held:
             continue
-        shared = spark.sparkContext.broadcast((Automaton([bytes(r.literal) for r in held]), np.array([r.literal_id for r in held], np.int64)))
+        shared = spark.sparkContext.broadcast(Automaton([bytes(r.literal) for r in held]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton, ids = shared.value
+            automaton = shared.value
             for batch in batches:
                 texts, at = batch.column(1).to_pylist(), 0
                 while at < len(texts):
@@ -159,9 +160,12 @@ def occurrences(texts: DataFrame, literals: DataFrame, key: str = "rel", tokens:
                     text, literal, begin = text[order], literal[order], begin[order]
                     new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (literal[1:] != literal[:-1]))[: len(text)])
                     n = np.diff(np.append(new, len(text)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[new] + at)), pa.array(ids[literal[new]]), pa.array(n), pa.array(begin[new])], names=[key, "literal_id", "n", "first"])
+                    found = pa.array([automaton.literals[x] for x in literal[new].tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[new] + at)), found, pa.array(n), pa.array(begin[new])], names=[key, "literal", "n", "first"])
                     at = to
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    if out is None:
+        return spark.createDataFrame([], f"`{key}` {kind.simpleString()}, literal_id long, n long, first long")
+    return out.join(ids, "literal").select(key, "literal_id", "n", "first")

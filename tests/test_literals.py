@@ -67,3 +67,12 @@ def test_cost_does_not_follow_the_number_of_literals():
         automaton.find(texts)
         took.append(time.perf_counter() - began)
     assert took[1] < 4 * took[0]
+
+
+def test_equal_literals_are_in_the_automaton_once(spark, monkeypatch):
+    made, real = [], literals._slices
+    monkeypatch.setattr(literals, "_slices", lambda held: made.append(held.count()) or real(held))
+    files = spark.createDataFrame([("a", "red green"), ("b", "infrared"), ("c", "blue")], "rel string, text string")
+    words = spark.range(600).selectExpr("id AS literal_id", "CASE WHEN id % 2 = 0 THEN 'red' ELSE 'grey' END AS literal")
+    got = literals.occurrences(files, words, tokens=True).collect()
+    assert made == [2] and sorted(tuple(r) for r in got) == [("a", k, 1, 0) for k in range(0, 600, 2)]
