@@ -49,9 +49,9 @@ def chain_stream(spark, d):
     root = shared_folder(spark, "chains")
     sealed = chain_queries.sealed(spark, d).withColumn("stream", F.col("stream").cast("string"))
     # the envelope holds the stream as text either way, so the digests stay right
-    write_ndjson(sealed.where("ordinal % 50 <> 3").repartition(4, "id").select("stream", "seq", "id", "type", "ts", "payload", "prev_id", "prev_hash", "hash"), f"{root}/in")
+    write_ndjson(sealed.where("ordinal % 50 <> 3").repartition("id").select("stream", "seq", "id", "type", "ts", "payload", "prev_id", "prev_hash", "hash"), f"{root}/in")
     end = one_row(spark, root)
-    events = chains.event_lines(spark, f"{root}/in")
+    events = chains.event_lines(spark, f"{root}/in", 1_000_000)  # all files in one batch, as the last row closes it
     last = end.select(*[{"stream": F.lit("end"), "seq": F.lit(1), "ts": F.lit(available.END_OF_TIME)}.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in events.schema])
     report = available.run_available(chains.chain_report(events.unionByName(last), "3650 days"), root, "update")
     return report.where("stream <> 'end'").select("stream", "seq", "code")

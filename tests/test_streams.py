@@ -120,3 +120,46 @@ def test_closing_row(spark, tmp_path):
     stream = inbox.unread(available.closed(read(spark, tmp_path / "m", MESSAGE), "at", end, message_id="end"), available.closed(read(spark, tmp_path / "a", ACK), "acked_at", end, message_id="end"), "5 HOURS")
     assert [r.message_id for r in available.run_available(stream, f"file://{tmp_path}/out").collect()] == ["u"]
     assert available.closed(spark.createDataFrame([("m", at(0), "x")], MESSAGE), "at", spark.range(1)).where(F.col("message_id").isNull()).count() == 1
+
+
+class Store:
+    """A handle of one stream's state in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.value, self.map = 0, set(), None, {}
+
+    def getValueState(self, name, schema):
+        store = self
+        return type("V", (), {"exists": lambda _: store.value is not None, "get": lambda _: store.value, "update": lambda _, v: setattr(store, "value", v)})()
+
+    def getMapState(self, name, keys, values):
+        return self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {"getValue": self.map.get, "containsKey": self.map.__contains__, "updateValue": self.map.__setitem__, "removeKey": self.map.pop, "iterator": lambda: iter(list(self.map.items())), "keys": lambda: iter(list(self.map)), "registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[name](*args)
+
+        return call
+
+
+def test_a_long_run_of_early_events_takes_few_calls_to_the_state():
+    import random
+
+    import pandas as pd
+
+    n, store = 3000, Store()
+    rows = [(k, f"e{k}", f"e{k - 1}" if k > 1 else None, f"h{k - 1}" if k > 1 else None, f"h{k}", True, 1000 + k) for k in range(1, n + 1) if k not in (2, 700, 2500)]
+    random.Random(1).shuffle(rows)
+    one = chains._Chain()
+    one.init(store)
+    frame = pd.DataFrame(rows, columns=["seq", "id", "prev_id", "prev_hash", "hash", "sound", "at_ms"])
+    told = [r for part in (frame[:1000], frame[1000:]) for f in one.handleInputRows(("s",), iter([part]), None) for r in f.itertuples(index=False, name=None)]
+    assert told == [("s", 1, "ok")] and len(store.timers) == 1
+    for watermark in (3000, 1 << 40):  # it first passes number 2,000, then all
+        due = store.timers.pop()
+        assert not store.timers
+        told += [r for f in one.handleExpiredTimer(("s",), type("T", (), {"getCurrentWatermarkInMs": lambda s: watermark})(), type("E", (), {"getExpiryTimeInMs": lambda s: due})()) for r in f.itertuples(index=False, name=None)]
+        assert told[-1] == ("s", 2499 if watermark == 3000 else n, "ok")
+    assert sorted(told) == sorted([("s", k, "gap" if k in (2, 700, 2500) else "ok") for k in range(1, n + 1)]) and not store.map
+    assert store.calls < 200
