@@ -48,6 +48,18 @@ def test_ten_thousand_globs_without_a_nested_loop(spark):
     assert out.count() == 20_000 and out.where("w IS NULL").isEmpty()
 
 
+def test_equal_globs_and_beginnings_of_names_meet_few_paths(spark, monkeypatch):
+    p = spark.range(2000).select(F.concat(F.lit("src/"), F.col("id").cast("string"), F.lit(".ts")).alias("rel"))
+    g = spark.range(2000).selectExpr("id AS ordinal", "CASE id % 3 WHEN 0 THEN 'src/' || id || '.*' WHEN 1 THEN '*/' || id || '*.ts' ELSE 'src/**' END AS glob", "id AS value", "'k' AS key")
+    seen, real = [], globs.matches
+    monkeypatch.setattr(globs, "matches", lambda paths, once, *a: seen.append(once.count()) or real(paths, once, *a))
+    got = {r.rel: r.value for r in globs.last_values(p, g).collect()}
+    assert seen == [667 + 667 + 1] and (got["src/5.ts"], got["src/1999.ts"]) == (1997, 1999)
+    _, anchored = globs.anchor(F.col("glob"))
+    keys = g.where("glob <> 'src/**'").select(anchored.alias("_key")).groupBy("_key").count()
+    assert keys.agg(F.max("count")).first()[0] == 1  # no anchor has more than its own glob
+
+
 W = "ordinal int, rule_id string, waiver_id string, owner string, issue string, reason string, scope array<string>, expires string, ci_allowed boolean, visible boolean"
 
 
