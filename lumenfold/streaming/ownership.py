@@ -60,12 +60,15 @@ def ownership_changes(events: DataFrame) -> DataFrame:
 def fold_available(events: DataFrame) -> DataFrame:
     """(writer, path, since) held after all that a stream has now, by way of a change log in the shared folder.
 
-    The log and the stream's checkpoint are in spark.checkpoint.dir; in local mode, in a folder of our own where that is
+    The stream keeps grouped maxima by (ts, event_id), combined before the shuffle: each writer's last claim or release of a
+    path, and a path's last resolve. Holders are worked out once, from the log's last rows. The log and the stream's checkpoint are in spark.checkpoint.dir; in local mode, in a folder of our own where that is
     unset. A stream that has nothing gives nothing.
     """
     spark = events.sparkSession
     root, provider = shared_folder(spark, "ownership"), "spark.sql.streaming.stateStore.providerClass"
-    spark.createDataFrame([], OUT).write.parquet(f"{root}/log/batch=-1")
+    resolve = F.col("kind") == "resolve"
+    last = events.groupBy("path", resolve.alias("resolve"), F.when(~resolve, F.col("writer")).alias("writer")).agg(F.max(F.struct("ts", "event_id", "kind")).alias("last"))
+    spark.createDataFrame([], last.schema).write.parquet(f"{root}/log/batch=-1")
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -73,10 +76,13 @@ def fold_available(events: DataFrame) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/log/batch={number}")  # a batch that runs again replaces itself
 
     try:
-        changes = ownership_changes(events).writeStream.outputMode("update").foreachBatch(append)
+        changes = last.writeStream.outputMode("update").foreachBatch(append)
         changes.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
-    log = spark.read.schema(OUT + ", batch long").option("basePath", f"{root}/log").parquet(f"{root}/log")
-    last = log.groupBy("writer", "path").agg(F.max_by(F.struct("held", "since"), "batch").alias("s"))
-    return last.where("s.held").select("writer", "path", "s.since")
+    log = spark.read.schema(last.schema).option("basePath", f"{root}/log").parquet(f"{root}/log")
+    log = log.groupBy("path", "resolve", "writer").agg(F.max("last").alias("last"))
+    resolved = log.where("resolve").select(F.col("path").alias("_path"), F.struct("last.ts", "last.event_id").alias("_resolved"))
+    claims = log.where("NOT resolve AND last.kind = 'claim'").join(resolved, F.col("path").eqNullSafe(F.col("_path")), "left")
+    held = F.col("_resolved").isNull() | (F.struct("last.ts", "last.event_id") > F.col("_resolved"))
+    return claims.where(held).select("writer", "path", F.col("last.ts").alias("since"))

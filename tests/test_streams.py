@@ -122,6 +122,16 @@ def test_closing_row(spark, tmp_path):
     assert available.closed(spark.createDataFrame([("m", at(0), "x")], MESSAGE), "at", spark.range(1)).where(F.col("message_id").isNull()).count() == 1
 
 
+def test_ownership_is_folded_without_rows_in_python(spark, tmp_path, monkeypatch):
+    from lumenfold.streaming import ownership
+
+    monkeypatch.setattr(ownership, "_Holders", None)  # no state by row
+    rows = [(1, at(0), "claim", "a", "p"), (2, at(1), "claim", "b", "p"), (3, at(0.5), "resolve", "z", "p"), (4, at(1), "claim", "a", None), (5, at(2), "resolve", "z", None), (6, at(3), "claim", "c", "q"), (7, at(4), "release", "c", "q")]
+    schema = "event_id long, ts timestamp, kind string, writer string, path string"
+    put(spark, tmp_path / "e", 1, rows, schema)
+    assert [tuple(r) for r in ownership.fold_available(read(spark, tmp_path / "e", schema)).collect()] == [("b", "p", at(1))]
+
+
 class Store:
     """A handle of one stream's state in memory that counts the calls."""
 
