@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,23 +130,49 @@ def lockfile_policy(manifests: DataFrame, files: DataFrame, lockfiles: list[str]
     return j.where("n <> 1").select("rel", "n", F.when(F.col("n") == 0, "no-lockfile").otherwise("several-lockfiles").alias("code"))
 
 
+# Bytes of texts that are read at once, and entries in a batch that is given back.
+BLOCK, ENTRIES = 8 << 20, 10_000
+# Fixed values, for RE2: white space, and the end of a line that may have one more line end, or none, within it.
+_WS, _EOL = r"[ \t\n\x0B\f\r]", r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?\z"
+_HEAD = rf"\A{_WS}*\[+{_WS}*(?P<section>[^\]]+?){_WS}*\]+{_WS}*{_EOL}"
+_PAIR = rf"\A{_WS}*(?P<key>[A-Za-z0-9_.\"-]+){_WS}*={_WS}*(?P<value>[^\n\r\x{{85}}\x{{2028}}\x{{2029}}]*?){_WS}*{_EOL}"
+
+
+def _matches(lines: pa.Array, char: str, pattern: str) -> tuple[np.ndarray, pa.Array]:
+    """Positions of the lines that match, and what the pattern's groups hold there; only lines with `char` can match."""
+    at = np.flatnonzero(pc.match_substring(lines, char).to_numpy(zero_copy_only=False))
+    groups = pc.extract_regex(lines.take(pa.array(at)), pattern)
+    ok = groups.is_valid()
+    return at[ok.to_numpy(zero_copy_only=False)], groups.filter(ok)
+
+
+def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        block = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)) // BLOCK
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(batch)]
+        for rel, text in (batch.slice(i, j - i).columns for i, j in zip(cuts, cuts[1:])):
+            split = pc.split_pattern_regex(text, r"\r?\n")
+            lines, file, first = split.flatten(), split.value_parent_indices().to_numpy(), split.offsets.to_numpy()
+            heads, names = _matches(lines, "[", _HEAD)
+            pairs, found = _matches(lines, "=", _PAIR)
+            above = np.searchsorted(heads, pairs) - 1  # -1: none, which stands for the file -1
+            other = np.append(file[heads], -1)[above] != file[pairs]
+            names = names.field("section")
+            for i in range(0, len(pairs), ENTRIES):
+                of, at, rows = file[pairs[i : i + ENTRIES]], pairs[i : i + ENTRIES], found.slice(i, ENTRIES).flatten()
+                section = names.take(pa.array(above[i : i + ENTRIES], mask=other[i : i + ENTRIES])).fill_null("")
+                columns = [rel.take(pa.array(of)), pa.array(at - first[of] + 1, pa.int64()), section, *rows]
+                yield pa.RecordBatch.from_arrays(columns, names=["rel", "line_no", "section", "key", "value"])
+
+
 def section_entries(files: DataFrame) -> DataFrame:
     """(rel, line_no, section, key, value) of manifests with `[section]` lines above their `key = value` lines.
 
-    The section of a line is the last one above it, carried over the array of the file's lines.
+    The section of a line is the last one above it in its file. A task holds one block of texts, or one longer text, and finds
+    the last heads of all its lines at once.
     """
-    lines = F.split("text", r"\r?\n", -1)
-    start = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<line_no:long,section:string,key:string,value:string>>").alias("rows"))
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).cast("long").alias("n"), line.alias("line")))
-    head, pair = r"^\s*\[+\s*([^\]]+?)\s*\]+\s*$", r"^\s*([A-Za-z0-9_.\"-]+)\s*=\s*(.*?)\s*$"
-
-    def step(acc: Column, x: Column) -> Column:
-        row = F.struct(x["n"].alias("line_no"), acc["section"].alias("section"), F.regexp_extract(x["line"], pair, 1).alias("key"), F.regexp_extract(x["line"], pair, 2).alias("value"))
-        section = F.when(x["line"].rlike(head), F.regexp_extract(x["line"], head, 1)).otherwise(acc["section"])
-        rows = F.when(x["line"].rlike(pair) & ~x["line"].rlike(head), F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"])
-        return F.struct(section.alias("section"), rows.alias("rows"))
-
-    return files.where(F.col("text").isNotNull()).select("rel", F.inline(F.aggregate(numbered, start, step, lambda acc: acc["rows"])))
+    rows = files.where(F.col("text").isNotNull()).select("rel", F.make_valid_utf8("text").alias("text"))
+    return rows.mapInArrow(_sections, f"rel {rows.schema['rel'].dataType.simpleString()}, line_no long, section string, key string, value string")
 
 
 def overlapping_sections(entries: DataFrame, one: str, other: str) -> DataFrame:

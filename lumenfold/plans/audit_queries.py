@@ -167,8 +167,8 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
     head = F.when(n % 3 == 1, F.concat(F.lit("["), F.when(n % 2 == 1, "dependencies").otherwise("dev-dependencies"), F.lit("]\n"))).otherwise("")
     part = F.concat(head, F.lit("p"), (F.col("l_partkey") % 5).cast("string"), F.lit(' = "'), F.col("l_suppkey").cast("string"), F.lit('"'))
-    rows = C.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("rel")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), part.alias("part")))).alias("x"))  # an order has few items
-    return rows.select("rel", F.array_join(F.transform("x", lambda r: r["part"]), "\n").alias("text"))
+    rows = C.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("rel")).agg(F.sort_array(F.collect_list(F.struct(n.alias("n"), part.alias("part")))).alias("x"))  # an order has few items
+    return rows.select("rel", F.array_join("x.part", "\n").alias("text"))
 
 
 @C.query(f"WITH {_TOML} SELECT * FROM e")
